@@ -74,7 +74,6 @@ class LevelStep:
     column: str
     kept: tuple[str, ...]
     rest: bool
-    dropped: tuple[str, ...] = ()  # kept levels that every row has, hence no indicator
     names: tuple[str, ...] = ()
     minimum_count: int = 2
     levels: int = 0
@@ -99,11 +98,9 @@ class PrepModel:
         weight = self.config.categorical_weight
         for step in self.categorical:
             label = to_label(quoted(step.column), dtype_of(frame, step.column))
-            shown = [level for level in step.kept if level not in step.dropped]
-            columns += [F.when(label == F.lit(level), weight).otherwise(0.0) for level in shown]
+            columns += [F.when(label == F.lit(level), weight).otherwise(0.0) for level in step.kept]
             if step.rest:
-                known = label.isin(*step.kept) if step.kept else F.lit(False)
-                columns.append(F.when(known, 0.0).otherwise(weight))
+                columns.append(F.when(label.isin(*step.kept), 0.0).otherwise(weight))
         return [column.cast("double").alias(f"f_{i}") for i, column in enumerate(columns)]
 
     def transform(self, frame: DataFrame, id_column: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -115,7 +112,7 @@ class PrepModel:
     def matrix(self, frame: DataFrame, id_column: str) -> DataFrame:
         """Prepared table for fits: ``(id, features)`` with one vector column."""
         return frame.select(
-            quoted(id_column).cast("string").alias("id"),
+            quoted(id_column).alias("id"),
             array_to_vector(F.array(*self.feature_columns(frame))).alias("features"),
         )
 
@@ -316,9 +313,10 @@ def _fit_numeric(
         mean, scale = 0.0, 1.0
         if config.standardize:
             mean, scale = (found["log_mean"], found["log_std"]) if log else (found["mean"], found["std"])
-            # A column that clipping made constant keeps scale 1 and becomes zero.
-            if scale <= 10 * 2.220446049250313e-16 * max(abs(mean), 1e-300):
-                scale = 1.0
+            if found["low"] == found["high"]:
+                scale = 1.0  # clipping made the column constant: it becomes zero
+            if not (math.isfinite(mean) and math.isfinite(scale)):
+                raise DataProblem(f"{name} holds values too large to standardize.")
         base = clipped[name]
         steps.append(NumericStep(name, base.median, base.lower, base.upper, log, mean, scale))
     if logged:
@@ -354,6 +352,7 @@ def _moment_pass(frame: DataFrame, raw: dict[str, Column], clipped: dict[str, Nu
         aggregates.append(
             F.struct(
                 F.min(value).alias("low"),
+                F.max(value).alias("high"),
                 F.when(F.min(value) < F.max(value), F.skewness(value)).alias("skew"),
                 F.avg(value).alias("mean"),
                 F.stddev_pop(value).alias("std"),
@@ -400,23 +399,20 @@ def _fit_levels(
         if config.max_categories < len(kept) + 1:
             # Ascending by (count, level): the tail holds the largest, later levels first among equals.
             kept = kept[len(kept) - (config.max_categories - 1) :]
-        in_all = tuple(level for n, level in kept if n == rows)
-        covered = sum(n for n, _ in kept)
-        rest = row["levels"] > len(kept) and 0 < rows - covered < rows
         levels = tuple(sorted(level for _, level in kept))
-        shown = [level for level in levels if level not in in_all]
-        if not shown and not rest:
-            dropped.append(name)
+        rest = row["levels"] > len(kept)
+        if row["levels"] == 1 or not kept:
+            dropped.append(name)  # one level, or one bucket, that every row shares
             continue
         labels = []
-        for ending in shown + (["infrequent"] if rest else []):
+        for ending in levels + (("infrequent",) if rest else ()):
             label, copy = f"{name}_{ending}", 1
             while label in taken:
                 copy += 1
                 label = f"{name}_{ending}__{copy}"
             taken.add(label)
             labels.append(label)
-        steps.append(LevelStep(name, levels, rest, in_all, tuple(labels), least, row["levels"]))
+        steps.append(LevelStep(name, levels, rest, tuple(labels), least, row["levels"]))
     if dropped:
         audit["dropped_constant_categorical"] = dropped
         warnings.append("Categorical columns without usable variation were left out: " + ", ".join(dropped))
