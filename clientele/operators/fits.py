@@ -1,15 +1,15 @@
-"""Clustering fits. Every fit ends as a projection that adds a label column to the prepared table.
+"""What a clustering fit is, how much work it may do, and the checks all methods share.
 
-The model behind a fit is small (centres, mixture components, a merge tree over micro-clusters, landmark
-eigenvectors), so labelling a billion customers needs no join and no shuffle.
+Every fit ends as a projection that adds a label column to the prepared table. The model behind it is small (centres,
+mixture components, a merge tree over micro-clusters, landmark eigenvectors), so labelling a billion customers needs no
+shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,27 +21,24 @@ METHODS = {
     "hierarchical": "Hierarchical (Ward)",
     "spectral": "Spectral (flexible shapes)",
 }
+SUBSAMPLE_SHARE = 0.8
 
 
 @dataclass(frozen=True)
 class FitSettings:
-    """Work per fit. Starts differ in their seed and the best one is kept; refits serve the stability check."""
+    """Work per fit. Starts are seeded and settled on a sample; the best distinct ones are polished on all rows."""
 
-    kmeans_starts: int = 5
+    kmeans_starts: int = 20
+    polished: int = 3
+    refit_starts: int = 10
+    refit_polished: int = 1
     gmm_starts: int = 2
-    spectral_starts: int = 5
-    refit_starts: int = 2
     max_iterations: int = 500
     ward_leaves: int = 2000
     micro_clusters: int = 400
     landmarks: int = 1000
     max_segments: int = 50
 
-    def for_refits(self) -> "FitSettings":
-        return replace(
-            self, kmeans_starts=self.refit_starts, gmm_starts=1, spectral_starts=self.refit_starts
-        )
-
 
 @dataclass
 class Fit:
@@ -65,33 +62,7 @@ def check_realized(found: int, k: int) -> None:
         raise DataProblem(f"The fit produced {found} distinct groups instead of the requested {k}.")
 
 
-def best_kmeans(frame: DataFrame, k: int, seed: int, starts: int, max_iterations: int, features: str = "features"):
-    """Model with the lowest within-cluster cost over several seeds."""
-    best = None
-    for start in range(starts):
-        model = KMeans(
-            k=k, seed=seed + 7919 * start, maxIter=max_iterations, featuresCol=features, predictionCol="__cluster"
-        ).fit(frame)
-        if best is None or model.summary.trainingCost < best[0]:
-            best = (model.summary.trainingCost, model)
-        if len(model.clusterCenters()) < k:
-            break  # fewer distinct rows than clusters: more starts cannot help
-    return best[1]
-
-
-def fit_kmeans(frame: DataFrame, rows: int, k: int, seed: int, settings: FitSettings) -> Fit:
-    check_k(k, rows)
-    model = best_kmeans(frame, k, seed, settings.kmeans_starts, settings.max_iterations)
-    used = sum(1 for size in model.summary.clusterSizes if size)
-    check_realized(min(used, len(model.clusterCenters())), k)
-
-    def label(table: DataFrame, name: str) -> DataFrame:
-        return model.transform(table).withColumnRenamed("__cluster", name)
-
-    return Fit("kmeans", k, label, detail=f"{settings.kmeans_starts} starts")
-
-
-def subsample_mask(repeat: int, seed: int, share: float = 0.8, id_column: str = "id") -> Column:
+def subsample_mask(repeat: int, seed: int, share: float = SUBSAMPLE_SHARE, id_column: str = "id") -> Column:
     """True for a pseudo-random share of customers; depends on the id only, so it survives any re-run."""
     drawn = F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit(seed), F.lit(repeat)), F.lit(1_000_000))
     return drawn < int(share * 1_000_000)

@@ -1,184 +1,270 @@
-"""Gaussian mixture with full covariances, fitted by expectation-maximisation as a series of Spark aggregates.
+"""Gaussian mixtures with full covariances, fitted by expectation-maximisation as a series of Spark aggregates.
 
-The built-in mixture starts from random rows and has no ridge, so single fits often stop in poor optima. Here each
-start begins from a K-means partition and every step is one job: tasks turn their rows into per-component sums, which
-are added up by component. Only those sums (1 + p + p² numbers per component) reach the driver.
+As with K-means, one pass over the table advances all unfinished mixtures: every segment count, start and stability
+subsample. Tasks turn their rows into sums per component, Spark adds the sums up, and 1 + p + p² numbers per component
+reach the driver. Starts come from K-means partitions, and a small ridge keeps covariances invertible.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientele.errors import DataProblem
-from clientele.operators.fits import Fit, FitSettings, best_kmeans, check_k, check_realized
+from clientele.operators.fits import Fit, FitSettings, check_k, check_realized
+from clientele.operators.kmeans import POINT, Partition, fit_partitions, gather, points_table
 
 RIDGE = 1e-6
 TOLERANCE = 1e-3  # change of the mean log-likelihood per customer
-POINT = "__point"
+BLOCK_ROWS = 4096
+NUMBERS_PER_PASS = 500_000
 
 
 @dataclass
-class _Mixture:
-    weights: np.ndarray
-    means: np.ndarray
-    covariances: np.ndarray
-
-    def whitening(self) -> tuple[np.ndarray, np.ndarray]:
-        """Per component the inverse Cholesky factor and the constant part of the log density."""
-        p = self.means.shape[1]
+class _Climb:
+    """One mixture on its way up."""
+
+    key: tuple
+    subsample: int | None
+    centres: np.ndarray
+    rows: int
+    weights: np.ndarray | None = None  # None until the hard K-means assignment has been turned into a mixture
+    covariances: np.ndarray | None = None
+    before: float = -math.inf
+    converged: bool = False
+    finished: bool = False
+    likelihood: float = -math.inf
+    won: np.ndarray | None = None
+    failed: bool = False
+
+    def scorer(self):
+        """Arrays that score rows: centres alone for the hard start, whitened components afterwards."""
+        if self.weights is None:
+            return None, None
+        p = self.centres.shape[1]
         factors = np.stack([np.linalg.inv(np.linalg.cholesky(c)).T for c in self.covariances])
         log_det = np.log(np.abs(np.diagonal(factors, axis1=1, axis2=2))).sum(axis=1)
         return factors, log_det + np.log(self.weights) - 0.5 * p * math.log(2 * math.pi)
 
+    def update(self, mass: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+        """New parameters from sums about the current centres, which keeps the covariances well conditioned."""
+        mass = mass + 10 * np.finfo(float).eps
+        shift = first / mass[:, None]
+        spread = second / mass[:, None, None] - shift[:, :, None] * shift[:, None, :]
+        self.covariances = spread + RIDGE * np.eye(first.shape[1])
+        self.centres = self.centres + shift
+        self.weights = mass / mass.sum()
 
-def _scorer(mixture: _Mixture):
-    """Function from rows to (responsibilities, log densities); closes over plain arrays only."""
-    means = mixture.means
-    factors, constants = mixture.whitening()
 
-    def score(rows):
+def _make_share():
+    """Responsibilities and log densities of rows, as a closure that travels to Python workers by value."""
+
+    def share(rows, centres, factors, constants):
+        if factors is None:
+            away = np.stack([((rows - c) ** 2).sum(axis=1) for c in centres], axis=1)
+            return np.eye(len(centres))[away.argmin(axis=1)], np.zeros(len(rows))
         logs = np.stack(
-            [c - 0.5 * (((rows - m) @ f) ** 2).sum(axis=1) for m, f, c in zip(means, factors, constants)], axis=1
+            [c - 0.5 * (((rows - m) @ f) ** 2).sum(axis=1) for m, f, c in zip(centres, factors, constants)], axis=1
         )
         top = logs.max(axis=1, keepdims=True)
         density = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
         return np.exp(logs - density[:, None]), density
 
-    return score
-
-
-def _nearest(centres: np.ndarray):
-    def score(rows):
-        away = np.stack([((rows - c) ** 2).sum(axis=1) for c in centres], axis=1)
-        return np.eye(len(centres))[away.argmin(axis=1)], np.zeros(len(rows))
+    return share
 
-    return score
 
-
-def _sums(points: DataFrame, score, around: np.ndarray):
-    """Responsibility-weighted sums about ``around``, rows won per component, and the total log-likelihood."""
-    k, p = around.shape
+def _step(points: DataFrame, climbs: Sequence[_Climb]) -> list[tuple]:
+    """Per mixture: log-likelihood, mass, rows won, first and second sums about its centres; one pass for all."""
+    work = [(c.subsample, c.centres, *c.scorer()) for c in climbs]
+    width = climbs[0].centres.shape[1]
+    share, column_name, block = _make_share(), POINT, BLOCK_ROWS
 
     def partial(batches):
-        mass, won, likelihood = np.zeros(k), np.zeros(k), 0.0
-        first, second = np.zeros((k, p)), np.zeros((k, p, p))
+        totals = [
+            (np.zeros(1), np.zeros(len(c)), np.zeros(len(c)), np.zeros(c.shape), np.zeros((len(c), width, width)))
+            for _, c, _, _ in work
+        ]
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            rows = np.vstack(batch[POINT].to_numpy())
-            share, density = score(rows)
-            mass += share.sum(axis=0)
-            won += np.bincount(share.argmax(axis=1), minlength=k)
-            likelihood += float(density.sum())
-            for j in range(k):
-                gap = rows - around[j]
-                weighted = share[:, j, None] * gap
-                first[j] += weighted.sum(axis=0)
-                second[j] += weighted.T @ gap
-        yield pd.DataFrame(
+            rows = batch.column(column_name).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            for (subsample, centres, factors, constants), (likelihood, mass, won, first, second) in zip(work, totals):
+                chosen = rows
+                if subsample is not None:
+                    chosen = rows[batch.column(f"in_{subsample}").to_numpy(zero_copy_only=False).astype(bool)]
+                for begin in range(0, len(chosen), block):
+                    part = chosen[begin : begin + block]
+                    portion, density = share(part, centres, factors, constants)
+                    likelihood += density.sum()
+                    mass += portion.sum(axis=0)
+                    won += np.bincount(portion.argmax(axis=1), minlength=len(centres))
+                    for j, centre in enumerate(centres):
+                        gap = part - centre
+                        weighted = portion[:, j, None] * gap
+                        first[j] += weighted.sum(axis=0)
+                        second[j] += weighted.T @ gap
+        numbers = [np.concatenate([x.ravel() for x in total]) for total in totals]
+        yield pa.RecordBatch.from_pydict(
             {
-                "component": np.arange(k, dtype="int32"),
-                "sums": [np.concatenate(([mass[j], won[j]], first[j], second[j].ravel())) for j in range(k)],
-                "likelihood": [likelihood if j == 0 else 0.0 for j in range(k)],
+                "climb": np.repeat(np.arange(len(numbers), dtype="int32"), [len(x) for x in numbers]),
+                "place": np.concatenate([np.arange(len(x), dtype="int32") for x in numbers]),
+                "number": np.concatenate(numbers),
             }
         )
 
-    rows = (
-        points.mapInPandas(partial, "component int, sums array<double>, likelihood double")
-        .groupBy("component")
-        .agg(
-            Summarizer.metrics("sum").summary(array_to_vector("sums")).alias("s"),
-            F.sum("likelihood").alias("likelihood"),
-        )
-        .collect()
+    masks = sorted({s for s, *_ in work if s is not None})
+    summed = (
+        points.select(POINT, *[f"in_{r}" for r in masks])
+        .mapInArrow(partial, "climb int, place int, number double")
+        .groupBy("climb", "place")
+        .agg(F.sum("number").alias("number"))
     )
-    total = np.zeros((k, 2 + p + p * p))
-    for row in rows:
-        total[row["component"]] = row["s"]["sum"].toArray()
-    return total, sum(row["likelihood"] for row in rows)
-
-
-def _update(total: np.ndarray, around: np.ndarray) -> _Mixture:
-    k, p = around.shape
-    mass = total[:, 0] + 10 * np.finfo(float).eps
-    shift = total[:, 2 : 2 + p] / mass[:, None]
-    second = total[:, 2 + p :].reshape(k, p, p) / mass[:, None, None]
-    covariances = second - shift[:, :, None] * shift[:, None, :] + RIDGE * np.eye(p)
-    return _Mixture(mass / mass.sum(), around + shift, covariances)
+    sizes = [len(c) for _, c, _, _ in work]
+    totals = gather(summed, "climb", [1 + 2 * k + k * width + k * width * width for k in sizes])
+    return [
+        (
+            t[0],
+            t[1 : 1 + k],
+            t[1 + k : 1 + 2 * k],
+            t[1 + 2 * k : 1 + 2 * k + k * width].reshape(k, width),
+            t[1 + 2 * k + k * width :].reshape(k, width, width),
+        )
+        for t, k in zip(totals, sizes)
+    ]
+
+
+def _climb_all(points: DataFrame, climbs: Sequence[_Climb], max_iterations: int) -> None:
+    waves: list[list[_Climb]] = [[]]
+    for climb in climbs:
+        cost = climb.centres.size * climb.centres.shape[1]
+        if waves[-1] and sum(c.centres.size * c.centres.shape[1] for c in waves[-1]) + cost > NUMBERS_PER_PASS:
+            waves.append([])
+        waves[-1].append(climb)
+    for wave in waves:
+        active = list(wave)
+        # One pass for the hard start, one after the last update for the final likelihood.
+        for _ in range(max_iterations + 2):
+            for climb in active:
+                try:
+                    climb.scorer()
+                except np.linalg.LinAlgError:
+                    climb.failed = climb.finished = True
+            active = [c for c in active if not c.finished]
+            if not active:
+                break
+            for climb, (likelihood, mass, won, first, second) in zip(active, _step(points, active)):
+                if climb.converged:
+                    climb.likelihood, climb.won, climb.finished = likelihood, won, True
+                    continue
+                hard = climb.weights is None
+                climb.update(mass, first, second)
+                if not hard:
+                    climb.converged = abs(likelihood / climb.rows - climb.before) < TOLERANCE
+                    climb.before = likelihood / climb.rows
 
 
 def mixture_minimum_rows(k: int, columns: int) -> int:
     return k * max(30, 5 * columns)
 
 
-def fit_gmm(frame: DataFrame, rows: int, k: int, seed: int, settings: FitSettings, columns: int) -> Fit:
-    check_k(k, rows)
+def check_mixture_rows(rows: int, k: int, columns: int) -> None:
     needed = mixture_minimum_rows(k, columns)
     if rows < needed:
         raise DataProblem(
             f"A full-covariance mixture of {k} groups over {columns} model columns needs {needed} customers or more."
         )
-    points = frame.select(vector_to_array("features").alias(POINT))
-    best = None
-    for start in range(settings.gmm_starts):
-        centres = np.array(
-            best_kmeans(frame, k, seed + 104_729 * start, 1, settings.max_iterations).clusterCenters()
-        )
-        check_realized(len(centres), k)
-        found = _climb(points, rows, centres, settings.max_iterations)
-        if best is None or found[1] > best[1]:
-            best = found
-    mixture, log_likelihood, converged, won = best
-    if not converged:
-        raise DataProblem("The mixture did not converge for this candidate.")
-    check_realized(int((won > 0).sum()), k)
-    score = _scorer(mixture)
-
-    @F.pandas_udf("int")
-    def most_likely(batch: pd.Series) -> pd.Series:
-        if not len(batch):
-            return pd.Series([], dtype="int32")
-        return pd.Series(score(np.vstack(batch.to_numpy()))[0].argmax(axis=1).astype("int32"))
 
-    @F.pandas_udf("double")
-    def largest_share(batch: pd.Series) -> pd.Series:
+
+def fit_mixtures(
+    frame: DataFrame,
+    wanted: Sequence[tuple[int, int | None]],
+    sizes: dict[int | None, int],
+    columns: int,
+    seed: int,
+    settings: FitSettings,
+    subsamples: int = 0,
+    partitions: dict[tuple[int, int | None], list[Partition] | DataProblem] | None = None,
+) -> dict[tuple[int, int | None], Fit | DataProblem]:
+    """One fit, or the reason there is none, per ``(k, subsample)``; ``sizes`` holds the rows of each subsample."""
+    results: dict[tuple[int, int | None], Fit | DataProblem] = {}
+    able = []
+    for k, subsample in wanted:
+        try:
+            check_k(k, sizes[subsample])
+            check_mixture_rows(sizes[subsample], k, columns)
+            able.append((k, subsample))
+        except DataProblem as problem:
+            results[(k, subsample)] = problem
+    if not able:
+        return results
+    missing = [key for key in able if partitions is None or key not in partitions]
+    known = dict(partitions or {})
+    if missing:
+        known.update(fit_partitions(frame, missing, seed, settings, subsamples, keep=settings.gmm_starts))
+    climbs = []
+    for key in able:
+        found = known[key]
+        if isinstance(found, DataProblem):
+            results[key] = found
+            continue
+        starts = settings.gmm_starts if key[1] is None else 1
+        whole = [p for p in found if p.realized == key[0]][:starts]
+        if not whole:
+            results[key] = DataProblem(f"The fit produced {found[0].realized} distinct groups instead of the requested {key[0]}.")
+        climbs += [_Climb(key, key[1], p.centres, sizes[key[1]]) for p in whole]
+    _climb_all(points_table(frame, subsamples, seed), climbs, settings.max_iterations)
+    for key in able:
+        own = [c for c in climbs if c.key == key]
+        if own:
+            results[key] = _outcome(key[0], own, settings)
+    return results
+
+
+def _outcome(k: int, climbs: Sequence[_Climb], settings: FitSettings) -> Fit | DataProblem:
+    usable = [c for c in climbs if not c.failed]
+    if not usable:
+        return DataProblem("Numerical fitting failed for this candidate.")
+    best = max(usable, key=lambda c: c.likelihood)
+    if not best.finished:
+        return DataProblem("The mixture did not converge for this candidate.")
+    try:
+        check_realized(int((best.won > 0).sum()), k)
+    except DataProblem as problem:
+        return problem
+    factors, constants = best.scorer()
+    centres, share = best.centres, _make_share()
+
+    @F.pandas_udf("struct<place:int,share:double>")
+    def most_likely(batch: pd.Series) -> pd.DataFrame:
         if not len(batch):
-            return pd.Series([], dtype=float)
-        return pd.Series(score(np.vstack(batch.to_numpy()))[0].max(axis=1))
+            return pd.DataFrame({"place": np.array([], "int32"), "share": np.array([], float)})
+        portion, _ = share(np.vstack(batch.to_numpy()), centres, factors, constants)
+        return pd.DataFrame({"place": portion.argmax(axis=1).astype("int32"), "share": portion.max(axis=1)})
 
     def label(table: DataFrame, name: str) -> DataFrame:
-        return table.withColumn(name, most_likely(vector_to_array("features")))
+        return table.withColumn(name, most_likely(vector_to_array("features")).getField("place"))
 
     def posterior(table: DataFrame, name: str) -> DataFrame:
-        return table.withColumn(name, largest_share(vector_to_array("features")))
+        return table.withColumn(name, most_likely(vector_to_array("features")).getField("share"))
 
-    return Fit("gmm", k, label, posterior, log_likelihood, f"{settings.gmm_starts} starts")
+    return Fit("gmm", k, label, posterior, float(best.likelihood), f"{settings.gmm_starts} starts")
 
 
-def _climb(points: DataFrame, rows: int, centres: np.ndarray, most: int):
-    """Steps until the mean log-likelihood settles; returns mixture, total log-likelihood, convergence, rows won."""
-    try:
-        total, _ = _sums(points, _nearest(centres), centres)
-        mixture, before, converged = _update(total, centres), -math.inf, False
-        for _ in range(most):
-            total, likelihood = _sums(points, _scorer(mixture), mixture.means)
-            mixture = _update(total, mixture.means)
-            if abs(likelihood / rows - before) < TOLERANCE:
-                converged = True
-                break
-            before = likelihood / rows
-        total, likelihood = _sums(points, _scorer(mixture), mixture.means)
-    except np.linalg.LinAlgError as problem:
-        raise DataProblem("Numerical fitting failed for this candidate.") from problem
-    return mixture, likelihood, converged, total[:, 1]
+def fit_gmm(frame: DataFrame, rows: int, k: int, seed: int, settings: FitSettings, columns: int) -> Fit:
+    """A single fit on the full table."""
+    check_k(k, rows)
+    found = fit_mixtures(frame, [(k, None)], {None: rows}, columns, seed, settings)[(k, None)]
+    if isinstance(found, DataProblem):
+        raise found
+    return found
 
 
 def information_criteria(log_likelihood: float, k: int, columns: int, rows: int) -> tuple[float, float]:

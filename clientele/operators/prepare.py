@@ -90,14 +90,18 @@ class PrepModel:
     warnings: list[str] = field(default_factory=list)
     audit: dict[str, object] = field(default_factory=dict)
 
-    def feature_columns(self, frame: DataFrame) -> list[Column]:
-        """Model columns in order, named ``f_0`` … ``f_{p-1}``."""
+    def feature_columns(self, frame: DataFrame, within: str | None = None) -> list[Column]:
+        """Model columns in order, named ``f_0`` … ``f_{p-1}``; ``within`` names a struct that holds the raw columns."""
+
+        def raw(name: str) -> Column:
+            return F.col(within).getField(name) if within else quoted(name)
+
         columns: list[Column] = []
         for step in self.numeric:
-            columns.append(step.expression(to_number(quoted(step.column), dtype_of(frame, step.column))))
+            columns.append(step.expression(to_number(raw(step.column), dtype_of(frame, step.column))))
         weight = self.config.categorical_weight
         for step in self.categorical:
-            label = to_label(quoted(step.column), dtype_of(frame, step.column))
+            label = to_label(raw(step.column), dtype_of(frame, step.column))
             columns += [F.when(label == F.lit(level), weight).otherwise(0.0) for level in step.kept]
             if step.rest:
                 columns.append(F.when(label.isin(*step.kept), 0.0).otherwise(weight))
@@ -116,6 +120,12 @@ class PrepModel:
             array_to_vector(F.array(*self.feature_columns(frame))).alias("features"),
         )
 
+    def attach(self, frame: DataFrame, source: str) -> DataFrame:
+        """Add ``features`` to a table that carries the raw columns inside the struct column ``source``."""
+        raw = frame.select(f"{source}.*")
+        columns = self.feature_columns(raw, within=source)
+        return frame.withColumn("features", array_to_vector(F.array(*columns)))
+
     def audit_table(self, frame: DataFrame) -> DataFrame:
         """The audit trail as rows ``(field, value)``."""
         rows = [(key, json.dumps(value, sort_keys=True, default=str)) for key, value in self.audit.items()]

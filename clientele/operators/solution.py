@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -89,10 +90,12 @@ def principal_map(frame: DataFrame, stats: SegmentStatistics, features: str = "f
     return placed.drop("__axes"), float(sum(model.explainedVariance.toArray()))
 
 
-def describe_solution(frame: DataFrame, label: str, fit: Fit, note: str = "") -> SegmentSolution:
+def describe_solution(
+    frame: DataFrame, label: str, fit: Fit, note: str = "", keep: Sequence[str] = ()
+) -> SegmentSolution:
     """Turn a labelled prepared table (id, features, label) into the chosen solution. Fits are not repeated."""
     stats = segment_statistics(frame, label)
-    table = frame.select("id", "features", F.col(label).alias("raw_label"))
+    table = frame.select("id", *keep, "features", F.col(label).alias("raw_label"))
     table = fit.posterior(table, "confidence") if fit.posterior else with_confidence(table, "raw_label", stats)
     table, explained = principal_map(table, stats)
     table = table.withColumn("segment", _name_expression("raw_label", stats))

@@ -7,7 +7,7 @@ fewer customers than landmarks all of them are landmarks and the embedding is th
 
 from __future__ import annotations
 
-import threading
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientele.operators.diagnostics import hash_order
-from clientele.operators.fits import Fit, FitSettings, best_kmeans, check_k, check_realized, subsample_mask
+from clientele.errors import DataProblem
+from clientele.operators.fits import Fit, FitSettings, check_k, check_realized, subsample_mask
+from clientele.operators.kmeans import fit_partitions, nearest_centre
 
 EMBEDDED = "__embedding"
 
@@ -65,10 +67,10 @@ def _embedding(basis: _Basis):
 
 
 class SpectralEmbedding:
-    """Landmarks of one prepared table and the embeddings of the full table and of its subsamples."""
+    """Landmarks of one prepared table, with fits on the full table and on its stability subsamples."""
 
-    def __init__(self, frame: DataFrame, rows: int, seed: int, settings: FitSettings, most: int, repeats: int = 0):
-        self._frame, self._rows, self._seed, self._settings, self._most = frame, rows, seed, settings, most
+    def __init__(self, frame: DataFrame, rows: int, seed: int, settings: FitSettings, repeats: int = 0):
+        self._frame, self._rows, self._seed, self._settings = frame, rows, seed, settings
         masks = [subsample_mask(r, seed).alias(f"m{r}") for r in range(repeats)]
         drawn = (
             frame.select("id", "features", *masks)
@@ -79,40 +81,41 @@ class SpectralEmbedding:
         )
         self._points = np.array([row["point"] for row in drawn], float)
         self._masks = [np.array([row[f"m{r}"] for row in drawn]) for r in range(repeats)]
-        self._cached: dict[int | None, tuple[_Basis, DataFrame]] = {}
-        self._lock = threading.Lock()
-
-    def _embedded(self, repeat: int | None) -> tuple[_Basis, DataFrame]:
-        with self._lock:  # segment counts are evaluated from several driver threads and share the embedding
-            if repeat not in self._cached:
-                points = self._points if repeat is None else self._points[self._masks[repeat]]
-                table = self._frame if repeat is None else self._frame.filter(subsample_mask(repeat, self._seed))
-                basis = _basis(points, min(self._most, len(points)))
-                embedded = table.select(_embedding(basis)(vector_to_array("features")).alias(EMBEDDED))
-                self._cached[repeat] = (basis, embedded.persist(StorageLevel.MEMORY_AND_DISK))
-            return self._cached[repeat]
-
-    def release(self) -> None:
-        for _, embedded in self._cached.values():
-            embedded.unpersist()
-        self._cached.clear()
-
-    def fit(self, k: int, repeat: int | None = None) -> Fit:
-        check_k(k, self._rows)
-        basis, embedded = self._embedded(repeat)
-        check_realized(min(k, basis.vectors.shape[1]), k)
-        starts = self._settings.spectral_starts if repeat is None else self._settings.refit_starts
-        vector = array_to_vector(F.slice(EMBEDDED, 1, k)).alias("__spectral")
-        model = best_kmeans(
-            embedded.select(vector), k, self._seed, starts, self._settings.max_iterations, features="__spectral"
-        )
-        check_realized(sum(1 for size in model.summary.clusterSizes if size), k)
+
+    @property
+    def detail(self) -> str:
+        return "exact" if len(self._points) >= self._rows else f"{len(self._points)} landmarks"
+
+    def fits(self, counts: Sequence[int], repeat: int | None = None) -> dict[int, Fit | DataProblem]:
+        """One fit per segment count. The embedding is computed once for all of them and dropped afterwards."""
+        points = self._points if repeat is None else self._points[self._masks[repeat]]
+        table = self._frame if repeat is None else self._frame.filter(subsample_mask(repeat, self._seed))
+        most = min(max(counts), len(points))
+        basis = _basis(points, most)
         embed = _embedding(basis)
+        embedded = table.select("id", embed(vector_to_array("features")).alias(EMBEDDED))
+        embedded = embedded.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return {k: self._fit(k, most, embed, embedded, repeat) for k in counts}
+        finally:
+            embedded.unpersist()
+
+    def _fit(self, k: int, most: int, embed, embedded: DataFrame, repeat: int | None) -> Fit | DataProblem:
+        seed = self._seed if repeat is None else self._seed + repeat + 1
+        try:
+            check_k(k, self._rows)
+            check_realized(min(k, most), k)
+            chosen = array_to_vector(F.slice(EMBEDDED, 1, k)).alias("features")
+            found = fit_partitions(embedded.select("id", chosen), [(k, None)], seed, self._settings)[(k, None)]
+            if isinstance(found, DataProblem):
+                return found
+            check_realized(found[0].realized, k)
+        except DataProblem as problem:
+            return problem
+        centres = found[0].centres
 
         def label(table: DataFrame, name: str) -> DataFrame:
-            placed = table.withColumn(EMBEDDED, embed(vector_to_array("features")))
-            placed = placed.withColumn("__spectral", array_to_vector(F.slice(EMBEDDED, 1, k)))
-            return model.transform(placed).withColumnRenamed("__cluster", name).drop(EMBEDDED, "__spectral")
+            placed = table.withColumn("__spectral", array_to_vector(F.slice(embed(vector_to_array("features")), 1, k)))
+            return nearest_centre(placed, centres, name, "__spectral").drop("__spectral")
 
-        exact = len(self._points) >= self._rows
-        return Fit("spectral", k, label, detail="exact" if exact else f"{len(self._points)} landmarks")
+        return Fit("spectral", k, label, detail=self.detail)

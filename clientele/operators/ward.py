@@ -8,18 +8,18 @@ K-means fit. The merge tree over the micro-clusters is the only thing built outs
 
 from __future__ import annotations
 
-import threading
+import copy
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientele.errors import DataProblem
-from clientele.operators.fits import Fit, FitSettings, best_kmeans, check_k, check_realized, subsample_mask
+from clientele.operators.fits import Fit, FitSettings, check_k, check_realized, subsample_mask
+from clientele.operators.kmeans import assigned_sums, fit_partitions, nearest_centre
 
 MICRO = "__micro"
 
@@ -61,6 +61,7 @@ class MicroClusters:
     counts: np.ndarray
     centres: np.ndarray
     assign: Callable[[DataFrame], DataFrame]
+    subsampled: Callable[[int], list[tuple[np.ndarray, np.ndarray]]]  # sizes and centres per stability subsample
     exact: bool
 
 
@@ -141,34 +142,32 @@ def micro_clusters(frame: DataFrame, seed: int, settings: FitSettings) -> MicroC
                     .drop("__point")
                 )
 
-            return MicroClusters(
-                np.array([row["n"] for row in distinct], float),
-                np.array([row["point"] for row in distinct], float),
-                assign_row,
-                True,
-            )
-    model = best_kmeans(frame, settings.micro_clusters, seed, 1, 40)
+            centres = np.array([row["point"] for row in distinct], float)
 
-    def assign_cell(table: DataFrame) -> DataFrame:
-        return model.transform(table).withColumnRenamed("__cluster", MICRO)
+            def sampled_rows(repeats: int) -> list[tuple[np.ndarray, np.ndarray]]:
+                masks = [F.count_if(subsample_mask(r, seed)).alias(f"n{r}") for r in range(repeats)]
+                counts = np.zeros((repeats, len(centres)))
+                for row in assign_row(frame).groupBy(MICRO).agg(*masks).collect():
+                    counts[:, row[MICRO]] = [row[f"n{r}"] for r in range(repeats)]
+                return [(own, centres) for own in counts]
 
-    counts, centres = _cells(assign_cell(frame), len(model.clusterCenters()), None)
-    return MicroClusters(counts, centres, assign_cell, False)
+            counts = np.array([row["n"] for row in distinct], float)
+            return MicroClusters(counts, centres, assign_row, sampled_rows, True)
+    cells = settings.micro_clusters
+    work = replace(settings, kmeans_starts=1, polished=1, max_iterations=20)
+    found = fit_partitions(frame, [(cells, None)], seed, work)[(cells, None)]
+    if isinstance(found, DataProblem):
+        raise found
+    centres = found[0].centres
+
+    def assign_cell(table: DataFrame) -> DataFrame:
+        return nearest_centre(table, centres, MICRO)
 
+    def sampled_cells(repeats: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        return assigned_sums(frame, centres, [None, *range(repeats)], seed)[1:]
 
-def _cells(assigned: DataFrame, m: int, keep: Column | None) -> tuple[np.ndarray, np.ndarray]:
-    rows = (
-        (assigned if keep is None else assigned.filter(keep))
-        .groupBy(MICRO)
-        .agg(Summarizer.metrics("count", "mean").summary(F.col("features")).alias("s"))
-        .collect()
-    )
-    width = rows[0]["s"]["mean"].size
-    counts, centres = np.zeros(m), np.zeros((m, width))
-    for row in rows:
-        counts[row[MICRO]] = row["s"]["count"]
-        centres[row[MICRO]] = row["s"]["mean"].toArray()
-    return counts, centres
+    ((counts, means),) = assigned_sums(frame, centres, [None], seed)
+    return MicroClusters(counts, means, assign_cell, sampled_cells, False)
 
 
 class WardHierarchy:
@@ -176,11 +175,8 @@ class WardHierarchy:
 
     def __init__(self, frame: DataFrame, seed: int, settings: FitSettings):
         self._frame = frame
-        self._seed = seed
         self.micro = micro_clusters(frame, seed, settings)
         self.occupied, self.tree = self._tree(self.micro.counts, self.micro.centres)
-        self._refits: dict[int, tuple[np.ndarray, MergeTree]] = {}
-        self._lock = threading.Lock()
 
     @property
     def detail(self) -> str:
@@ -195,13 +191,14 @@ class WardHierarchy:
         check_k(k, rows)
         return self._cut(self.occupied, self.tree, k)
 
-    def refit(self, k: int, repeat: int, seed: int) -> Fit:
-        """The hierarchy of one subsample: same micro-clusters, sizes and centres of the sampled customers only."""
-        with self._lock:  # segment counts are evaluated from several driver threads and share the refit
-            if repeat not in self._refits:
-                sampled = _cells(self.micro.assign(self._frame), len(self.micro.counts), subsample_mask(repeat, seed))
-                self._refits[repeat] = self._tree(*sampled)
-        return self._cut(*self._refits[repeat], k)
+    def subsampled(self, repeats: int) -> list["WardHierarchy"]:
+        """Hierarchies of the stability subsamples: same micro-clusters, sizes and centres of the sampled customers."""
+        found = []
+        for counts, centres in self.micro.subsampled(repeats):
+            other = copy.copy(self)
+            other.occupied, other.tree = self._tree(counts, centres)
+            found.append(other)
+        return found
 
     def _cut(self, occupied: np.ndarray, tree: MergeTree, k: int) -> Fit:
         check_realized(min(tree.leaves, k), k)

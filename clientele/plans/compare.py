@@ -21,10 +21,12 @@ from clientele.operators.fits import (
     METHODS,
     Fit,
     FitSettings,
-    fit_kmeans,
+    check_k,
     subsample_mask,
 )
-from clientele.operators.mixture import fit_gmm, information_criteria
+from clientele.operators.kmeans import fit_partitions, partition_fit
+from clientele.operators.mixture import fit_mixtures, information_criteria
+from clientele.operators.solution import SegmentSolution, describe_solution
 from clientele.operators.spectral import SpectralEmbedding
 from clientele.operators.ward import WardHierarchy
 from clientele.session import durable
@@ -125,76 +127,132 @@ def ready(prepared: DataFrame) -> DataFrame:
     return durable(prepared.select("id", "features").sortWithinPartitions("id"))
 
 
-class FitFactory:
-    """Base fits and subsample refits of one prepared table; trees and embeddings are shared between counts."""
-
-    def __init__(
-        self, frame: DataFrame, rows: int, columns: int, seed: int, settings: FitSettings, most: int, repeats: int
-    ):
-        self.frame, self.rows, self.columns, self.seed, self.settings = frame, rows, columns, seed, settings
-        self._most, self._repeats = most, repeats
-        self._ward: WardHierarchy | None = None
-        self._spectral: SpectralEmbedding | None = None
-
-    def prepare(self, algorithms: Sequence[str]) -> None:
-        if "hierarchical" in algorithms and self._ward is None:
-            self._ward = WardHierarchy(self.frame, self.seed, self.settings)
-        if "spectral" in algorithms and self._spectral is None:
-            self._spectral = SpectralEmbedding(
-                self.frame, self.rows, self.seed, self.settings, self._most, self._repeats
-            )
-
-    @property
-    def ward(self) -> WardHierarchy | None:
-        return self._ward
-
-    def base(self, algorithm: str, k: int) -> Fit:
-        if algorithm == "kmeans":
-            return fit_kmeans(self.frame, self.rows, k, self.seed, self.settings)
-        if algorithm == "gmm":
-            return fit_gmm(self.frame, self.rows, k, self.seed, self.settings, self.columns)
-        if algorithm == "hierarchical":
-            return self._ward.fit(k, self.rows)
-        if algorithm == "spectral":
-            return self._spectral.fit(k)
+@dataclass
+class CandidateFits:
+    """Fits of a grid on the full table and on the stability subsamples; a ``DataProblem`` where there is none."""
+
+    base: dict[tuple[str, int], Fit | DataProblem]
+    refits: dict[tuple[str, int, int], Fit | DataProblem]
+
+
+def fit_grid(
+    frame: DataFrame,
+    rows: int,
+    columns: int,
+    algorithms: Sequence[str],
+    counts: Sequence[int],
+    repeats: int,
+    seed: int,
+    settings: FitSettings,
+    threads: int = DRIVER_THREADS,
+) -> CandidateFits:
+    """Fit every method at every segment count, and again on ``repeats`` subsamples.
+
+    Within a method all segment counts and subsamples share passes over the table. K-means partitions also start the
+    mixtures. Methods run from separate driver threads so that their jobs overlap.
+    """
+    found = CandidateFits({}, {})
+    everywhere = [None, *range(repeats)]
+    wanted = [(k, subsample) for subsample in everywhere for k in counts]
+
+    def store(algorithm: str, k: int, subsample: int | None, fit: Fit | DataProblem) -> None:
+        if subsample is None:
+            found.base[(algorithm, k)] = fit
+        else:
+            found.refits[(algorithm, k, subsample)] = fit
+
+    def guarded(make) -> Fit | DataProblem:
+        try:
+            return make()
+        except DataProblem as problem:
+            return problem
+        except (ValueError, np.linalg.LinAlgError):
+            return DataProblem("Numerical fitting failed for this candidate.")
+
+    def centre_methods() -> None:
+        partitions = fit_partitions(frame, wanted, seed, settings, repeats, keep=settings.gmm_starts)
+        if "kmeans" in algorithms:
+            for (k, subsample), outcome in partitions.items():
+                fit = outcome
+                if not isinstance(outcome, DataProblem):
+                    fit = guarded(lambda: partition_fit(outcome[0], k, f"{settings.kmeans_starts} starts"))
+                store("kmeans", k, subsample, fit)
+        if "gmm" in algorithms:
+            counted = frame.agg(*[F.count_if(subsample_mask(r, seed)).alias(f"n{r}") for r in range(repeats)]).first() if repeats else {}
+            sizes = {None: rows, **{r: counted[f"n{r}"] for r in range(repeats)}}
+            for (k, subsample), fit in fit_mixtures(
+                frame, wanted, sizes, columns, seed, settings, repeats, partitions
+            ).items():
+                store("gmm", k, subsample, fit)
+
+    def ward() -> None:
+        full = WardHierarchy(frame, seed, settings)
+        for subsample, tree in zip(everywhere, [full, *(full.subsampled(repeats) if repeats else [])]):
+            for k in counts:
+                store("hierarchical", k, subsample, guarded(lambda: tree.fit(k, rows)))
+
+    def spectral() -> None:
+        embedding = SpectralEmbedding(frame, rows, seed, settings, repeats)
+        for subsample in everywhere:
+            for k, fit in embedding.fits(counts, subsample).items():
+                store("spectral", k, subsample, fit)
+
+    work = []
+    if {"kmeans", "gmm"} & set(algorithms):
+        work.append(centre_methods)
+    if "hierarchical" in algorithms:
+        work.append(ward)
+    if "spectral" in algorithms:
+        work.append(spectral)
+    with ThreadPoolExecutor(min(threads, len(work))) as pool:
+        run = inheritable_thread_target(frame.sparkSession)
+        for task in [pool.submit(run(job)) for job in work]:
+            task.result()
+    return found
+
+
+def fit_candidate(
+    prepared: DataFrame, algorithm: str, k: int, seed: int = 42, settings: FitSettings | None = None
+) -> Fit:
+    """Any method at any segment count, without a comparison."""
+    if algorithm not in METHODS:
         raise DataProblem(f"Unknown method: {algorithm}")
+    frame = ready(prepared)
+    rows = frame.count()
+    check_k(k, rows)
+    columns = frame.select("features").first()["features"].size
+    fit = fit_grid(frame, rows, columns, [algorithm], [k], 0, seed, settings or FitSettings()).base[(algorithm, k)]
+    if isinstance(fit, DataProblem):
+        raise fit
+    return fit
 
-    def refit(self, algorithm: str, k: int, repeat: int) -> Fit:
-        if algorithm == "hierarchical":
-            return self._ward.refit(k, repeat, self.seed)
-        if algorithm == "spectral":
-            return self._spectral.fit(k, repeat)
-        sample = self.frame.filter(subsample_mask(repeat, self.seed))
-        settings, seed = self.settings.for_refits(), self.seed + repeat + 1
-        if algorithm == "kmeans":
-            return fit_kmeans(sample, self.rows, k, seed, settings)
-        # The mixture's size rule applies to the rows it really sees.
-        return fit_gmm(sample, sample.count(), k, seed, settings, self.columns)
 
-    def release(self) -> None:
-        if self._spectral is not None:
-            self._spectral.release()
+def fit_solution(
+    prepared: DataFrame, algorithm: str, k: int, seed: int = 42, settings: FitSettings | None = None
+) -> SegmentSolution:
+    """Fit one candidate and describe it: named segments, confidence, two-axis map."""
+    frame = ready(prepared)
+    fit = fit_candidate(frame, algorithm, k, seed, settings)
+    return describe_solution(fit.label(frame, "raw_label"), "raw_label", fit)
 
 
 def subsample_stability(
-    labels: DataFrame, label: str, factory: FitFactory, algorithm: str, k: int, repeats: int
+    labels: DataFrame, label: str, refits: Sequence[Fit | DataProblem], seed: int
 ) -> tuple[float, float, int]:
     """Mean and spread of the agreement with refits on 80 % subsamples, and how many refits worked.
 
     Each refit adds one label column; one contingency table serves all repeats. A refit that fails counts as zero.
     """
     table, pairs = labels, {}
-    for repeat in range(repeats):
-        try:
-            refit = factory.refit(algorithm, k, repeat)
-        except (DataProblem, ValueError, np.linalg.LinAlgError):
+    for repeat, refit in enumerate(refits):
+        if isinstance(refit, DataProblem):
             continue
         name = f"r{repeat}"
         table = refit.label(table, name)
-        table = table.withColumn(name, F.when(subsample_mask(repeat, factory.seed), F.col(name)))
+        table = table.withColumn(name, F.when(subsample_mask(repeat, seed), F.col(name)))
         pairs[name] = (label, name)
     scores = [row["ari"] for row in D.pair_agreement(table, pairs).collect()] if pairs else []
-    scores += [0.0] * (repeats - len(scores))
+    scores += [0.0] * (len(refits) - len(scores))
     return statistics.fmean(scores), statistics.stdev(scores), len(pairs)
 
 
@@ -228,27 +286,15 @@ def compare_solutions(
     repeats = max(2, stability_repeats)
     counts = [k for k in sorted(set(k_values)) if k < rows]
     grid = [(algorithm, k) for algorithm in algorithms for k in counts]
-    factory = FitFactory(frame, rows, columns, seed, settings, max(counts, default=2), repeats)
-    factory.prepare(algorithms)
-
+    found = fit_grid(frame, rows, columns, algorithms, counts, repeats, seed, settings, threads)
     failures: list[tuple[str, int, str]] = []
     fits: dict[tuple[str, int], Fit] = {}
-
-    def attempt(candidate: tuple[str, int]) -> Fit | str:
-        try:
-            return factory.base(*candidate)
-        except DataProblem as problem:
-            return str(problem)
-        except (ValueError, np.linalg.LinAlgError):
-            return "Numerical fitting failed for this candidate."
-
-    with ThreadPoolExecutor(threads) as pool:
-        run = inheritable_thread_target(frame.sparkSession)(attempt)
-        for candidate, outcome in zip(grid, pool.map(run, grid)):
-            if isinstance(outcome, Fit):
-                fits[candidate] = outcome
-            else:
-                failures.append((METHODS[candidate[0]], candidate[1], outcome))
+    for candidate in grid:
+        outcome = found.base[candidate]
+        if isinstance(outcome, Fit):
+            fits[candidate] = outcome
+        else:
+            failures.append((METHODS[candidate[0]], candidate[1], str(outcome)))
     if not fits:
         raise DataProblem("No candidate could be fitted: simplify the bases or ask for fewer segments.")
 
@@ -278,7 +324,8 @@ def compare_solutions(
             return None
         stats = D.segment_statistics(labels, name)
         share = stats.counts / stats.total
-        stability, spread, successes = subsample_stability(labels, name, factory, algorithm, k, repeats)
+        refits = [found.refits[(algorithm, k, repeat)] for repeat in range(repeats)]
+        stability, spread, successes = subsample_stability(labels, name, refits, seed)
         bic, aic = (
             information_criteria(fit.log_likelihood, k, columns, rows) if fit.log_likelihood is not None else (None, None)
         )
@@ -314,7 +361,6 @@ def compare_solutions(
                 failures.append((METHODS[candidate[0]], candidate[1], "Numerical fitting failed for this candidate."))
             else:
                 evaluated.append(row)
-    factory.release()
     if not evaluated:
         raise DataProblem("No candidate could be evaluated: simplify the bases or ask for fewer segments.")
     spark = frame.sparkSession

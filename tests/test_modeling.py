@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from clientele.errors import DataProblem
 from clientele.operators import diagnostics as D
-from clientele.operators.fits import FitSettings, fit_kmeans
+from clientele.operators.fits import FitSettings
+from clientele.operators.kmeans import fit_kmeans
 from clientele.operators.solution import describe_solution
 from clientele.operators.ward import WardHierarchy, build_tree, hierarchy_views
-from clientele.plans.compare import FitFactory, compare_solutions, plan_grid, ready
+from clientele.plans.compare import compare_solutions, fit_candidate, fit_solution, plan_grid, ready
 
-QUICK = FitSettings(kmeans_starts=2, gmm_starts=1, spectral_starts=2, refit_starts=1)
+QUICK = FitSettings(gmm_starts=1)
 
 
 def prepared(spark, matrix, partitions=4):
@@ -98,14 +99,12 @@ def test_approximate_ward_and_spectral_recover_blobs(spark):
     matrix = blobs([-4, 0, 4], 120, 0.6, columns=2)
     truth = np.repeat([0, 1, 2], 120)
     frame = prepared(spark, matrix)
-    rough = FitSettings(ward_leaves=50, micro_clusters=30, landmarks=60, spectral_starts=2)
+    rough = FitSettings(ward_leaves=50, micro_clusters=30, landmarks=60)
     tree = WardHierarchy(frame, 42, rough)
     assert not tree.micro.exact and "micro-clusters" in tree.detail
     assert ari(truth, labels_of(frame, tree.fit(3, 360))) > 0.95
-    factory = FitFactory(frame, 360, 2, 42, rough, 3, 2)
-    factory.prepare(["spectral"])
-    assert ari(truth, labels_of(frame, factory.base("spectral", 3))) > 0.95
-    factory.release()
+    assert ari(truth, labels_of(frame, fit_candidate(frame, "spectral", 3, settings=rough))) > 0.95
+    assert fit_solution(frame, "kmeans", 3).assignments.filter("confidence < 0.5").count() == 0
 
 
 def test_ward_tree_matches_exhaustive_merging():
