@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Up to this many subtractions the distances are plain arithmetic inside generated code; more would outgrow a JVM
@@ -21,15 +19,16 @@ def with_distances(frame: DataFrame, centres: np.ndarray, name: str, features: s
     frame = frame.withColumn(point, vector_to_array(features))
     k, p = centres.shape
     if k * p <= INLINE_TERMS:
-        distances = F.array(*[_inline_distance(F.col(point), centre) for centre in centres])
+        # One parsed expression: building it node by node would cost a driver round trip per term.
+        distances = F.expr("array(" + ", ".join(_distance_text(point, centre) for centre in centres) + ")")
     else:
         distances = _batch_distances(centres)(F.col(point))
     return frame.withColumn(name, distances).drop(point)
 
 
-def _inline_distance(point: Column, centre: np.ndarray) -> Column:
-    gaps = [point[i] - F.lit(float(c)) for i, c in enumerate(centre)]
-    return F.sqrt(reduce(lambda total, gap: total + gap * gap, gaps[1:], gaps[0] * gaps[0]))
+def _distance_text(point: str, centre: np.ndarray) -> str:
+    gaps = [f"({point}[{i}] - ({float(c)!r}D))" for i, c in enumerate(centre)]
+    return "sqrt(" + " + ".join(f"{gap} * {gap}" for gap in gaps) + ")"
 
 
 def _batch_distances(centres: np.ndarray):

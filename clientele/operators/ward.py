@@ -203,13 +203,13 @@ class WardHierarchy:
     def _cut(self, occupied: np.ndarray, tree: MergeTree, k: int) -> Fit:
         check_realized(min(tree.leaves, k), k)
         groups = tree.cut(k)
-        by_micro: list[int | None] = [None] * len(self.micro.counts)
-        for micro, group in zip(occupied, groups):
-            by_micro[micro] = int(group)
-        chosen = F.lit(by_micro) if None not in by_micro else F.array(*[F.lit(g).cast("int") for g in by_micro])
+        by_micro = np.full(len(self.micro.counts), -1)  # a cell without customers needs no group
+        by_micro[occupied] = groups
+        # A folded literal: one expression node instead of one per micro-cluster.
+        chosen = F.split(F.lit(",".join(map(str, by_micro))), ",").cast("array<int>")
 
         def label(table: DataFrame, name: str) -> DataFrame:
-            return self.micro.assign(table).withColumn(name, F.get(chosen, F.col(MICRO)).cast("int")).drop(MICRO)
+            return self.micro.assign(table).withColumn(name, F.get(chosen, F.col(MICRO))).drop(MICRO)
 
         return Fit("hierarchical", k, label, detail=self.detail)
 
