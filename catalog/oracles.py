@@ -535,6 +535,21 @@ t AS (SELECT md5(concat_ws(chr(1), CAST(customer_id AS VARCHAR), CAST(frequency
 s AS (SELECT count(*) AS n, sum(CAST('0x' || substr(d, 1, 8) AS BIGINT)) AS a, sum(CAST('0x' || substr(d, 9, 8) AS BIGINT)) AS b, min(d) AS lo, max(d) AS hi FROM t)
 SELECT n AS customers, sha256(concat_ws('|', CAST(n AS VARCHAR), CAST(a AS VARCHAR), CAST(b AS VARCHAR), lo, hi)) AS fingerprint FROM s"""
 
+ORACLES["csv_round_trip"] = f"""WITH {BASE_CTE}
+SELECT customer_id, frequency, {r6("recency_days", "recency_days")}, active, market, urgent_status, balance_text FROM base"""
+ORACLES["json_round_trip"] = f"""
+SELECT o_orderkey, {r6("o_totalprice", "o_totalprice")}, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS priority FROM orders"""
+ORACLES["result_pack"] = f"""WITH {BASE_CTE}
+SELECT 'Customer/segment map' AS "table", 'Customer-segment map' AS folder, count(*) AS rows FROM base
+UNION ALL SELECT 'Customer:segment map', 'Customer-segment map_2', count(DISTINCT band) FROM base
+UNION ALL SELECT 'Levels of all categorical columns of the pack', substr('Levels of all categorical columns of the pack', 1, 31),
+    count(DISTINCT nation) + count(DISTINCT coalesce(urgent_status, 'Missing')) + count(DISTINCT active) FROM base"""
+ORACLES["header_names"] = """
+SELECT 4 * n_nationkey AS place, n_name AS header FROM nation
+UNION ALL SELECT 4 * n_nationkey + 1, n_name || '__2' FROM nation
+UNION ALL SELECT 4 * n_nationkey + 2, n_name || '__2__2' FROM nation
+UNION ALL SELECT 4 * n_nationkey + 3, 'column_' || CAST(4 * n_nationkey + 4 AS VARCHAR) FROM nation"""
+
 # -------------------------------------------------------------------------------------------- fits: promises to keep
 
 for name in ("kmeans", "gmm", "ward", "spectral", "pca_map", "compare", "icicle"):

@@ -30,8 +30,18 @@ from clientele.operators.fits import FitSettings
 from clientele.operators.rfm import build_rfm
 from clientele.operators.ward import WardHierarchy
 from clientele.plans.compare import compare_solutions, fit_candidate, fit_solution, ready
-from clientele.session import use_utc
-from clientele.sinks.exports import dataset_fingerprint, neutral_text
+from clientele.functions.names import unique_headers
+from clientele.session import scratch_folder, use_utc
+from clientele.sinks.exports import (
+    analysis_manifest,
+    dataset_fingerprint,
+    neutral_text,
+    settings_signature,
+    write_csv,
+    write_json,
+    write_results,
+)
+from clientele.sources.files import load_data, read_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -557,12 +567,12 @@ def segment_summary(spark, sf_dir):
     return found.select("segment", "name", "customers", r6("`share_%`").alias("share_%"))
 
 
-def numeric_by_band(spark, sf_dir):
-    return T.numeric_profile(customer_base(spark, sf_dir).persist(), NUMERIC, BASES, "band")
+def numeric_by_band(spark, sf_dir, base: DataFrame | None = None):
+    return T.numeric_profile(base or customer_base(spark, sf_dir).persist(), NUMERIC, BASES, "band")
 
 
-def categorical_by_band(spark, sf_dir):
-    return T.categorical_profile(customer_base(spark, sf_dir), CATEGORICAL, BASES, "band")
+def categorical_by_band(spark, sf_dir, base: DataFrame | None = None):
+    return T.categorical_profile(base or customer_base(spark, sf_dir), CATEGORICAL, BASES, "band")
 
 
 @query
@@ -585,8 +595,9 @@ def categorical_profile(spark, sf_dir):
 
 @query
 def segment_cards(spark, sf_dir):
-    summary = T.segment_summary(customer_base(spark, sf_dir), "band")
-    cards = T.segment_cards(summary, numeric_by_band(spark, sf_dir), categorical_by_band(spark, sf_dir))
+    base = customer_base(spark, sf_dir).persist()
+    summary = T.segment_summary(base, "band")
+    cards = T.segment_cards(summary, numeric_by_band(spark, sf_dir, base), categorical_by_band(spark, sf_dir, base))
     return cards.select("segment", "suggested_name")
 
 
@@ -604,7 +615,8 @@ def snake_profile(spark, sf_dir):
 
 @query
 def descriptor_notes(spark, sf_dir):
-    found = T.descriptor_notes(numeric_by_band(spark, sf_dir), categorical_by_band(spark, sf_dir))
+    base = customer_base(spark, sf_dir).persist()
+    found = T.descriptor_notes(numeric_by_band(spark, sf_dir, base), categorical_by_band(spark, sf_dir, base))
     return found.select("segment", "kind", "feature", "level", r6("strength").alias("strength"))
 
 
@@ -678,6 +690,63 @@ def fingerprint(spark, sf_dir):
     return dataset_fingerprint(base, base.columns)
 
 
+@query
+def csv_round_trip(spark, sf_dir):
+    """Customers written as neutralised delimited files and loaded again with detected types."""
+    folder = f"{scratch_folder(spark)}.csv"
+    base = customer_base(spark, sf_dir)
+    write_csv(base.select("customer_id", "frequency", "recency_days", "active", "market", "urgent_status", "balance_text"), folder)
+    back = load_data(spark, folder).tables["customers"]
+    return back.withColumn("recency_days", r6("recency_days"))
+
+
+@query
+def json_round_trip(spark, sf_dir):
+    """Order rows written as JSON lines and loaded again; key order and nulls survive."""
+    folder = scratch_folder(spark)
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_totalprice", F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("priority")
+    )
+    write_json({"orders": orders}, folder)
+    back = read_json(spark, f"{folder}/orders")["customers"]
+    return back.withColumn("o_totalprice", r6("o_totalprice"))
+
+
+@query
+def result_pack(spark, sf_dir):
+    """A pack of several tables in folders with cleaned names, counted after reading it back."""
+    base = customer_base(spark, sf_dir).persist()
+    tables = {
+        "Customer/segment map": base.select("customer_id", "band"),
+        "Customer:segment map": T.segment_summary(base, "band"),
+        "Levels of all categorical columns of the pack": P.level_counts(base, MATRIX_CATEGORICAL),
+    }
+    found = None
+    for name, path in write_results(tables, scratch_folder(spark), "parquet").items():
+        part = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("table"), F.lit(path.rsplit("/", 1)[-1]).alias("folder"), "rows"
+        )
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query
+def header_names(spark, sf_dir):
+    """Headers made of data: repeated, padded and blank names become unique."""
+    nations = [r["n_name"] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").collect()]
+    raw = [n for n in nations for n in (n, f" {n} ", f"{n}__2", " ")]
+    return spark.createDataFrame(list(enumerate(unique_headers(raw))), "place long, header string")
+
+
+@query
+def manifest(spark, sf_dir):
+    base = customer_base(spark, sf_dir).persist()
+    model = P.prepare_features(base, matrix_config())
+    facts = {"algorithm": "kmeans", "segments": 4, "basis_variables": list(MATRIX_NUMERIC), "preprocessing": model.audit}
+    facts["signature"] = settings_signature(spark, facts)
+    return analysis_manifest(spark, facts)
+
+
 # --------------------------------------------------------------------------------------------------- fits and pipeline
 
 QUICK = FitSettings(kmeans_starts=10, polished=2, refit_starts=6, gmm_starts=1, landmarks=500)

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,7 +20,17 @@ from pyspark.sql import types as T
 
 from clientele.errors import DataProblem
 from clientele.functions import rules
-from clientele.functions.coerce import NUMBER_TEXT, dtype_of, half_even, is_blank, is_number, is_text, missing, quoted
+from clientele.functions.coerce import (
+    NUMBER_TEXT,
+    dtype_of,
+    half_even,
+    is_blank,
+    is_number,
+    is_text,
+    missing,
+    quoted,
+    to_number,
+)
 
 LONGEST_PLAIN_KEY = 64
 
@@ -301,33 +313,63 @@ def validate_customer_table(
 def correlated_pairs(frame: DataFrame, columns: Sequence[str], threshold: float = rules.HIGH_CORRELATION) -> DataFrame:
     """Pairs of numeric columns with an absolute Pearson correlation at or above the threshold.
 
-    One aggregate over rows where both values exist; a constant side gives no correlation instead of an error.
+    Each pair uses the rows where both values exist. Thirty columns make 435 pairs, too many for one generated
+    aggregate, so tasks turn their rows into pair sums with matrix products and Spark adds those up. Values are taken
+    about the column means of a first pass, which keeps the sums free of cancellation.
     """
     numeric = [name for name in columns if is_number(dtype_of(frame, name))]
-    pairs = [(a, b) for i, a in enumerate(numeric) for b in numeric[i + 1 :]]
-    schema = "left string, right string, correlation double"
-    if not pairs:
-        return frame.sparkSession.createDataFrame([], schema)
-
-    def value(name: str) -> Column:
-        column = quoted(name).cast("double")
-        return F.when(~F.isnan(column), column)
-
-    aggregates = []
-    for a, b in pairs:
-        x, y = F.when(value(b).isNotNull(), value(a)), F.when(value(a).isNotNull(), value(b))
-        aggregates.append(
-            F.struct(
-                F.lit(a).alias("left"),
-                F.lit(b).alias("right"),
-                F.abs(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))).alias("correlation"),
-            )
+    if len(numeric) < 2:
+        return frame.sparkSession.createDataFrame([], "left string, right string, correlation double")
+    values = [to_number(quoted(name), dtype_of(frame, name)) for name in numeric]
+    middle = frame.agg(*[F.avg(value).alias(f"m{i}") for i, value in enumerate(values)]).first()
+    gaps = [(value - F.lit(middle[i] or 0.0)).alias(f"x{i}") for i, value in enumerate(values)]
+    left, right = np.triu_indices(len(numeric), 1)
+
+    def sums(batches):
+        total = np.zeros((6, len(left)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            there = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            square = x * x
+            both = (there.T @ there, x.T @ there, there.T @ x, square.T @ there, there.T @ square, x.T @ x)
+            total += np.stack([product[left, right] for product in both])
+        yield pa.RecordBatch.from_pydict(
+            {"pair": np.arange(len(left), dtype="int32"), **{f"s{i}": total[i] for i in range(6)}}
         )
-    return (
-        frame.agg(F.array(*aggregates).alias("pairs"))
-        .select(F.inline("pairs"))
-        .filter(F.col("correlation") >= threshold)
+
+    added = (
+        frame.select(*gaps)
+        .mapInArrow(sums, "pair int, " + ", ".join(f"s{i} double" for i in range(6)))
+        .groupBy("pair")
+        .agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(6)])
     )
+    n, x, y, xx, yy, xy = (F.col(f"s{i}") for i in range(6))
+    spread = (n * xx - x * x) * (n * yy - y * y)
+    flat = 1e-20 * n * xx * n * yy  # a side that does not vary where the other exists
+    strength = F.when(spread > flat, F.abs(n * xy - x * y) / F.sqrt(spread))
+    names = F.array(*map(F.lit, numeric))
+    places = F.array(*[F.struct(F.lit(int(a)).alias("a"), F.lit(int(b)).alias("b")) for a, b in zip(left, right)])
+    at = F.get(places, F.col("pair"))
+    return added.select(
+        F.get(names, at.getField("a")).alias("left"),
+        F.get(names, at.getField("b")).alias("right"),
+        strength.alias("correlation"),
+    ).filter(F.col("correlation") >= threshold)
+
+
+def at_most_two_values(frame: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Numeric columns whose values are all equal to their smallest or largest: two shuffle-free aggregates."""
+    values = {name: to_number(quoted(name), dtype_of(frame, name)) for name in columns}
+    if not values:
+        return []
+    ends = frame.agg(*[F.struct(F.min(v), F.max(v)).alias(f"e{i}") for i, v in enumerate(values.values())]).first()
+    between = [
+        F.count_if((v > F.lit(ends[f"e{i}"][0])) & (v < F.lit(ends[f"e{i}"][1]))).alias(f"n{i}")
+        for i, v in enumerate(values.values())
+    ]
+    inside = frame.agg(*between).first()
+    return [name for i, name in enumerate(values) if not inside[f"n{i}"]]
 
 
 def binary_numeric_columns(profile: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientele.functions.coerce import quoted
-from clientele.operators.audit import validate_customer_table
+from clientele.operators.audit import at_most_two_values, validate_customer_table
 from clientele.operators.fits import METHODS, FitSettings
 from clientele.operators.prepare import PreprocessConfig, PrepModel, infer_feature_types, prepare_features
 from clientele.operators.profile import ProfileResult, build_segment_map, profile_segments, segment_summary
@@ -106,7 +106,7 @@ def segment_customers(
     prepared = ready(prep.matrix(customers, id_column))
 
     rows = prep.audit["rows"]
-    binary = any(_is_binary(customers, name) for name in config.numeric_columns)
+    binary = bool(at_most_two_values(customers, config.numeric_columns))
     plan = plan_grid(rows, bool(config.categorical_columns), binary, k_values)
     methods = tuple(algorithms) if algorithms is not None else plan.algorithms
     comparison = compare_solutions(prepared, methods, plan.k_values, stability_repeats, seed, settings)
@@ -156,8 +156,3 @@ def segment_customers(
     return Segmentation(
         customers, id_column, bases, descriptors, prep, comparison, solution, profile, names, facts
     )
-
-
-def _is_binary(customers: DataFrame, name: str) -> bool:
-    """At most two distinct values; stops early because only three are asked for."""
-    return customers.select(quoted(name).alias("v")).dropna().distinct().limit(3).count() <= 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise DataProblem("Set spark.checkpoint.dir to a folder that every executor can reach.")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+
+
 def durable(frame: DataFrame) -> DataFrame:
     """Write a frame to the shared checkpoint folder once, then keep its blocks cached.
 

@@ -1,0 +1 @@
+"""Empty on purpose: the analysis works on complete customer tables and logs and has no streaming operator."""
