@@ -20,7 +20,16 @@ from pyspark.sql import functions as F
 
 from clientele.errors import DataProblem
 from clientele.operators.fits import Fit, FitSettings, check_k, check_realized
-from clientele.operators.kmeans import POINT, Partition, fit_partitions, gather, points_table
+from clientele.operators.kmeans import (
+    POINT,
+    SEED_ROWS,
+    SEED_ROWS_PER_GROUP,
+    Partition,
+    fit_partitions,
+    gather,
+    points_table,
+    seed_sample,
+)
 
 RIDGE = 1e-6
 TOLERANCE = 1e-3  # change of the mean log-likelihood per customer
@@ -141,6 +150,27 @@ def _step(points: DataFrame, climbs: Sequence[_Climb]) -> list[tuple]:
     ]
 
 
+def _warm_up(climb: _Climb, rows: np.ndarray) -> None:
+    """First steps on the seeding sample, so that the whole table is read for the last ones only."""
+    share, before = _make_share(), -math.inf
+    for _ in range(100):
+        hard = climb.weights is None
+        try:
+            portion, density = share(rows, climb.centres, *climb.scorer())
+        except np.linalg.LinAlgError:
+            return  # the passes over the whole table decide whether this mixture can be fitted
+        gaps = [rows - centre for centre in climb.centres]
+        climb.update(
+            portion.sum(axis=0),
+            np.stack([w @ g for w, g in zip(portion.T, gaps)]),
+            np.stack([(w[:, None] * g).T @ g for w, g in zip(portion.T, gaps)]),
+        )
+        if not hard:
+            if abs(density.mean() - before) < TOLERANCE:
+                return
+            before = density.mean()
+
+
 def _climb_all(points: DataFrame, climbs: Sequence[_Climb], max_iterations: int) -> None:
     waves: list[list[_Climb]] = [[]]
     for climb in climbs:
@@ -220,6 +250,12 @@ def fit_mixtures(
         if not whole:
             results[key] = DataProblem(f"The fit produced {found[0].realized} distinct groups instead of the requested {key[0]}.")
         climbs += [_Climb(key, key[1], p.centres, sizes[key[1]]) for p in whole]
+    most = max(k for k, _ in able)
+    sample, inside = seed_sample(frame, max(SEED_ROWS, SEED_ROWS_PER_GROUP * most), subsamples, seed)
+    for climb in climbs:
+        rows = sample if climb.subsample is None else sample[inside[climb.subsample]]
+        if len(rows) >= mixture_minimum_rows(climb.key[0], columns):
+            _warm_up(climb, rows)
     _climb_all(points_table(frame, subsamples, seed), climbs, settings.max_iterations)
     for key in able:
         own = [c for c in climbs if c.key == key]

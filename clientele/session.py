@@ -18,6 +18,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
+# Only read when a session starts: recording the Python call site of every expression doubles the time it takes to
+# build wide projections.
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def new_session(app_name: str = "clientele", master: str | None = None, **settings: str) -> SparkSession:
@@ -25,7 +28,7 @@ def new_session(app_name: str = "clientele", master: str | None = None, **settin
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in RUNTIME_SETTINGS.items():
+    for key, value in {**RUNTIME_SETTINGS, **START_SETTINGS}.items():
         builder = builder.config(key, value)
     for key, value in settings.items():
         builder = builder.config(key.replace("_", "."), value)
