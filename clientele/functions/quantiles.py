@@ -2,10 +2,10 @@
 
 The built-in ``percentile`` keeps every distinct value of a group in one buffer. That is used only below
 ``ONE_TASK_VALUES`` values. Above it, each pass narrows a bracket around the wanted rank: one shuffle-free aggregate
-counts the values below and inside the bracket and sketches the inside with ``percentile_approx``; the sketch
-proposes the next bracket and the next pass's exact counts confirm it. A pass shrinks a bracket several hundred
-times, so a trillion values need about four. Values that repeat billions of times sit on a bracket edge, where they
-are counted, never gathered.
+counts the values below and inside the bracket and sketches a thinned share of the inside with
+``percentile_approx``; the sketch proposes the next bracket and the next pass's exact counts confirm it or reopen it.
+So thinning affects speed, never the result. A pass shrinks a bracket about sixty times, so a trillion values need five
+or six cheap passes. Values that repeat billions of times sit on a bracket edge, where they are counted, never gathered.
 """
 
 from __future__ import annotations
@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ONE_TASK_VALUES = 100_000
-SKETCH_ACCURACY = 10_000
-SKETCH_STEPS = 1_000
+SKETCHED_VALUES = 250_000
+SKETCH_ACCURACY = 2_000
+SKETCH_STEPS = 500
+DRAW = "__draw"
+SKETCH_SLACK = 0.007  # five standard errors of a thinned rank plus the sketch's own error
 
 Group = object
 Key = tuple[Group, str]
@@ -30,6 +33,7 @@ class _Bracket:
     """The wanted value lies in [low, high]; column values are finite, so infinity means unbounded."""
 
     rank: int
+    expected: float  # values thought to lie inside
     low: float = -math.inf
     high: float = math.inf
     value: float | None = None
@@ -98,7 +102,7 @@ def order_statistics(
     """Values at the given zero-based ranks of each ``(group, column)``."""
     small = {key: list(ranks[key]) for key in ranks if counts[key] <= one_task_values}
     result = _in_one_task(frame, columns, small, counts, by) if small else {}
-    large = {key: [_Bracket(rank) for rank in ranks[key]] for key in ranks if counts[key] > one_task_values}
+    large = {key: [_Bracket(rank, counts[key]) for rank in ranks[key]] for key in ranks if counts[key] > one_task_values}
     if large:
         _narrow(frame, columns, large, by, one_task_values)
         result.update({key: {b.rank: b.value for b in brackets} for key, brackets in large.items()})
@@ -157,7 +161,8 @@ def _narrow(
     by: str | None,
     one_task_values: int,
 ) -> None:
-    grid = [i / SKETCH_STEPS for i in range(SKETCH_STEPS + 1)]
+    # Parsed once: five hundred single literals would cost a driver round trip each.
+    grid = F.expr("array(" + ", ".join(f"{i / SKETCH_STEPS!r}D" for i in range(SKETCH_STEPS + 1)) + ")")
     while True:
         slots = _slots(brackets, lambda bracket: bracket.value is None and bracket.strict is None)
         if not slots:
@@ -166,15 +171,18 @@ def _narrow(
         for i, ((name, _), spans) in enumerate(slots.items()):
             value, low, high = columns[name], *_edges(spans, by)
             strict = F.when((value > low) & (value < high), value)
+            rate = _by_group(spans, by, lambda bracket: min(1.0, SKETCHED_VALUES / max(bracket.expected, 1.0)))
+            thinned = F.when(F.col(DRAW) < rate, strict)
             aggregates.append(
                 F.struct(
                     F.count_if(value < low).alias("below"),
                     F.count_if(value == low).alias("at_low"),
                     F.count(strict).alias("strict"),
-                    F.percentile_approx(strict, F.array(*map(F.lit, grid)), F.lit(SKETCH_ACCURACY)).alias("sketch"),
+                    F.percentile_approx(thinned, grid, F.lit(SKETCH_ACCURACY)).alias("sketch"),
                 ).alias(f"s{i}")
             )
-        for row in (frame.groupBy(by) if by else frame.groupBy()).agg(*aggregates).collect():
+        drawn = frame.withColumn(DRAW, F.rand(1))
+        for row in (drawn.groupBy(by) if by else drawn.groupBy()).agg(*aggregates).collect():
             group = row[by] if by else None
             for i, spans in enumerate(slots.values()):
                 for bracket in spans.get(group, ()):
@@ -213,35 +221,44 @@ def _slots(
     return slots
 
 
-def _edges(spans: dict[Group, list[_Bracket]], by: str | None) -> tuple[Column, Column]:
-    """Lower and upper edge as literals, or as a choice by group (null for groups that are done)."""
+def _by_group(spans: dict[Group, list[_Bracket]], by: str | None, pick: Callable[[_Bracket], float]) -> Column:
+    """A number of each group's bracket as a literal, or as a choice by group (null for groups that are done)."""
     if by is None:
         (members,) = spans.values()
-        return F.lit(members[0].low), F.lit(members[0].high)
-    low = high = None
+        return F.lit(pick(members[0]))
+    choice = None
     for group, members in spans.items():
-        here = F.col(by) == F.lit(group)
-        low = F.when(here, members[0].low) if low is None else low.when(here, members[0].low)
-        high = F.when(here, members[0].high) if high is None else high.when(here, members[0].high)
-    return low, high
+        here, number = F.col(by) == F.lit(group), pick(members[0])
+        choice = F.when(here, number) if choice is None else choice.when(here, number)
+    return choice
+
+
+def _edges(spans: dict[Group, list[_Bracket]], by: str | None) -> tuple[Column, Column]:
+    return _by_group(spans, by, lambda bracket: bracket.low), _by_group(spans, by, lambda bracket: bracket.high)
 
 
 def _settle(found, bracket: _Bracket, one_task_values: int) -> None:
     below, at_low, strict, sketch = found["below"], found["at_low"], found["strict"], found["sketch"]
     inner = bracket.rank - below - at_low
     if bracket.rank < below:
-        bracket.low, bracket.high = -math.inf, bracket.low  # the sketch promised too high a lower edge
+        # The sketch promised too high a lower edge.
+        bracket.low, bracket.high, bracket.expected = -math.inf, bracket.low, below
     elif inner < 0:
         bracket.value = bracket.low
     elif inner >= strict:
-        bracket.low, bracket.high = bracket.high, math.inf  # the upper edge itself, or beyond it after a poor sketch
+        # The upper edge itself, or a value beyond it after a poor sketch.
+        bracket.low, bracket.high = bracket.high, math.inf
     elif strict <= one_task_values:
         bracket.strict, bracket.strict_rank = strict, inner
     else:
-        share, slack = inner / (strict - 1), 2.0 / SKETCH_ACCURACY
-        first = math.floor((share - slack) * SKETCH_STEPS) - 1
-        last = math.ceil((share + slack) * SKETCH_STEPS) + 1
+        bracket.expected = strict
+        if not sketch:
+            return  # nothing was drawn: the count just made sets the next share
+        share = inner / (strict - 1)
+        first = math.floor((share - SKETCH_SLACK) * SKETCH_STEPS)
+        last = math.ceil((share + SKETCH_SLACK) * SKETCH_STEPS)
         if first >= 0:
             bracket.low = sketch[first]
         if last <= SKETCH_STEPS:
             bracket.high = sketch[last]
+        bracket.expected = strict * (min(last, SKETCH_STEPS) - max(first, 0)) / SKETCH_STEPS

@@ -16,6 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clientele.errors import DataProblem
 from clientele.functions.geometry import with_distances
@@ -211,34 +212,37 @@ def pair_agreement(frame: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> Da
     Each row contributes one cell per pair to a contingency table that is combined before the shuffle; the table has
     k × k cells per pair. Row sums, column sums and the total come from the same table.
     """
+    whole = all(isinstance(frame.schema[c].dataType, T.IntegralType) for pair in pairs.values() for c in pair)
+    kind = "int" if whole else "string"
     cells = [
-        F.struct(F.lit(name).alias("pair"), F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"))
-        for name, (a, b) in pairs.items()
+        F.struct(F.lit(place).alias("place"), F.col(a).cast(kind).alias("a"), F.col(b).cast(kind).alias("b"))
+        for place, (a, b) in enumerate(pairs.values())
     ]
+    names = F.array(*map(F.lit, pairs))
     table = (
         frame.select(F.inline(F.array(*cells)))
         .filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("pair", "a", "b")
+        .groupBy("place", "a", "b")
         .agg(F.count(F.lit(1)).cast("double").alias("n"))
     )
     pairs_of = F.col("n") * (F.col("n") - 1) / 2
-    in_row = F.sum("n").over(W.partitionBy("pair", "a"))
-    in_column = F.sum("n").over(W.partitionBy("pair", "b"))
-    row_lead = F.row_number().over(W.partitionBy("pair", "a").orderBy("b")) == 1
-    column_lead = F.row_number().over(W.partitionBy("pair", "b").orderBy("a")) == 1
+    in_row = F.sum("n").over(W.partitionBy("place", "a"))
+    in_column = F.sum("n").over(W.partitionBy("place", "b"))
+    row_lead = F.row_number().over(W.partitionBy("place", "a").orderBy("b")) == 1
+    column_lead = F.row_number().over(W.partitionBy("place", "b").orderBy("a")) == 1
 
     def choose_two(size: Column) -> Column:
         return size * (size - 1) / 2
 
     sums = (
         table.select(
-            "pair",
+            "place",
             "n",
             pairs_of.alias("joint"),
             F.when(row_lead, choose_two(in_row)).otherwise(0.0).alias("by_row"),
             F.when(column_lead, choose_two(in_column)).otherwise(0.0).alias("by_column"),
         )
-        .groupBy("pair")
+        .groupBy("place")
         .agg(
             F.sum("joint").alias("s"), F.sum("by_row").alias("a"), F.sum("by_column").alias("b"),
             choose_two(F.sum("n")).alias("all"),
@@ -246,7 +250,7 @@ def pair_agreement(frame: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> Da
     )
     expected = F.col("a") * F.col("b") / F.col("all")
     spread = (F.col("a") + F.col("b")) / 2 - expected
-    return sums.select("pair", F.when(spread == 0, 1.0).otherwise((F.col("s") - expected) / spread).alias("ari"))
+    return sums.select(F.get(names, F.col("place")).alias("pair"), F.when(spread == 0, 1.0).otherwise((F.col("s") - expected) / spread).alias("ari"))
 
 
 def method_agreement(pair_scores: DataFrame) -> DataFrame:
