@@ -1,10 +1,12 @@
 """Preparation of segmentation bases: fit a handful of aggregates once, then apply one projection.
 
-Fitting runs three jobs over the needed columns, whatever their number:
+Fitting costs a few aggregates over the needed columns, whatever their number:
 
-1. counts, missing and unreadable values, and the frequent levels of categorical bases;
-2. the exact order statistics behind the median and the 1 % / 99 % bounds;
-3. moments of the clipped values, raw and on the log scale, so that no fourth pass is needed once skew is known.
+1. counts, missing and unreadable values;
+2. the exact order statistics behind the median and the 1 % / 99 % bounds: one job for small tables, a few
+   shuffle-free passes for large ones;
+3. moments of the clipped values, raw and on the log scale, so that no further pass is needed once skew is known;
+4. level counts of categorical bases, the only step with a shuffle.
 
 The fitted ``PrepModel`` is a few numbers per column. Applying it is a projection without shuffle or UDF.
 """
