@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clientele.llm.decontaminate import find_contamination, is_contaminated
 from clientele.llm.packing import pack_documents
-from clientele.llm.shared import read_table
+from clientele.llm.quality import scored_quality, statistics_table, train_quality
+from clientele.llm.shared import read_table, stored
 from clientele.llm.sharding import assign_shards
+from clientele.llm.toxicity import scored_toxicity, train_toxicity
 from clientele.llm.urls import Rule, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +45,37 @@ def op5_best_fit_packs(spark, sf_dir):
 def op8_url_trees(spark, sf_dir):
     """Host, path, rule and verdict of every page."""
     return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _remainder(column: str, modulus: int):
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
+
+
+@query
+def op1_decontaminate(spark, sf_dir):
+    """Documents against all benchmark items: windows of 13 words."""
+    found = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"),
+    )
+
+
+@query
+def op2_quality(spark, sf_dir):
+    """Quality score of every document."""
+    table = stored(statistics_table(read_table(spark, sf_dir, "documents"), "doc_id", "text"))
+    model = train_quality(table, read_table(spark, sf_dir, "labels"), _remainder("id", 3) != 1)
+    return scored_quality(table, model).select(
+        F.col("id").alias("doc_id"), (_remainder("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = train_toxicity(docs, read_table(spark, sf_dir, "labels"), _remainder("id", 4) != 2)
+    return scored_toxicity(docs, model).select(
+        "doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
