@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from clientele.llm.decontaminate import find_contamination, is_contaminated
 from clientele.llm.packing import pack_documents
 from clientele.llm.quality import scored_quality, statistics_table, train_quality
+from clientele.llm.secret_scan import find_secrets, spans_as_text
 from clientele.llm.shared import read_table, stored
 from clientele.llm.sharding import assign_shards
+from clientele.llm.simhash import near_copies
 from clientele.llm.toxicity import scored_toxicity, train_toxicity
 from clientele.llm.urls import Rule, judge_urls
 
@@ -79,3 +81,21 @@ def op10_toxicity(spark, sf_dir):
     return scored_toxicity(docs, model).select(
         "doc_id", (_remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query
+def op3_golay_simhash(spark, sf_dir):
+    """Fingerprint and near-copy component of every document."""
+    found = near_copies(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op6_secrets(spark, sf_dir):
+    """Secrets of every document: fixed patterns and random-looking strings."""
+    found = find_secrets(read_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(spans_as_text("base").cast("binary"), 256).alias("base_sha256"), spans_as_text("spans").alias("spans"),
+    )
