@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.llm.decontaminate import find_contamination, is_contaminated
+from clientele.llm.lz_print import fingerprint_documents
 from clientele.llm.packing import pack_documents
 from clientele.llm.quality import scored_quality, statistics_table, train_quality
+from clientele.llm.repeats import remove_repeats
 from clientele.llm.secret_scan import find_secrets, spans_as_text
 from clientele.llm.shared import read_table, stored
 from clientele.llm.sharding import assign_shards
@@ -99,3 +101,18 @@ def op6_secrets(spark, sf_dir):
         "doc_id", count("assign"), count("access"), count("hex"),
         F.sha2(spans_as_text("base").cast("binary"), 256).alias("base_sha256"), spans_as_text("spans").alias("spans"),
     )
+
+
+@query
+def op7_lz_prints(spark, sf_dir):
+    """Phrase fingerprints of every document, its edited text and the next document."""
+    return fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_suffix_repeats(spark, sf_dir):
+    """Strings of 50 bytes that an earlier document holds too, cut from every document."""
+    found = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
