@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from clientele.llm.decontaminate import find_contamination, is_contaminated
 from clientele.llm.lz_print import fingerprint_documents
 from clientele.llm.packing import pack_documents
@@ -116,3 +117,13 @@ def op9_suffix_repeats(spark, sf_dir):
     return found.select(
         "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -14,9 +14,10 @@ from functools import lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientele.llm.components import connected
@@ -154,3 +155,13 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = stored(roots.join(smallest, "root").select("mark", "component_id"))
     return table.join(labels, "mark").select(F.col("id").alias(doc_id), "mark", "component_id")
+
+
+def fingerprint_expression(text: str, shingle: int = SHINGLE) -> Column:
+    """Fingerprint of a text column as an expression, for marking rows in place."""
+
+    @F.pandas_udf("long")
+    def mark(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+
+    return mark(F.col(text))
