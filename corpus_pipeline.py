@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.llm.decontaminate import find_contamination, is_contaminated
+from clientele.llm.near_text import similar_groups
 from clientele.llm.packing import pack_documents
 from clientele.llm.quality import quality_expression, statistics_table, train_quality
 from clientele.llm.secret_scan import redacted
@@ -35,16 +36,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the one with the smallest id (nulls first), ties by the other columns.
 
-    Rows meet only in a minimum per group, which is taken before the shuffle too. Texts without words are one group.
+    Rows are near copies if their SimHash fingerprints (three-word shingles) are at most two bits apart, or if their
+    five-word shingles have a similarity of 0.8 or more; groups are what such links connect. Rows meet only in a minimum
+    per group, which is taken before the shuffle too. Texts without words are one group.
     """
     mark, root = fresh_name(docs, "mark"), fresh_name(docs, "root")
     marked = docs.withColumn(mark, fingerprint_expression("text"))
     table = stored(docs.select(fingerprint_expression("text").alias("mark")).distinct())
     roots = stored(mark_components(table).select(F.col("mark").alias(mark), F.col("root").alias(root)))
-    rest = [c for c in docs.columns if c != "doc_id"]
-    row = F.struct(F.col("doc_id"), *[F.col(f"`{c}`") for c in rest])
+    row = F.struct(F.col("doc_id"), *[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
     kept = marked.join(roots, mark).groupBy(root).agg(F.min(row).alias("row"))
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    kept = stored(kept.select(F.col(root), *[F.col("row").getField(c).alias(c) for c in docs.columns]))
+
+    nodes = kept.select(F.col(root).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    groups = stored(similar_groups(nodes))
+    known = kept.select(F.col(root).alias("node"), F.col("doc_id").alias("id")).join(groups, "node")
+    first = F.min(F.struct("id", "node")).alias("first")
+    stays = stored(known.groupBy("root").agg(first).select("first.node"))
+    goes = stored(groups.join(stays, "node", "left_anti").select(F.col("node").alias(root)))
+    return kept.join(goes, root, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
