@@ -46,7 +46,7 @@ def document_statistics(text: str) -> list[float]:
     return [
         math.log1p(len(body)), _logit(upper / len(text)), _logit(_share_left(body, _DIGIT)), _logit(_share_left(body, _MARK)),
         _logit(_share_left(body, _SYMBOL)), _logit(body.count(b"|") / n), _logit(_share_left(body, _SPACE)),
-        math.log((len(body) - len(lines)) / n), math.log(len(set(words)) / n), math.log(n / len(lines)),
+        math.log(len(body) / n), math.log(len(set(words)) / n), math.log(n / len(lines)),
         math.log(len(set(lines)) / len(lines)), _logit((body.count(b".") + body.count(b"!") + body.count(b"?")) / n),
         _logit(_share_left(body, _BEYOND)), math.log(len(zlib.compress(body, 1)) / len(body)),
         math.log(pairs / max(n - 1, 1)), _logit(sum(len(w) > 20 for w in words) / n),
