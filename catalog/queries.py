@@ -749,7 +749,7 @@ def manifest(spark, sf_dir):
 
 # --------------------------------------------------------------------------------------------------- fits and pipeline
 
-QUICK = FitSettings(kmeans_starts=10, polished=2, refit_starts=6, gmm_starts=1, landmarks=500)
+SETTINGS = FitSettings()
 
 
 def prepared_rfm(spark, sf_dir) -> DataFrame:
@@ -757,7 +757,7 @@ def prepared_rfm(spark, sf_dir) -> DataFrame:
 
 
 def solved(spark, sf_dir, algorithm: str, k: int = 4):
-    return fit_solution(prepared_rfm(spark, sf_dir), algorithm, k, settings=QUICK)
+    return fit_solution(prepared_rfm(spark, sf_dir), algorithm, k, settings=SETTINGS)
 
 
 def solution_rows(spark, sf_dir, algorithm: str) -> DataFrame:
@@ -843,7 +843,7 @@ def pca_map_violations(spark, sf_dir):
 
 
 def compared(spark, sf_dir, algorithms=("kmeans", "hierarchical"), counts=(3, 4)):
-    return compare_solutions(prepared_rfm(spark, sf_dir), algorithms, counts, 4, settings=QUICK)
+    return compare_solutions(prepared_rfm(spark, sf_dir), algorithms, counts, 4, settings=SETTINGS)
 
 
 @query
@@ -879,25 +879,25 @@ def compare_violations(spark, sf_dir):
 @query
 def custom_fit(spark, sf_dir):
     frame = prepared_rfm(spark, sf_dir)
-    fit = fit_candidate(frame, "hierarchical", 7, settings=QUICK)
+    fit = fit_candidate(frame, "hierarchical", 7, settings=SETTINGS)
     return fit.label(frame.select("id", "features"), "label").groupBy("label").agg(F.count(F.lit(1)).alias("customers"))
 
 
 @query
 def icicle(spark, sf_dir):
-    return WardHierarchy(prepared_rfm(spark, sf_dir), 42, QUICK).icicle()
+    return WardHierarchy(prepared_rfm(spark, sf_dir), 42, SETTINGS).icicle()
 
 
 @query
 def top_merges(spark, sf_dir):
-    return WardHierarchy(prepared_rfm(spark, sf_dir), 42, QUICK).top_merges()
+    return WardHierarchy(prepared_rfm(spark, sf_dir), 42, SETTINGS).top_merges()
 
 
 @query
 def icicle_violations(spark, sf_dir):
     """Children add up to their parent and the root holds every customer."""
     frame = prepared_rfm(spark, sf_dir)
-    nodes = WardHierarchy(frame, 42, QUICK).icicle()
+    nodes = WardHierarchy(frame, 42, SETTINGS).icicle()
     children = nodes.filter("parent <> ''").groupBy(F.col("parent").alias("id")).agg(F.sum("customers").alias("below"))
     unequal = nodes.join(children, "id").agg(F.count_if(F.col("customers") != F.col("below")).alias("n"))
     total = frame.agg(F.count(F.lit(1)).alias("all"))

@@ -26,16 +26,12 @@ SUBSAMPLE_SHARE = 0.8
 
 @dataclass(frozen=True)
 class FitSettings:
-    """Work per fit. Starts are seeded and settled on a sample; the best distinct ones are polished on all rows."""
+    """Work per fit, the same for the full table and for every stability subsample."""
 
     kmeans_starts: int = 20
-    polished: int = 3
-    refit_starts: int = 10
-    refit_polished: int = 1
-    gmm_starts: int = 2
+    gmm_starts: int = 5
     max_iterations: int = 500
-    ward_leaves: int = 2000
-    micro_clusters: int = 400
+    ward_cells: int = 2000
     landmarks: int = 1000
     max_segments: int = 50
 

@@ -6,12 +6,13 @@ over the table advances *all* unfinished fits by one Lloyd step: a task computes
 centres with one matrix product, and returns per fit its cost, counts and sums, which Spark adds up by fit. The driver
 sees k × (p + 1) numbers per fit.
 
-Starts are seeded with k-means++ on a small hash-ordered sample and settled on it, so the full table is read only to
-polish distinct starts. Samples and subsamples depend on customer ids alone: a result does not change with partitioning.
+Starts are k-means++ draws over weighted candidates of the whole table (``seeds.py``); every clearly different one is then
+advanced on all rows. Draws and subsamples depend on customer ids alone: a result does not change with partitioning.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -24,15 +25,15 @@ from pyspark.sql import functions as F
 
 from clientele.errors import DataProblem
 from clientele.functions.geometry import INLINE_TERMS, with_distances
-from clientele.operators.diagnostics import hash_order
 from clientele.operators.fits import Fit, FitSettings, check_k, check_realized, subsample_mask
+from clientele.operators.seeds import candidates, settle, spread_seeds
 
 POINT = "point"
-SEED_ROWS = 2000
-SEED_ROWS_PER_GROUP = 10
 SHIFT_TOLERANCE = 1e-4  # times the mean column variance
 NUMBERS_PER_PASS = 200_000  # centre coordinates advanced together
 CELLS_PER_BLOCK = 4_000_000  # distances a task holds at a time
+CANDIDATES_PER_GROUP = 20
+LEAST_CANDIDATES = 200
 
 
 @dataclass
@@ -42,6 +43,7 @@ class Partition:
     centres: np.ndarray
     cost: float
     counts: np.ndarray
+    converged: bool = True
 
     @property
     def realized(self) -> int:
@@ -54,75 +56,29 @@ class _Start:
     subsample: int | None
     centres: np.ndarray
     result: Partition | None = None
+    slack: float = 1.0  # allowed shift, in tolerances
 
 
 def points_table(frame: DataFrame, subsamples: int = 0, seed: int = 42) -> DataFrame:
     """Rows as arrays, with one membership column per stability subsample."""
     masks = [subsample_mask(r, seed).alias(f"in_{r}") for r in range(subsamples)]
-    return frame.select(vector_to_array("features").alias(POINT), *masks)
-
-
-def seed_sample(frame: DataFrame, size: int, subsamples: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """At most ``size`` rows in hash order for seeding, and which of them each subsample holds."""
-    drawn = points_table(
-        frame.select("id", "features").orderBy(hash_order("id", seed), "id").limit(size), subsamples, seed
-    ).collect()
-    points = np.array([row[POINT] for row in drawn], dtype=float)
-    return points, [np.array([row[f"in_{r}"] for row in drawn], dtype=bool) for r in range(subsamples)]
-
-
-# ------------------------------------------------------------------------------------------------- seeding, on a sample
-
-
-def _spread_seeds(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++: each further seed is the best of a few draws in proportion to squared distance."""
-    tries = 2 + int(np.log(k))
-    chosen = [points[rng.integers(len(points))]]
-    gap = ((points - chosen[0]) ** 2).sum(axis=1)
-    while len(chosen) < k:
-        total = gap.sum()
-        if total <= 0:
-            chosen.append(points[rng.integers(len(points))])
-            continue
-        draws = np.minimum(np.searchsorted(np.cumsum(gap), rng.random(tries) * total), len(points) - 1)
-        options = [np.minimum(gap, ((points - points[d]) ** 2).sum(axis=1)) for d in draws]
-        best = int(np.argmin([option.sum() for option in options]))
-        chosen.append(points[draws[best]])
-        gap = options[best]
-    return np.array(chosen)
-
-
-def _settle(points: np.ndarray, centres: np.ndarray, tolerance: float) -> tuple[np.ndarray, float]:
-    squares = (points**2).sum(axis=1)
-    eye = np.eye(len(centres))
-    for _ in range(100):
-        gaps = (centres**2).sum(axis=1) - 2 * points @ centres.T
-        label = gaps.argmin(axis=1)
-        cost = float((gaps[np.arange(len(points)), label] + squares).sum())
-        hot = eye[label]
-        counts = hot.sum(axis=0)
-        moved = np.where(counts[:, None] > 0, hot.T @ points / np.maximum(counts, 1)[:, None], centres)
-        shift = ((moved - centres) ** 2).sum()
-        centres = moved
-        if shift <= tolerance:
-            break
-    return centres, cost
-
-
-def _distinct_starts(
-    points: np.ndarray, k: int, starts: int, keep: int, seed: int, tolerance: float
+    return frame.select("id", vector_to_array("features").alias(POINT), *masks)
+
+
+def distinct_starts(
+    points: np.ndarray, weights: np.ndarray, k: int, starts: int, seed: int, tolerance: float
 ) -> list[np.ndarray]:
-    """The best few clearly different outcomes of many seeded starts on the sample."""
+    """All clearly different outcomes of many seeded starts over the candidates, cheapest first."""
     if len(points) < k:
-        raise DataProblem(f"Fewer than {k} customers are left for {k} segments.")
+        raise DataProblem(f"The fit produced {len(points)} distinct groups instead of the requested {k}.")
     found = []
     for start in range(starts):
         rng = np.random.default_rng([seed, k, start])
-        found.append(_settle(points, _spread_seeds(points, k, rng), tolerance))
+        found.append(settle(points, weights, spread_seeds(points, weights, k, rng), tolerance))
     found.sort(key=lambda item: item[1])
     kept: list[tuple[np.ndarray, float]] = []
     for centres, cost in found:
-        if len(kept) < keep and all(abs(cost - other) > 1e-6 * max(other, 1e-12) for _, other in kept):
+        if all(abs(cost - other) > 1e-6 * max(other, 1e-12) for _, other in kept):
             kept.append((centres, cost))
     return [centres for centres, _ in kept]
 
@@ -130,8 +86,8 @@ def _distinct_starts(
 # ---------------------------------------------------------------------------------------------- Lloyd steps, on Spark
 
 
-def _step(points: DataFrame, starts: Sequence[_Start]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-    """Cost, counts and sums of every start over the whole table, in one pass."""
+def _step(points: DataFrame, starts: Sequence[_Start]) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+    """Cost, counts, sums and the row farthest from its centre, of every start over the whole table in one pass."""
     by_subsample: dict[int | None, list[tuple[int, np.ndarray]]] = {}
     for index, start in enumerate(starts):
         by_subsample.setdefault(start.subsample, []).append((index, start.centres))
@@ -143,6 +99,7 @@ def _step(points: DataFrame, starts: Sequence[_Start]) -> list[tuple[float, np.n
         cost = [0.0] * len(shapes)
         counts = [np.zeros(k) for k, _ in shapes]
         sums = [np.zeros(shape) for shape in shapes]
+        far = [np.zeros(width + 1) for _ in shapes]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -161,38 +118,75 @@ def _step(points: DataFrame, starts: Sequence[_Start]) -> list[tuple[float, np.n
                     gaps = (stacked**2).sum(axis=1) - 2 * part @ stacked.T
                     at = 0
                     for index, centres in members:
-                        own = gaps[:, at : at + len(centres)]
-                        at += len(centres)
+                        k = len(centres)
+                        own = gaps[:, at : at + k]
+                        at += k
                         label = own.argmin(axis=1)
-                        cost[index] += float(np.maximum(own[np.arange(len(part)), label] + squares, 0).sum())
-                        hot = np.eye(len(centres))[label]
-                        counts[index] += hot.sum(axis=0)
-                        sums[index] += hot.T @ part
-        numbers = [np.concatenate(([c], n, s.ravel())) for c, n, s in zip(cost, counts, sums)]
-        places = [np.arange(len(x), dtype="int32") for x in numbers]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "start": np.repeat(np.arange(len(numbers), dtype="int32"), [len(x) for x in numbers]),
-                "place": np.concatenate(places),
-                "number": np.concatenate(numbers),
-            }
-        )
+                        gap = np.maximum(own[np.arange(len(part)), label] + squares, 0)
+                        cost[index] += float(gap.sum())
+                        counts[index] += np.bincount(label, minlength=k)
+                        for d in range(width):
+                            sums[index][:, d] += np.bincount(label, weights=part[:, d], minlength=k)
+                        worst = int(gap.argmax())
+                        if gap[worst] > far[index][0]:
+                            far[index] = np.concatenate(([gap[worst]], part[worst]))
+        numbers = [np.concatenate(([c], n, s.ravel(), f)) for c, n, s, f in zip(cost, counts, sums, far)]
+        yield owner_rows(numbers)
 
     masks = sorted({s for s in by_subsample if s is not None})
     table = points.select(POINT, *[f"in_{r}" for r in masks])
-    summed = table.mapInArrow(partial, "start int, place int, number double").groupBy("start", "place")
-    totals = gather(summed.agg(F.sum("number").alias("number")), "start", [1 + k + k * p for k, p in shapes])
-    return [(t[0], t[1 : 1 + k], t[1 + k :].reshape(k, p)) for t, (k, p) in zip(totals, shapes)]
+    tail = width + 1
+    totals = added(table.mapInArrow(partial, OWNER_SCHEMA), len(shapes), tail)
+    return [(t[0], t[1 : 1 + k], t[1 + k : 1 + k + k * p].reshape(k, p), t[1 + k + k * p :]) for t, (k, p) in zip(totals, shapes)]
+
+
+OWNER_SCHEMA = "owner int, numbers array<double>"
+
+
+def owner_rows(numbers: Sequence[np.ndarray]) -> pa.RecordBatch:
+    """One row per fit and task, whatever the model's size."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(len(numbers), dtype="int32")), pa.array(list(numbers), pa.list_(pa.float64()))], ["owner", "numbers"]
+    )
+
 
+def _merged(one: np.ndarray | None, other: np.ndarray, tail: int) -> np.ndarray:
+    """Element-wise sum; the last ``tail`` numbers are (size, payload) of which the larger one stays."""
+    if one is None:
+        return other
+    total = one + other
+    if tail:
+        total[-tail:] = one[-tail:] if one[-tail] >= other[-tail] else other[-tail:]
+    return total
 
-def gather(numbers: DataFrame, owner: str, sizes: Sequence[int]) -> list[np.ndarray]:
-    """Model-sized sums ``(owner, place, number)`` as one vector per owner."""
-    table = numbers.toArrow()
-    flat = np.zeros(sum(sizes))
-    begins = np.concatenate(([0], np.cumsum(sizes)))
-    owners, places = table.column(owner).to_numpy(), table.column("place").to_numpy()
-    flat[begins[owners] + places] = table.column("number").to_numpy()
-    return [flat[a:b] for a, b in zip(begins, begins[1:])]
+
+def added(partials: DataFrame, owners: int, tail: int = 0) -> list[np.ndarray]:
+    """Sums of the tasks' arrays per owner: first within about the square root of the tasks' number of groups, then on
+    the driver, which sees one array per group and owner."""
+    merge = _merged
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lists = batch.column(1)
+            for i, owner in enumerate(batch.column(0).to_pylist()):
+                held[owner] = merge(held.get(owner), np.array(lists[i].values.to_numpy(zero_copy_only=False)), tail)
+        if held:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.list_(pa.float64()))], ["owner", "numbers"]
+            )
+
+    tasks = partials.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, math.isqrt(tasks))
+    grouped = partials.withColumn("bunch", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition(F.col("owner"), F.col("bunch"))
+    table = grouped.select("owner", "numbers").mapInArrow(add, OWNER_SCHEMA).toArrow()
+    found: list[np.ndarray | None] = [None] * owners
+    order = np.argsort(table.column("owner").to_numpy(), kind="stable")
+    lists = table.column("numbers").combine_chunks()
+    for i in order.tolist():
+        owner = table.column("owner")[i].as_py()
+        found[owner] = _merged(found[owner], np.array(lists[i].values.to_numpy(zero_copy_only=False)), tail)
+    return found
 
 
 def polish(points: DataFrame, starts: Sequence[_Start], tolerance: float, max_iterations: int) -> None:
@@ -208,10 +202,14 @@ def polish(points: DataFrame, starts: Sequence[_Start], tolerance: float, max_it
             if not active:
                 break
             unfinished = []
-            for start, (cost, counts, sums) in zip(active, _step(points, active)):
-                start.result = Partition(start.centres, cost, counts)
+            for start, (cost, counts, sums, far) in zip(active, _step(points, active)):
                 moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], start.centres)
-                if ((moved - start.centres) ** 2).sum() > tolerance:
+                empty = np.flatnonzero(counts == 0)
+                if len(empty) and far[0] > 0:
+                    moved[empty[0]] = far[1:]  # the row that its centre serves worst founds the missing group
+                done = ((moved - start.centres) ** 2).sum() <= tolerance * start.slack
+                start.result = Partition(start.centres, cost, counts, done)
+                if not done:
                     start.centres = moved
                     unfinished.append(start)
             active = unfinished
@@ -223,26 +221,34 @@ def fit_partitions(
     seed: int,
     settings: FitSettings,
     subsamples: int = 0,
-    keep: int = 1,
 ) -> dict[tuple[int, int | None], list[Partition] | DataProblem]:
-    """Best partitions, cheapest first, for each ``(k, subsample)``; subsample None is the full table."""
+    """All different partitions, cheapest first, for each ``(k, subsample)``; subsample None is the full table.
+
+    Full table and subsamples get the same number of starts, each from candidates of its own rows.
+    """
     most = max(k for k, _ in wanted)
-    sample, inside = seed_sample(frame, max(SEED_ROWS, SEED_ROWS_PER_GROUP * most), subsamples, seed)
-    tolerance = SHIFT_TOLERANCE * float(sample.var(axis=0).mean())
+    points = points_table(frame, subsamples, seed)
+    sets = list(dict.fromkeys(s for _, s in wanted))
+    drawn = candidates(points, sets, max(LEAST_CANDIDATES, CANDIDATES_PER_GROUP * most), seed)
+    shares = _step(points, [_Start((s,), s, drawn[s]) for s in sets if len(drawn[s])])
+    weights = dict(zip([s for s in sets if len(drawn[s])], (counts for _, counts, _, _ in shares)))
     starts: list[_Start] = []
     results: dict[tuple[int, int | None], list[Partition] | DataProblem] = {}
+    tolerances = []
     for k, subsample in wanted:
-        rows = sample if subsample is None else sample[inside[subsample]]
-        tries, kept = (
-            (settings.kmeans_starts, settings.polished) if subsample is None else (settings.refit_starts, settings.refit_polished)
-        )
+        rows, own = drawn[subsample], weights.get(subsample)
         shifted = seed if subsample is None else seed + subsample + 1
         try:
-            for centres in _distinct_starts(rows, k, tries, max(kept, keep), shifted, tolerance):
+            if not len(rows):
+                raise DataProblem(f"Fewer than {k} customers are left for {k} segments.")
+            mean = np.average(rows, axis=0, weights=own)
+            tolerance = SHIFT_TOLERANCE * float(np.average((rows - mean) ** 2, axis=0, weights=own).mean())
+            tolerances.append(tolerance)
+            for centres in distinct_starts(rows, own, k, settings.kmeans_starts, shifted, tolerance):
                 starts.append(_Start((k, subsample), subsample, centres))
         except DataProblem as problem:
             results[(k, subsample)] = problem
-    polish(points_table(frame, subsamples, seed), starts, tolerance, settings.max_iterations)
+    polish(points, starts, min(tolerances, default=0.0), settings.max_iterations)
     for start in starts:
         results.setdefault(start.key, []).append(start.result)
     for found in results.values():
@@ -251,17 +257,27 @@ def fit_partitions(
     return results
 
 
-def assigned_sums(
-    frame: DataFrame, centres: np.ndarray, subsamples: Sequence[int | None], seed: int
-) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts and means of the cells around ``centres`` on the full table (None) or on subsamples, in one pass."""
-    starts = [_Start((len(centres), s), s, centres) for s in subsamples]
-    most = max((s + 1 for s in subsamples if s is not None), default=0)
-    found = _step(points_table(frame, most, seed), starts)
-    return [
-        (counts, np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres))
-        for _, counts, sums in found
-    ]
+def fit_cells(
+    frame: DataFrame, cells: int, subsets: Sequence[int | None], seed: int, settings: FitSettings
+) -> dict[int | None, Partition]:
+    """One partition into up to ``cells`` cells per subset (full table: None), all advanced in shared passes.
+
+    A table with no more distinct rows than cells gets a cell for each of them. A partition of thousands of cells is
+    called converged when its centres move, on average, by no more than a few centres are allowed to in all.
+    """
+    most = max((s + 1 for s in subsets if s is not None), default=0)
+    points = points_table(frame, most, seed)
+    drawn = candidates(points, subsets, cells, seed)
+    starts = [_Start((cells, s), s, drawn[s], slack=max(1.0, len(drawn[s]) / 4)) for s in subsets]
+    spread = float(drawn[subsets[0]].var(axis=0).mean())
+    polish(points, starts, SHIFT_TOLERANCE * spread, settings.max_iterations)
+    return {start.subsample: start.result for start in starts}
+
+
+def landmark_weights(points: DataFrame, landmarks: dict[int | None, np.ndarray]) -> dict[int | None, np.ndarray]:
+    """Rows nearest to each landmark, per subset, in one pass."""
+    found = _step(points, [_Start((s,), s, rows) for s, rows in landmarks.items()])
+    return dict(zip(landmarks, (counts for _, counts, _, _ in found)))
 
 
 def nearest_centre(frame: DataFrame, centres: np.ndarray, name: str, features: str = "features") -> DataFrame:
@@ -288,6 +304,8 @@ def _nearest_in_batches(centres: np.ndarray):
 
 def partition_fit(partition: Partition, k: int, detail: str) -> Fit:
     check_realized(partition.realized, k)
+    if not partition.converged:
+        detail += ", not converged"
     return Fit("kmeans", k, lambda table, name: nearest_centre(table, partition.centres, name), detail=detail)
 
 

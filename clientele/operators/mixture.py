@@ -21,14 +21,13 @@ from pyspark.sql import functions as F
 from clientele.errors import DataProblem
 from clientele.operators.fits import Fit, FitSettings, check_k, check_realized
 from clientele.operators.kmeans import (
+    OWNER_SCHEMA,
     POINT,
-    SEED_ROWS,
-    SEED_ROWS_PER_GROUP,
     Partition,
+    added,
     fit_partitions,
-    gather,
+    owner_rows,
     points_table,
-    seed_sample,
 )
 
 RIDGE = 1e-6
@@ -120,24 +119,12 @@ def _step(points: DataFrame, climbs: Sequence[_Climb]) -> list[tuple]:
                         weighted = portion[:, j, None] * gap
                         first[j] += weighted.sum(axis=0)
                         second[j] += weighted.T @ gap
-        numbers = [np.concatenate([x.ravel() for x in total]) for total in totals]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "climb": np.repeat(np.arange(len(numbers), dtype="int32"), [len(x) for x in numbers]),
-                "place": np.concatenate([np.arange(len(x), dtype="int32") for x in numbers]),
-                "number": np.concatenate(numbers),
-            }
-        )
+        yield owner_rows([np.concatenate([x.ravel() for x in total]) for total in totals])
 
     masks = sorted({s for s, *_ in work if s is not None})
-    summed = (
-        points.select(POINT, *[f"in_{r}" for r in masks])
-        .mapInArrow(partial, "climb int, place int, number double")
-        .groupBy("climb", "place")
-        .agg(F.sum("number").alias("number"))
-    )
+    table = points.select(POINT, *[f"in_{r}" for r in masks])
     sizes = [len(c) for _, c, _, _ in work]
-    totals = gather(summed, "climb", [1 + 2 * k + k * width + k * width * width for k in sizes])
+    totals = added(table.mapInArrow(partial, OWNER_SCHEMA), len(work))
     return [
         (
             t[0],
@@ -150,27 +137,6 @@ def _step(points: DataFrame, climbs: Sequence[_Climb]) -> list[tuple]:
     ]
 
 
-def _warm_up(climb: _Climb, rows: np.ndarray) -> None:
-    """First steps on the seeding sample, so that the whole table is read for the last ones only."""
-    share, before = _make_share(), -math.inf
-    for _ in range(100):
-        hard = climb.weights is None
-        try:
-            portion, density = share(rows, climb.centres, *climb.scorer())
-        except np.linalg.LinAlgError:
-            return  # the passes over the whole table decide whether this mixture can be fitted
-        gaps = [rows - centre for centre in climb.centres]
-        climb.update(
-            portion.sum(axis=0),
-            np.stack([w @ g for w, g in zip(portion.T, gaps)]),
-            np.stack([(w[:, None] * g).T @ g for w, g in zip(portion.T, gaps)]),
-        )
-        if not hard:
-            if abs(density.mean() - before) < TOLERANCE:
-                return
-            before = density.mean()
-
-
 def _climb_all(points: DataFrame, climbs: Sequence[_Climb], max_iterations: int) -> None:
     waves: list[list[_Climb]] = [[]]
     for climb in climbs:
@@ -238,24 +204,17 @@ def fit_mixtures(
     missing = [key for key in able if partitions is None or key not in partitions]
     known = dict(partitions or {})
     if missing:
-        known.update(fit_partitions(frame, missing, seed, settings, subsamples, keep=settings.gmm_starts))
+        known.update(fit_partitions(frame, missing, seed, settings, subsamples))
     climbs = []
     for key in able:
         found = known[key]
         if isinstance(found, DataProblem):
             results[key] = found
             continue
-        starts = settings.gmm_starts if key[1] is None else 1
-        whole = [p for p in found if p.realized == key[0]][:starts]
+        whole = [p for p in found if p.realized == key[0]][: settings.gmm_starts]
         if not whole:
             results[key] = DataProblem(f"The fit produced {found[0].realized} distinct groups instead of the requested {key[0]}.")
         climbs += [_Climb(key, key[1], p.centres, sizes[key[1]]) for p in whole]
-    most = max(k for k, _ in able)
-    sample, inside = seed_sample(frame, max(SEED_ROWS, SEED_ROWS_PER_GROUP * most), subsamples, seed)
-    for climb in climbs:
-        rows = sample if climb.subsample is None else sample[inside[climb.subsample]]
-        if len(rows) >= mixture_minimum_rows(climb.key[0], columns):
-            _warm_up(climb, rows)
     _climb_all(points_table(frame, subsamples, seed), climbs, settings.max_iterations)
     for key in able:
         own = [c for c in climbs if c.key == key]

@@ -1,8 +1,10 @@
 """Spectral clustering with landmark customers (Nyström extension).
 
-The similarity graph is never built. A hash-ordered set of at most ``landmarks`` customers gives a landmark × landmark
-affinity whose eigenvectors are extended to every customer as a projection; K-means then runs on the embedding. With
-fewer customers than landmarks all of them are landmarks and the embedding is that of the full graph.
+The similarity graph is never built. At most ``landmarks`` rows, drawn from the whole table where it is spread out
+(``seeds.py``) and weighted by the customers nearest to them, give a landmark x landmark affinity whose eigenvectors are
+extended to every customer as a projection; K-means then runs on the embedding. A table with no more distinct rows than
+landmarks has all of them as landmarks, and the embedding is that of the full graph. Stability subsamples draw landmarks
+of their own.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientele.operators.diagnostics import hash_order
 from clientele.errors import DataProblem
 from clientele.operators.fits import Fit, FitSettings, check_k, check_realized, subsample_mask
-from clientele.operators.kmeans import fit_partitions, nearest_centre
+from clientele.operators.kmeans import fit_partitions, landmark_weights, nearest_centre, points_table
+from clientele.operators.seeds import candidates
 
 EMBEDDED = "__embedding"
 
@@ -28,9 +30,8 @@ EMBEDDED = "__embedding"
 @dataclass
 class _Basis:
     landmarks: np.ndarray
-    degree: np.ndarray
-    vectors: np.ndarray
-    values: np.ndarray
+    weights: np.ndarray
+    functions: np.ndarray  # weighted eigenfunctions at the landmarks, over their eigenvalues
     gamma: float
 
 
@@ -39,18 +40,19 @@ def _affinity(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum(squares, 0.0))
 
 
-def _basis(landmarks: np.ndarray, most: int) -> _Basis:
+def _basis(landmarks: np.ndarray, weights: np.ndarray, most: int) -> _Basis:
+    """Leading eigenfunctions of the random walk over weighted landmarks."""
     gamma = 1.0 / landmarks.shape[1]
     affinity = _affinity(landmarks, landmarks, gamma)
-    degree = affinity.sum(axis=1)
-    values, vectors = np.linalg.eigh(affinity / np.sqrt(np.outer(degree, degree)))
+    root = np.sqrt(weights / (affinity @ weights))
+    values, vectors = np.linalg.eigh(affinity * np.outer(root, root))
     top = np.argsort(values)[::-1][:most]
-    return _Basis(landmarks, degree, vectors[:, top], np.maximum(values[top], 1e-12), gamma)
+    functions = vectors[:, top] * (root / np.maximum(weights, 1e-300))[:, None] * np.sqrt(weights.sum())
+    return _Basis(landmarks, weights, weights[:, None] * functions / np.maximum(values[top], 1e-12), gamma)
 
 
 def _embedding(basis: _Basis):
-    landmarks, degree, gamma = basis.landmarks, basis.degree, basis.gamma
-    weights = basis.vectors / basis.values
+    landmarks, weights, functions, gamma = basis.landmarks, basis.weights, basis.functions, basis.gamma
     squares = (landmarks**2).sum(axis=1)
 
     @F.pandas_udf("array<double>")
@@ -60,8 +62,8 @@ def _embedding(basis: _Basis):
         rows = np.vstack(points.to_numpy())
         gaps = (rows**2).sum(axis=1)[:, None] + squares[None, :] - 2 * rows @ landmarks.T
         affinity = np.exp(-gamma * np.maximum(gaps, 0.0))
-        own = np.maximum(affinity.sum(axis=1), 1e-300)
-        return pd.Series(list((affinity / np.sqrt(degree)) @ weights / own[:, None]))
+        own = np.maximum(affinity @ weights, 1e-300)
+        return pd.Series(list(affinity @ functions / own[:, None]))
 
     return embed
 
@@ -71,31 +73,28 @@ class SpectralEmbedding:
 
     def __init__(self, frame: DataFrame, rows: int, seed: int, settings: FitSettings, repeats: int = 0):
         self._frame, self._rows, self._seed, self._settings = frame, rows, seed, settings
-        masks = [subsample_mask(r, seed).alias(f"m{r}") for r in range(repeats)]
-        drawn = (
-            frame.select("id", "features", *masks)
-            .orderBy(hash_order("id", seed), "id")
-            .limit(settings.landmarks)
-            .select(vector_to_array("features").alias("point"), *[f"m{r}" for r in range(repeats)])
-            .collect()
-        )
-        self._points = np.array([row["point"] for row in drawn], float)
-        self._masks = [np.array([row[f"m{r}"] for row in drawn]) for r in range(repeats)]
+        self._sets: list[int | None] = [None, *range(repeats)]
+        points = points_table(frame, repeats, seed)
+        self._points = candidates(points, self._sets, settings.landmarks, seed)
+        counted = landmark_weights(points, self._points)
+        self._weights = {s: np.maximum(counted[s], 1e-9) for s in self._sets}
 
     @property
     def detail(self) -> str:
-        return "exact" if len(self._points) >= self._rows else f"{len(self._points)} landmarks"
+        own = len(self._points[None])
+        return "exact" if own >= self._rows else f"{own} landmarks"
 
     def fits(self, counts: Sequence[int], repeat: int | None = None) -> dict[int, Fit | DataProblem]:
         """One fit per segment count. The embedding is computed once for all of them and dropped afterwards."""
-        points = self._points if repeat is None else self._points[self._masks[repeat]]
+        points = self._points[repeat]
         table = self._frame if repeat is None else self._frame.filter(subsample_mask(repeat, self._seed))
         most = min(max(counts), len(points))
-        basis = _basis(points, most)
+        basis = _basis(points, self._weights[repeat], most)
         embed = _embedding(basis)
         embedded = table.select("id", embed(vector_to_array("features")).alias(EMBEDDED))
         embedded = embedded.persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            # Held until all counts are fitted: the affinities are computed once per subset.
             return {k: self._fit(k, most, embed, embedded, repeat) for k in counts}
         finally:
             embedded.unpersist()

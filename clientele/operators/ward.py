@@ -1,27 +1,25 @@
 """Ward's hierarchy over micro-clusters.
 
-Ward needs only group sizes and centres. Spark groups the customers into at most ``ward_leaves`` micro-clusters: one
-per distinct prepared row when there are few enough (then the hierarchy is exact), otherwise the cells of one large
-K-means fit. The merge tree over the micro-clusters is the only thing built outside Spark; it is bounded by
-``ward_leaves``, not by the number of customers.
+Ward needs only group sizes and centres. Spark groups the customers into at most ``ward_cells`` cells of a converged
+K-means fit; a table with no more distinct rows than that has a cell for each, and the hierarchy is then exact. Stability
+subsamples get cells of their own. The merge tree over the cells is the only thing built outside Spark; it is bounded by
+``ward_cells``, not by the number of customers.
 """
 
 from __future__ import annotations
 
-import copy
-from collections.abc import Callable
-from dataclasses import dataclass, replace
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientele.errors import DataProblem
-from clientele.operators.fits import Fit, FitSettings, check_k, check_realized, subsample_mask
-from clientele.operators.kmeans import assigned_sums, fit_partitions, nearest_centre
+from clientele.operators.fits import Fit, FitSettings, check_k, check_realized
+from clientele.operators.kmeans import fit_cells, nearest_centre
 
-MICRO = "__micro"
+CELL = "__cell"
 
 
 @dataclass
@@ -55,14 +53,12 @@ class MergeTree:
 
 
 @dataclass
-class MicroClusters:
-    """Sizes and centres of the micro-clusters and the projection that assigns customers to them."""
+class Cells:
+    """Sizes and centres of the occupied cells."""
 
     counts: np.ndarray
     centres: np.ndarray
-    assign: Callable[[DataFrame], DataFrame]
-    subsampled: Callable[[int], list[tuple[np.ndarray, np.ndarray]]]  # sizes and centres per stability subsample
-    exact: bool
+    exact: bool  # every distinct row has a cell of its own
 
 
 def build_tree(weights: np.ndarray, centres: np.ndarray) -> MergeTree:
@@ -119,144 +115,85 @@ def build_tree(weights: np.ndarray, centres: np.ndarray) -> MergeTree:
     return MergeTree(weights, np.array(left, int), np.array(right, int), np.array(height), np.array(total))
 
 
-def micro_clusters(frame: DataFrame, seed: int, settings: FitSettings) -> MicroClusters:
-    """Summarise the prepared table; ``frame`` needs ``features``."""
-    limit = settings.ward_leaves
-    point = vector_to_array("features")
-    # The sketch costs no shuffle; only a table that may fit is grouped by its distinct rows.
-    near = frame.agg(F.approx_count_distinct(F.xxhash64(point), 0.03).alias("n")).first()["n"]
-    if near <= 1.2 * limit:
-        distinct = frame.groupBy(point.alias("point")).agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
-        if len(distinct) <= limit:
-            distinct.sort(key=lambda row: row["point"])
-            spark = frame.sparkSession
-            lookup = spark.createDataFrame(
-                [(row["point"], i) for i, row in enumerate(distinct)], f"__point array<double>, {MICRO} int"
-            )
-
-            def assign_row(table: DataFrame) -> DataFrame:
-                # At most ward_leaves rows are broadcast.
-                return (
-                    table.withColumn("__point", vector_to_array("features"))
-                    .join(F.broadcast(lookup), "__point", "left")
-                    .drop("__point")
-                )
-
-            centres = np.array([row["point"] for row in distinct], float)
-
-            def sampled_rows(repeats: int) -> list[tuple[np.ndarray, np.ndarray]]:
-                masks = [F.count_if(subsample_mask(r, seed)).alias(f"n{r}") for r in range(repeats)]
-                counts = np.zeros((repeats, len(centres)))
-                for row in assign_row(frame).groupBy(MICRO).agg(*masks).collect():
-                    counts[:, row[MICRO]] = [row[f"n{r}"] for r in range(repeats)]
-                return [(own, centres) for own in counts]
-
-            counts = np.array([row["n"] for row in distinct], float)
-            return MicroClusters(counts, centres, assign_row, sampled_rows, True)
-    cells = settings.micro_clusters
-    work = replace(settings, kmeans_starts=1, polished=1, max_iterations=20)
-    found = fit_partitions(frame, [(cells, None)], seed, work)[(cells, None)]
-    if isinstance(found, DataProblem):
-        raise found
-    centres = found[0].centres
-
-    def assign_cell(table: DataFrame) -> DataFrame:
-        return nearest_centre(table, centres, MICRO)
-
-    def sampled_cells(repeats: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        return assigned_sums(frame, centres, [None, *range(repeats)], seed)[1:]
-
-    ((counts, means),) = assigned_sums(frame, centres, [None], seed)
-    return MicroClusters(counts, means, assign_cell, sampled_cells, False)
+def ward_cells(frame: DataFrame, subsets: Sequence[int | None], seed: int, settings: FitSettings) -> list[Cells]:
+    """Cells of the prepared table (None) or of its stability subsamples."""
+    found = fit_cells(frame, settings.ward_cells, subsets, seed, settings)
+    cells = []
+    for subset in subsets:
+        partition = found[subset]
+        held = partition.counts > 0
+        scale = float((partition.centres**2).sum()) + 1e-300
+        exact = held.sum() < settings.ward_cells and partition.cost <= 1e-9 * scale
+        cells.append(Cells(partition.counts[held], partition.centres[held], exact))
+    return cells
 
 
 class WardHierarchy:
-    """Micro-clusters and merge trees of one prepared table, shared by all segment counts."""
+    """Cells and merge tree of one prepared table, shared by all segment counts."""
 
-    def __init__(self, frame: DataFrame, seed: int, settings: FitSettings):
-        self._frame = frame
-        self.micro = micro_clusters(frame, seed, settings)
-        self.occupied, self.tree = self._tree(self.micro.counts, self.micro.centres)
+    def __init__(self, frame: DataFrame, seed: int, settings: FitSettings, cells: Cells | None = None):
+        self._frame, self._seed, self._settings = frame, seed, settings
+        self.cells = cells or ward_cells(frame, [None], seed, settings)[0]
+        self.tree = build_tree(self.cells.counts, self.cells.centres)
 
     @property
     def detail(self) -> str:
-        return "exact" if self.micro.exact else f"over {self.tree.leaves} micro-clusters"
-
-    @staticmethod
-    def _tree(counts: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, MergeTree]:
-        occupied = np.flatnonzero(counts > 0)
-        return occupied, build_tree(counts[occupied], centres[occupied])
+        return "exact" if self.cells.exact else f"over {self.tree.leaves} cells"
 
     def fit(self, k: int, rows: int) -> Fit:
         check_k(k, rows)
-        return self._cut(self.occupied, self.tree, k)
-
-    def subsampled(self, repeats: int) -> list["WardHierarchy"]:
-        """Hierarchies of the stability subsamples: same micro-clusters, sizes and centres of the sampled customers."""
-        found = []
-        for counts, centres in self.micro.subsampled(repeats):
-            other = copy.copy(self)
-            other.occupied, other.tree = self._tree(counts, centres)
-            found.append(other)
-        return found
-
-    def _cut(self, occupied: np.ndarray, tree: MergeTree, k: int) -> Fit:
-        check_realized(min(tree.leaves, k), k)
-        groups = tree.cut(k)
-        by_micro = np.full(len(self.micro.counts), -1)  # a cell without customers needs no group
-        by_micro[occupied] = groups
-        # A folded literal: one expression node instead of one per micro-cluster.
-        chosen = F.split(F.lit(",".join(map(str, by_micro))), ",").cast("array<int>")
+        check_realized(min(self.tree.leaves, k), k)
+        centres = self.cells.centres
+        # A folded literal: one expression node instead of one per cell.
+        chosen = F.split(F.lit(",".join(map(str, self.tree.cut(k)))), ",").cast("array<int>")
 
         def label(table: DataFrame, name: str) -> DataFrame:
-            return self.micro.assign(table).withColumn(name, F.get(chosen, F.col(MICRO))).drop(MICRO)
+            return nearest_centre(table, centres, CELL).withColumn(name, F.get(chosen, F.col(CELL))).drop(CELL)
 
         return Fit("hierarchical", k, label, detail=self.detail)
 
+    def subsampled(self, repeats: int) -> list["WardHierarchy"]:
+        """Hierarchies of the stability subsamples, from cells of their own."""
+        cells = ward_cells(self._frame, list(range(repeats)), self._seed, self._settings)
+        return [WardHierarchy(self._frame, self._seed, self._settings, own) for own in cells]
+
     # ---------------------------------------------------------------------------------------------------- views
 
+    def merges(self) -> DataFrame:
+        """One row per merge: step, the node it makes, its two parts with their customers, height and customers."""
+        tree = self.tree
+        rows = [
+            (i, tree.leaves + i, int(l), int(r), tree.node_size(int(l)), tree.node_size(int(r)), float(h), int(n))
+            for i, (l, r, h, n) in enumerate(zip(tree.left, tree.right, tree.height, tree.size))
+        ]
+        return self._frame.sparkSession.createDataFrame(
+            rows, "step int, node int, left int, right int, left_customers long, right_customers long, height double, customers long"
+        )
+
     def icicle(self, max_segments: int = 8) -> DataFrame:
         """Nested splits from the whole base down to ``max_segments`` groups: id, parent, customers, share, label."""
-        tree = self.tree
-        total = int(tree.weights.sum())
+        total = int(self.tree.weights.sum())
         if total < 4:
             raise DataProblem("A hierarchy view needs four customers or more.")
-        steps = min(max_segments, tree.leaves) - 1
-        last = len(tree.left) - 1
-        rows = [(str(tree.leaves + last), "", total)]
-        for merge in range(last, last - steps, -1):
-            parent = str(tree.leaves + merge)
-            rows += [(str(c), parent, tree.node_size(int(c))) for c in (tree.left[merge], tree.right[merge])]
-        share = 100 * F.col("customers") / F.lit(total)
-        return self._frame.sparkSession.createDataFrame(rows, "id string, parent string, customers long").select(
-            "id",
-            "parent",
-            "customers",
-            share.alias("share_%"),
-            F.concat(
-                F.format_number("customers", 0), F.lit(" customers · "), F.format_string("%.0f%%", share)
-            ).alias("label"),
+        shown = min(max_segments, self.tree.leaves) - 1
+        kept = self.merges().filter(F.col("step") >= len(self.tree.left) - shown)
+        parts = kept.select(
+            F.col("node").alias("parent"),
+            F.inline(F.array(*[F.struct(F.col(side).alias("id"), F.col(f"{side}_customers").alias("customers")) for side in ("left", "right")])),
         )
+        root = kept.filter(F.col("step") == len(self.tree.left) - 1).select(F.lit("").alias("parent"), F.col("node").alias("id"), "customers")
+        nodes = root.select(F.col("id").cast("string"), "parent", "customers").unionByName(
+            parts.select(F.col("id").cast("string"), F.col("parent").cast("string"), "customers")
+        )
+        share = 100 * F.col("customers") / F.lit(total)
+        text = F.concat(F.format_number("customers", 0), F.lit(" customers · "), F.format_string("%.0f%%", share))
+        return nodes.select("id", "parent", "customers", share.alias("share_%"), text.alias("label"))
 
     def top_merges(self, leaves: int = 25) -> DataFrame:
         """The last merges of the tree: which nodes joined, at what distance, and how many customers they hold."""
-        tree = self.tree
-        last = len(tree.left)
-        rows = [
-            (
-                i,
-                str(tree.left[i]),
-                str(tree.right[i]),
-                tree.node_size(int(tree.left[i])),
-                tree.node_size(int(tree.right[i])),
-                float(tree.height[i]),
-                int(tree.size[i]),
-            )
-            for i in range(max(0, last - (leaves - 1)), last)
-        ]
-        return self._frame.sparkSession.createDataFrame(
-            rows,
-            "step int, left string, right string, left_customers long, right_customers long, height double, customers long",
+        last = len(self.tree.left)
+        return self.merges().filter(F.col("step") >= last - (leaves - 1)).select(
+            "step", F.col("left").cast("string"), F.col("right").cast("string"), "left_customers", "right_customers", "height", "customers"
         )
 
 

@@ -74,16 +74,17 @@ def plan_grid(
     categorical: bool = False,
     binary_numeric: bool = False,
     k_values: Sequence[int] | None = None,
+    ward_up_to: int | None = None,
 ) -> GridPlan:
     """Default methods and segment counts.
 
-    Mixtures are left out when a basis is categorical or binary. Ward joins by default up to 1,500 customers, as it is
-    exact there; it can be asked for at any size.
+    Mixtures are left out when a basis is categorical or binary. Ward is compared at any size; ``ward_up_to`` leaves it out
+    beyond so many customers.
     """
     algorithms = ["kmeans"]
     if not (categorical or binary_numeric):
         algorithms.append("gmm")
-    if customers <= 1500:
+    if ward_up_to is None or customers <= ward_up_to:
         algorithms.append("hierarchical")
     most = min(FitSettings().max_segments, customers - 1)
     chosen = tuple(sorted(set(k_values))) if k_values is not None else tuple(range(3, min(6, most) + 1))
@@ -170,7 +171,7 @@ def fit_grid(
             return DataProblem("Numerical fitting failed for this candidate.")
 
     def centre_methods() -> None:
-        partitions = fit_partitions(frame, wanted, seed, settings, repeats, keep=settings.gmm_starts)
+        partitions = fit_partitions(frame, wanted, seed, settings, repeats)
         if "kmeans" in algorithms:
             for (k, subsample), outcome in partitions.items():
                 fit = outcome

@@ -99,9 +99,9 @@ def test_approximate_ward_and_spectral_recover_blobs(spark):
     matrix = blobs([-4, 0, 4], 120, 0.6, columns=2)
     truth = np.repeat([0, 1, 2], 120)
     frame = prepared(spark, matrix)
-    rough = FitSettings(ward_leaves=50, micro_clusters=30, landmarks=60)
+    rough = FitSettings(ward_cells=30, landmarks=60)
     tree = WardHierarchy(frame, 42, rough)
-    assert not tree.micro.exact and "micro-clusters" in tree.detail
+    assert not tree.cells.exact and "cells" in tree.detail
     assert ari(truth, labels_of(frame, tree.fit(3, 360))) > 0.95
     assert ari(truth, labels_of(frame, fit_candidate(frame, "spectral", 3, settings=rough))) > 0.95
     assert fit_solution(frame, "kmeans", 3).assignments.filter("confidence < 0.5").count() == 0
@@ -185,7 +185,8 @@ def test_same_seed_same_labels(spark):
 
 def test_default_grid():
     assert plan_grid(600).algorithms == ("kmeans", "gmm", "hierarchical")
-    assert plan_grid(5000, categorical=True).algorithms == ("kmeans",)
+    assert plan_grid(5000, categorical=True).algorithms == ("kmeans", "hierarchical")
+    assert plan_grid(5000, categorical=True, ward_up_to=1500).algorithms == ("kmeans",)
     assert plan_grid(600).k_values == (3, 4, 5, 6) and not plan_grid(600).warnings
     assert plan_grid(600, k_values=[9]).warnings
     with pytest.raises(DataProblem):
