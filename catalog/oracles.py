@@ -554,3 +554,31 @@ UNION ALL SELECT 4 * n_nationkey + 3, 'column_' || CAST(4 * n_nationkey + 4 AS V
 
 for name in ("kmeans", "gmm", "ward", "spectral", "pca_map", "compare", "icicle"):
     ORACLES[f"{name}_violations"] = "SELECT CAST(0 AS BIGINT) AS violations"
+ORACLES["anova_p_values"] = (
+    # Five market segments give four degrees of freedom between, for which the F tail has a closed form.
+    f"WITH {BASE_CTE}, grouped AS ("
+    + union(
+        f"SELECT '{n}' AS variable, market, count({n}) AS n, avg({n}) AS m, var_pop({n}) * count({n}) AS w FROM base GROUP BY 2 HAVING count({n}) >= 2"
+        for n in NUMERIC
+    )
+    + f"""), grand AS (SELECT variable, sum(n * m) / sum(n) AS g FROM grouped GROUP BY 1),
+sums AS (SELECT variable, sum(n) AS n, sum(n * (m - g) ^ 2) AS b, sum(w) AS w FROM grouped JOIN grand USING (variable) GROUP BY 1),
+tail AS (SELECT variable, (n - 5) / 2.0 AS a, w / (w + b) AS x FROM sums)
+SELECT variable, {r6("x ^ a * (1 + a * (1 - x))", "p_value")} FROM tail"""
+)
+ORACLES["json_list"] = f"""
+SELECT p_partkey, p_type, {r6("p_retailprice", "a_price")}, 'p_type,p_partkey,a_price' AS key_order FROM part"""
+ORACLES["json_named_lists"] = """
+SELECT t AS "table", CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region, (VALUES ('again'), ('suppliers')) v(t)"""
+ORACLES["json_one_record"] = """
+SELECT count(*) AS orders, max(o_orderpriority) AS "last", min(o_orderkey) AS "first" FROM orders"""
+ORACLES["json_columns"] = "SELECT CAST(s_suppkey AS BIGINT) AS key, s_name AS name FROM supplier"
+ORACLES["csv_semicolon_multiline"] = f"""
+SELECT c_custkey, 'said; "' || c_mktsegment || '"' || chr(10) || 'and left ' || c_name AS note, {r6("c_acctbal", "balance")} FROM customer"""
+ORACLES["folder_of_tables"] = """
+SELECT 'nation' AS "table", count(*) AS "rows", CAST((SELECT count(*) FROM (DESCRIBE nation)) AS BIGINT) AS "columns" FROM nation
+UNION ALL SELECT 'supplier', count(*), 2 FROM supplier
+UNION ALL SELECT 'customer', count(*), CAST((SELECT count(*) FROM (DESCRIBE customer)) AS BIGINT) FROM customer"""
+ORACLES["date_formats"] = orders_rollup(
+    "SELECT o_custkey AS customer_id, o_orderkey AS order_id, epoch_us(date_trunc('day', o_orderdate)) AS micros, o_totalprice AS amount FROM orders"
+)

@@ -628,7 +628,7 @@ def anova(spark, sf_dir):
 
 @query
 def anova_p_values(spark, sf_dir):
-    return T.anova_table(customer_base(spark, sf_dir), NUMERIC, "market").select("variable", "p_value")
+    return T.anova_table(customer_base(spark, sf_dir), NUMERIC, "market").select("variable", r6("p_value").alias("p_value"))
 
 
 @query
@@ -732,10 +732,105 @@ def result_pack(spark, sf_dir):
 
 @query
 def header_names(spark, sf_dir):
-    """Headers made of data: repeated, padded and blank names become unique."""
-    nations = [r["n_name"] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_name").collect()]
-    raw = [n for n in nations for n in (n, f" {n} ", f"{n}__2", " ")]
-    return spark.createDataFrame(list(enumerate(unique_headers(raw))), "place long, header string")
+    """A delimited file whose headers are made of data, repeated, padded and blank: loaded headers are unique."""
+    folder = f"{scratch_folder(spark)}.csv"
+    name = F.col("n_name")
+    cells = table(spark, sf_dir, "nation").select(
+        "n_nationkey", F.concat_ws(",", name, F.concat(F.lit(" "), name, F.lit(" ")), F.concat(name, F.lit("__2")), F.lit(" ")).alias("four")
+    )
+    line = cells.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "four"))), lambda c: c["four"]), ",").alias("value"))
+    line.select(F.concat_ws("\n", "value", F.regexp_replace("value", "[^,]+", "7")).alias("value")).coalesce(1).write.text(folder)
+    loaded = load_data(spark, folder).tables["customers"]
+    places = F.array(*[F.struct(F.lit(i).cast("long").alias("place"), F.lit(c).alias("header")) for i, c in enumerate(loaded.columns)])
+    return loaded.select(F.inline(places))
+
+
+def _document(spark, frame: DataFrame, order: str, text) -> str:
+    """A one-document JSON file with the rows of a table."""
+    folder = f"{scratch_folder(spark)}.json"
+    rows = frame.agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.to_json(F.struct("*")).alias("row")))), lambda r: r["row"]).alias("rows"))
+    rows.select(text(F.array_join("rows", ",\n")).alias("value")).coalesce(1).write.text(folder)
+    return folder
+
+
+@query
+def json_list(spark, sf_dir):
+    """Parts as one JSON list of records, loaded again: key order and values survive."""
+    parts = table(spark, sf_dir, "part").select("p_type", "p_partkey", F.col("p_retailprice").alias("a_price"))
+    folder = _document(spark, parts, "p_partkey", lambda t: F.concat(F.lit("[\n"), t, F.lit("]")))
+    back = load_data(spark, folder).tables["customers"]
+    place = F.lit(",".join(back.columns))
+    return back.select("p_partkey", "p_type", r6("a_price").alias("a_price"), place.alias("key_order"))
+
+
+@query
+def json_named_lists(spark, sf_dir):
+    """One JSON object of two record lists: two tables."""
+    regions = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    folder = _document(
+        spark, regions, "r_regionkey", lambda t: F.concat(F.lit('{"suppliers": ['), t, F.lit('], "empty": [], "again": ['), t, F.lit("]}"))
+    )
+    tables = load_data(spark, folder).tables
+    counted = [t.select(F.lit(n).alias("table"), "r_regionkey", "r_name") for n, t in sorted(tables.items())]
+    return counted[0].unionByName(counted[1])
+
+
+@query
+def json_one_record(spark, sf_dir):
+    """A JSON-lines file of a single record is a table of one row."""
+    folder = scratch_folder(spark)
+    one = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("orders"), F.max("o_orderpriority").alias("last"), F.min("o_orderkey").alias("first"))
+    write_json({"one": one}, folder)
+    return read_json(spark, f"{folder}/one")["customers"]
+
+
+@query
+def json_columns(spark, sf_dir):
+    """A column-oriented JSON object becomes rows."""
+    folder = f"{scratch_folder(spark)}.json"
+    rows = F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name")))
+    packed = table(spark, sf_dir, "supplier").agg(rows.alias("r")).select(
+        F.to_json(F.struct(F.col("r.s_suppkey").alias("key"), F.col("r.s_name").alias("name"))).alias("value")
+    )
+    packed.coalesce(1).write.text(folder)
+    return load_data(spark, folder).tables["customers"]
+
+
+@query
+def csv_semicolon_multiline(spark, sf_dir):
+    """Notes with line breaks, quotes and delimiters in a semicolon file: every row comes back whole."""
+    folder = f"{scratch_folder(spark)}.csv"
+    notes = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat(F.lit('said; "'), F.col("c_mktsegment"), F.lit('"\nand left '), F.col("c_name")).alias("note"),
+        r6("c_acctbal").alias("balance"),
+    )
+    notes.write.option("header", True).option("sep", ";").option("quote", '"').option("escape", '"').csv(folder)
+    return load_data(spark, folder).tables["customers"]
+
+
+@query
+def folder_of_tables(spark, sf_dir):
+    """A folder with a delimited, a JSON-lines and a Parquet table, counted after loading it as one source."""
+    folder = scratch_folder(spark)
+    table(spark, sf_dir, "nation").write.option("header", True).csv(f"{folder}/nation.csv")
+    table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").write.json(f"{folder}/supplier.jsonl")
+    table(spark, sf_dir, "customer").write.parquet(f"{folder}/customer.parquet")
+    found = None
+    for name, loaded in sorted(load_data(spark, folder).tables.items()):
+        part = loaded.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("table"), "rows", F.lit(len(loaded.columns)).cast("long").alias("columns")
+        )
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query
+def date_formats(spark, sf_dir):
+    """Orders dated as month/day/year text: the layout is detected from the whole column."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_custkey", F.date_format("o_orderdate", "M/d/yyyy").alias("day"), "o_totalprice"
+    )
+    return rounded_rfm(build_rfm(orders, "o_custkey", "day", "o_totalprice"))
 
 
 @query

@@ -60,6 +60,13 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it back."""
+    folder = scratch_folder(frame.sparkSession)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
 def durable(frame: DataFrame) -> DataFrame:
     """Write a frame to the shared checkpoint folder once, then keep its blocks cached.
 

@@ -20,6 +20,8 @@ SUFFIXES = (".csv", ".json", ".jsonl", ".parquet")
 ONLY_TABLE = "customers"
 DELIMITERS = (",", ";", "\t", "|")
 SNIFFED_LINES = 20
+LINE_PREFIX = 1 << 20  # characters of a line that detection looks at
+WIDE_ROW = "A row has more cells than the header."
 
 # Texts that mean "missing" in a delimited file.
 MISSING_TOKENS = (
@@ -85,30 +87,48 @@ def _read(spark: SparkSession, source: str, suffix: str, schema) -> dict[str, Da
 
 def read_csv(
     spark: SparkSession, source: str, delimiter: str | None = None, schema: T.StructType | str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Delimited file with a header row; the delimiter is detected from the first lines.
 
-    Types are decided from all values in one aggregate: whole number, decimal, boolean (only without gaps), text.
-    ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
+    Types are decided from all values in one aggregate: whole number, decimal, boolean (only without gaps), text; a
+    ``schema`` replaces that decision, not the missing tokens. ``multi_line`` allows line breaks inside quotes, at the
+    price of one task per file; by default it is on exactly when some line leaves a quote open. Short rows are
+    filled up with missing values; a row with more cells than the header is an error.
     """
-    lines = [row["value"] for row in spark.read.text(source).limit(SNIFFED_LINES).collect()]
+    lines = [row["value"] for row in spark.read.text(source).select(F.left("value", F.lit(LINE_PREFIX)).alias("value")).limit(SNIFFED_LINES).collect()]
     if not any(line.strip() for line in lines):
         raise DataProblem("The file is empty.")
+    if multi_line is None:
+        multi_line = _leaves_quotes_open(spark, source)
     delimiter = delimiter or detect_delimiter(lines)
     options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": multi_line}
     header = spark.read.csv(source, header=False, **options).first()
     names = unique_headers(
         "" if cell is None else cell.removeprefix("\ufeff") for cell in header
     )
-    if schema is not None:
-        return spark.read.csv(source, header=True, schema=schema, **options).toDF(*names)
-    text = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    # One column more than the header: what it catches would otherwise be dropped without a word.
+    surplus = unique_headers([*names, "surplus"])[-1]
+    text = T.StructType([T.StructField(name, T.StringType()) for name in [*names, surplus]])
     raw = spark.read.csv(source, header=True, schema=text, **options)
     table = raw.select(
-        *[F.when(~quoted(name).isin(*MISSING_TOKENS), quoted(name)).alias(name) for name in names]
+        *[F.when(~quoted(name).isin(*MISSING_TOKENS), quoted(name)).alias(name) for name in names], quoted(surplus)
     )
-    return _with_types(table)
+    if schema is not None:
+        fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+        if len(fields) != len(names):
+            raise DataProblem(f"The schema has {len(fields)} columns, the file {len(names)}.")
+        wide = F.raise_error(F.lit(WIDE_ROW)).cast("string")
+        first = F.when(quoted(surplus).isNotNull(), wide).otherwise(quoted(names[0]))
+        cells = [first, *[quoted(name) for name in names[1:]]]
+        return table.select(*[F.trim(c).try_cast(f.dataType).alias(n) if not isinstance(f.dataType, T.StringType) else c.alias(n) for c, f, n in zip(cells, fields, names)])
+    return _with_types(table, surplus)
+
+
+def _leaves_quotes_open(spark: SparkSession, source: str) -> bool:
+    """Whether any line holds an odd number of quotes, so that a quoted cell goes on in the next line."""
+    odd = F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1
+    return bool(spark.read.text(source).filter(odd).limit(1).collect())
 
 
 def detect_delimiter(lines: list[str]) -> str:
@@ -123,7 +143,9 @@ def detect_delimiter(lines: list[str]) -> str:
     return max(DELIMITERS, key=evidence)
 
 
-def _with_types(table: DataFrame) -> DataFrame:
+def _with_types(table: DataFrame, surplus: str) -> DataFrame:
+    extra = F.count(quoted(surplus)).alias("extra")
+    wide, table = table, table.drop(surplus)
     infinite = r"(?i)^\s*[+-]?inf(inity)?\s*$"
     tests = []
     for i, name in enumerate(table.columns):
@@ -137,7 +159,9 @@ def _with_types(table: DataFrame) -> DataFrame:
                 F.count_if(value.isin("True", "TRUE", "true", "False", "FALSE", "false")).alias("truth"),
             ).alias(f"t{i}")
         )
-    found = table.agg(*tests).first()
+    found = wide.agg(*tests, extra).first()
+    if found["extra"]:
+        raise DataProblem(WIDE_ROW)
     columns: list[Column] = []
     for i, name in enumerate(table.columns):
         value, facts = quoted(name), found[f"t{i}"]
@@ -159,21 +183,21 @@ def read_json(spark: SparkSession, source: str, schema: T.StructType | str | Non
 
     A single JSON document is parsed by one task; large data should come as JSON lines or Parquet.
     """
-    lines = [
-        row["value"]
-        for row in spark.read.text(source).filter(F.trim("value") != "").limit(SNIFFED_LINES).collect()
-    ]
+    text = spark.read.text(source).filter(F.trim("value") != "")
+    lines = _prefix(text, SNIFFED_LINES)
     if not lines:
         raise DataProblem("The file is empty.")
     start = "\n".join(lines).lstrip("\ufeff \t\r\n")
     if start.startswith("["):
         records = _parse(spark, source, True, schema)
-        return {ONLY_TABLE: _ordered(records, _first_keys(start[1:]))}
-    if len(lines) > 1 and all(_is_object(line.lstrip("\ufeff")) for line in lines):
-        return {ONLY_TABLE: _ordered(_parse(spark, source, False, schema), _first_keys(start))}
+        return {ONLY_TABLE: _ordered(records, _first_keys(text, "["))}
+    if len(lines) > 1 and all(_is_object(line.lstrip("\ufeff")) for line in lines[:2]):
+        return {ONLY_TABLE: _ordered(_parse(spark, source, False, schema), _first_keys(text))}
     document = _parse(spark, source, True, None)
-    keys = _first_keys(start) or document.columns
+    keys = _first_keys(text) or document.columns
     document = _ordered(document, keys, rename=False)
+    if not any(isinstance(f.dataType, (T.ArrayType, T.StructType)) for f in document.schema.fields):
+        return {ONLY_TABLE: _ordered(_parse(spark, source, True, schema), keys)}  # a single record
     lists = {f.name: f.dataType for f in document.schema.fields if isinstance(f.dataType, T.ArrayType)}
     if len(lists) == len(document.columns):
         sizes = document.select(*[F.size(quoted(name)).alias(name) for name in lists]).first()
@@ -203,13 +227,28 @@ def _is_object(text: str) -> bool:
         return False
 
 
-def _first_keys(text: str) -> list[str]:
-    """Key order of the first object, as far as the sniffed lines hold it; Spark itself sorts keys by name."""
-    try:
-        value, _ = json.JSONDecoder().raw_decode(text.lstrip())
-    except ValueError:
-        return []
-    return list(value) if isinstance(value, dict) else []
+def _prefix(text: DataFrame, count: int) -> list[str]:
+    return [row["value"] for row in text.select(F.left("value", F.lit(LINE_PREFIX)).alias("value")).limit(count).collect()]
+
+
+def _first_keys(text: DataFrame, opening: str = "") -> list[str]:
+    """Key order of the first object; Spark itself sorts keys by name.
+
+    The prefix doubles until that object closes, so the order does not depend on how many lines it takes. Only an object
+    that goes on beyond ``LINE_PREFIX`` characters of a line, or over more than a million lines, keeps Spark's order.
+    """
+    count = SNIFFED_LINES
+    while count <= 1 << 20:
+        lines = _prefix(text, count)
+        start = "\n".join(lines).lstrip("\ufeff \t\r\n").removeprefix(opening).lstrip()
+        try:
+            value, _ = json.JSONDecoder().raw_decode(start)
+            return list(value) if isinstance(value, dict) else []
+        except ValueError:
+            if len(lines) < count:
+                return []
+            count *= 4
+    return []
 
 
 def _ordered(table: DataFrame, keys: list[str], rename: bool = True) -> DataFrame:

@@ -54,5 +54,8 @@ def test_hot_customer_is_rolled_up_like_any_other(spark):
     hot = rolled.filter("customer_id = 0").first()
     rows = log.filter("c = 0").agg(F.sum("a").alias("a"), F.count_distinct("o").alias("o")).first()
     assert hot["monetary_value"] == rows["a"] and hot["frequency"] == rows["o"]
-    plan = rolled._jdf.queryExecution().executedPlan().toString()
+    lazy = build_rfm(log, "c", "t", "a", "o", "2030-01-01", check=False)
+    plan = lazy._jdf.queryExecution().executedPlan().toString()
     assert plan.count("partial_sum") == 2
+    # Whatever else is asked for, the written roll-up is read, not the log.
+    assert "Range" not in rolled._jdf.queryExecution().executedPlan().toString()

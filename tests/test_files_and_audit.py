@@ -31,6 +31,31 @@ def test_csv_types_delimiters_and_headers(spark, tmp_path):
     assert detect_delimiter(["a\tb", "1\t2,3"]) == "\t"
 
 
+def test_csv_line_breaks_surplus_cells_and_schema(spark, tmp_path):
+    broken = 'id,note\n1,"two\nlines, ""quoted"""\n2,NA\n3\n'
+    rows = load_data(spark, put(tmp_path, "b.csv", broken)).tables["customers"].orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, 'two\nlines, "quoted"'), (2, None), (3, None)]
+    with pytest.raises(DataProblem, match="more cells"):
+        load_data(spark, put(tmp_path, "w.csv", "a,b\n1,2\n3,4,5\n"))
+    typed = load_data(spark, put(tmp_path, "s.csv", "a,b\n1,NA\nx, 2 \n"), "a int, b double").tables["customers"]
+    assert [tuple(r) for r in typed.collect()] == [(1, None), (None, 2.0)]
+    with pytest.raises(Exception, match="more cells"):
+        load_data(spark, put(tmp_path, "v.csv", "a,b\n1,2,3\n"), "a int, b double").tables["customers"].collect()
+    frame = spark.createDataFrame([(1, "a\nb"), (2, "c")], "id long, note string")
+    E.write_csv(frame, str(tmp_path / "own.csv"))
+    assert sorted(tuple(r) for r in load_data(spark, str(tmp_path / "own.csv")).tables["customers"].collect()) == [(1, "a\nb"), (2, "c")]
+
+
+def test_json_key_order_and_single_records(spark, tmp_path):
+    keys = [f"k{i}" for i in reversed(range(40))]
+    long = json.dumps([{k: 1 for k in keys}] * 2, indent=1)
+    assert load_data(spark, put(tmp_path, "o.json", long)).tables["customers"].columns == keys
+    one = load_data(spark, put(tmp_path, "one.jsonl", '{"b": 1, "a": "x"}\n')).tables["customers"]
+    assert one.columns == ["b", "a"] and [tuple(r) for r in one.collect()] == [(1, "x")]
+    pretty = load_data(spark, put(tmp_path, "p.json", '{\n "b": 1,\n "a": null\n}')).tables["customers"]
+    assert pretty.columns == ["b", "a"] and pretty.count() == 1
+
+
 def test_headers_and_table_names():
     assert unique_headers(["a", " a", "a__2", "", None]) == ["a", "a__2", "a__2__2", "column_4", "column_5"]
     assert unique_table_names(["a/b", "a:b", "", "x" * 40, "x" * 40]) == ["a-b", "a-b_2", "Results", "x" * 31, "x" * 29 + "_2"]

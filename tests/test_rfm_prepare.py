@@ -48,6 +48,19 @@ def test_rfm_drops_unreadable_rows_and_keeps_refunds(spark):
     assert (row["customer_id"], row["frequency"], row["monetary_value"], row["customer_tenure_days"]) == ("1", 2, 6.0, 2.0)
 
 
+def test_rfm_detects_date_layouts(spark):
+    def rolled(*dates):
+        log = spark.createDataFrame([(f"c{i}", d, 1.0) for i, d in enumerate(dates)], "c string, d string, a double")
+        return {r["customer_id"]: r["recency_days"] for r in build_rfm(log, "c", "d", "a", reference_date="2026-02-01").collect()}
+
+    assert rolled("01/13/2026", "2026-01-05", "2026/01/09", "01/02/2026") == {"c0": 19.0, "c1": 27.0, "c2": 23.0, "c3": 30.0}
+    assert rolled("13/01/2026", "02/01/2026", "3.1.2026") == {"c0": 19.0, "c1": 30.0, "c2": 29.0}
+    assert rolled("01/01/2026", "soon") == {"c0": 31.0}
+    for ambiguous in (["01/02/2026"], ["01/13/2026", "13/01/2026"]):
+        with pytest.raises(DataProblem, match="date_formats"):
+            rolled(*ambiguous)
+
+
 def test_rfm_refuses_bad_input(spark):
     log = spark.createDataFrame([("A", "2026-01-01", 1.0, "1"), ("B", "2026-01-02", 1.0, None)], "c string, d string, a double, o string")
     with pytest.raises(DataProblem, match="order ID contains blank"):
