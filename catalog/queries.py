@@ -391,13 +391,16 @@ def separation(frame: DataFrame, labels) -> list[tuple[str, float, float]]:
 @query
 def calinski_harabasz(spark, sf_dir):
     frame = rfm_prepared(spark, sf_dir)
-    rows = [(label, float(D.calinski_harabasz(D.segment_statistics(frame, label)))) for label in GIVEN]
+    rows = [(label, float(D.calinski_harabasz(stats))) for label, stats in D.grouped_statistics(frame, list(GIVEN)).items()]
     return spark.createDataFrame(rows, "labelling string, v double").select("labelling", r6("v").alias("calinski_harabasz"))
 
 
 @query
 def davies_bouldin(spark, sf_dir):
-    rows = [(label, db) for label, _, db in separation(rfm_prepared(spark, sf_dir), GIVEN)]
+    frame = rfm_prepared(spark, sf_dir)
+    found = D.grouped_statistics(frame, list(GIVEN))
+    spread = D.grouped_spread(frame, found)
+    rows = [(label, float(D.davies_bouldin(found[label], spread[label]))) for label in GIVEN]
     return spark.createDataFrame(rows, "labelling string, v double").select("labelling", r6("v").alias("davies_bouldin"))
 
 

@@ -66,6 +66,42 @@ def segment_statistics(frame: DataFrame, label: str, features: str = "features")
     )
 
 
+def grouped_statistics(frame: DataFrame, labels: Sequence[str], features: str = "features") -> dict[str, SegmentStatistics]:
+    """``segment_statistics`` of many label columns in one pass; labels come out as text, in text order."""
+    cells = [F.struct(F.lit(i).alias("place"), F.col(c).cast("string").alias("value")) for i, c in enumerate(labels)]
+    summary = Summarizer.metrics("count", "mean", "variance").summary(F.col("point"))
+    rows = (
+        frame.select(F.col(features).alias("point"), F.inline(F.array(*cells)))
+        .filter(F.col("value").isNotNull())
+        .groupBy("place", "value")
+        .agg(summary.alias("s"))
+        .collect()
+    )
+    found = {}
+    for place, label in enumerate(labels):
+        own = sorted((r for r in rows if r["place"] == place), key=lambda r: r["value"])
+        if not own:
+            raise DataProblem("No labelled customers.")
+        counts = np.array([r["s"]["count"] for r in own], dtype=float)
+        variance = np.array([r["s"]["variance"].toArray().sum() for r in own])
+        centres = np.vstack([r["s"]["mean"].toArray() for r in own])
+        found[label] = SegmentStatistics([r["value"] for r in own], counts, centres, np.where(counts > 1, variance * (counts - 1), 0.0))
+    return found
+
+
+def grouped_spread(frame: DataFrame, found: Mapping[str, SegmentStatistics], features: str = "features") -> dict[str, np.ndarray]:
+    """``mean_spread`` of many label columns in one pass."""
+    labels, table, cells = list(found), frame, []
+    for i, label in enumerate(labels):
+        stats, value = found[label], F.col(label).cast("string")
+        table = with_distances(table, stats.centres, f"away_{i}", features)
+        place = F.array_position(F.array(*map(F.lit, stats.labels)), value).cast("int")
+        cells.append(F.struct(F.lit(i).alias("place"), value.alias("value"), F.get(f"away_{i}", place - 1).alias("away")))
+    rows = table.select(F.inline(F.array(*cells))).filter(F.col("value").isNotNull()).groupBy("place", "value").agg(F.avg("away").alias("spread")).collect()
+    at = {(r["place"], r["value"]): r["spread"] for r in rows}
+    return {label: np.array([at[(i, v)] for v in found[label].labels]) for i, label in enumerate(labels)}
+
+
 def segment_sizes(frame: DataFrame, label: str) -> DataFrame:
     """Customers and share per label."""
     sized = frame.groupBy(label).agg(F.count(F.lit(1)).alias("customers"))

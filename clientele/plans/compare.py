@@ -237,24 +237,37 @@ def fit_solution(
     return describe_solution(fit.label(frame, "raw_label"), "raw_label", fit)
 
 
-def subsample_stability(
-    labels: DataFrame, label: str, refits: Sequence[Fit | DataProblem], seed: int
-) -> tuple[float, float, int]:
-    """Mean and spread of the agreement with refits on 80 % subsamples, and how many refits worked.
+def grid_stability(
+    labels: DataFrame,
+    label_columns: dict[tuple[str, int], str],
+    refits: dict[tuple[str, int, int], Fit | DataProblem],
+    repeats: int,
+    seed: int,
+) -> dict[tuple[str, int], tuple[float, float, int]]:
+    """Per candidate the mean and spread of its agreement with refits on 80 % subsamples, and how many refits worked.
 
-    Each refit adds one label column; one contingency table serves all repeats. A refit that fails counts as zero.
+    A refit adds one label column; one contingency pass serves all candidates and repeats of a method. A refit that
+    fails counts as zero.
     """
-    table, pairs = labels, {}
-    for repeat, refit in enumerate(refits):
-        if isinstance(refit, DataProblem):
-            continue
-        name = f"r{repeat}"
-        table = refit.label(table, name)
-        table = table.withColumn(name, F.when(subsample_mask(repeat, seed), F.col(name)))
-        pairs[name] = (label, name)
-    scores = [row["ari"] for row in D.pair_agreement(table, pairs).collect()] if pairs else []
-    scores += [0.0] * (len(refits) - len(scores))
-    return statistics.fmean(scores), statistics.stdev(scores), len(pairs)
+    scores: dict[tuple[str, int], list[float]] = {candidate: [] for candidate in label_columns}
+    for algorithm in dict.fromkeys(a for a, _ in label_columns):
+        table, pairs = labels, {}
+        for (method, k), name in label_columns.items():
+            for repeat in range(repeats) if method == algorithm else ():
+                refit = refits[(method, k, repeat)]
+                if isinstance(refit, DataProblem):
+                    continue
+                again = f"r{k}_{repeat}"
+                table = refit.label(table, again)
+                table = table.withColumn(again, F.when(subsample_mask(repeat, seed), F.col(again)))
+                pairs[f"{k}|{repeat}"] = (name, again)
+        for row in D.pair_agreement(table, pairs).collect() if pairs else []:
+            scores[(algorithm, int(row["pair"].split("|")[0]))].append(row["ari"])
+    found = {}
+    for candidate, own in scores.items():
+        whole = own + [0.0] * (repeats - len(own))
+        found[candidate] = (statistics.fmean(whole), statistics.stdev(whole), len(own))
+    return found
 
 
 def compare_solutions(
@@ -318,20 +331,25 @@ def compare_solutions(
             agreement.setdefault((a, int(k)), []).append(row["ari"])
             agreement.setdefault((b, int(k)), []).append(row["ari"])
 
-    def evidence(candidate: tuple[str, int]) -> tuple | None:
+    scored = [candidate for candidate in fits if label_columns[candidate] in separation]
+    failures += [(METHODS[a], k, "Numerical fitting failed for this candidate.") for a, k in fits if (a, k) not in scored]
+    columns_of = [label_columns[candidate] for candidate in scored]
+    statistics_of = D.grouped_statistics(labels, columns_of) if scored else {}
+    spread_of = D.grouped_spread(labels, statistics_of) if scored else {}
+    stability_of = grid_stability(labels, {c: label_columns[c] for c in scored}, found.refits, repeats, seed)
+
+    evaluated = []
+    for candidate in scored:
         algorithm, k = candidate
         name, fit = label_columns[candidate], fits[candidate]
-        if name not in separation:
-            return None
-        stats = D.segment_statistics(labels, name)
+        stats = statistics_of[name]
         share = stats.counts / stats.total
-        refits = [found.refits[(algorithm, k, repeat)] for repeat in range(repeats)]
-        stability, spread, successes = subsample_stability(labels, name, refits, seed)
+        stability, spread, successes = stability_of[candidate]
         bic, aic = (
             information_criteria(fit.log_likelihood, k, columns, rows) if fit.log_likelihood is not None else (None, None)
         )
         peers_of = agreement.get(candidate)
-        return (
+        evaluated.append((
             list(fits).index(candidate),
             algorithm,
             METHODS[algorithm],
@@ -343,7 +361,7 @@ def compare_solutions(
             repeats,
             successes,
             D.calinski_harabasz(stats),
-            D.davies_bouldin(stats, D.mean_spread(labels, name, stats)),
+            D.davies_bouldin(stats, spread_of[name]),
             float(100 * share.min()),
             int(stats.counts.min()),
             float(100 * share.max()),
@@ -352,16 +370,7 @@ def compare_solutions(
             aic,
             fit.detail,
             statistics.fmean(peers_of) if peers_of else None,
-        )
-
-    evaluated = []
-    with ThreadPoolExecutor(threads) as pool:
-        run = inheritable_thread_target(frame.sparkSession)(evidence)
-        for candidate, row in zip(fits, pool.map(run, fits)):
-            if row is None:
-                failures.append((METHODS[candidate[0]], candidate[1], "Numerical fitting failed for this candidate."))
-            else:
-                evaluated.append(row)
+        ))
     if not evaluated:
         raise DataProblem("No candidate could be evaluated: simplify the bases or ask for fewer segments.")
     spark = frame.sparkSession
