@@ -226,10 +226,10 @@ def fit_mixtures(
 def _outcome(k: int, climbs: Sequence[_Climb], settings: FitSettings) -> Fit | DataProblem:
     usable = [c for c in climbs if not c.failed]
     if not usable:
-        return DataProblem("Numerical fitting failed for this candidate.")
+        return DataProblem("Its covariances or distances could not be computed.")
     best = max(usable, key=lambda c: c.likelihood)
     if not best.finished:
-        return DataProblem("The mixture did not converge for this candidate.")
+        return DataProblem("The likelihood was still rising after the last allowed step.")
     try:
         check_realized(int((best.won > 0).sum()), k)
     except DataProblem as problem:

@@ -168,7 +168,7 @@ def fit_grid(
         except DataProblem as problem:
             return problem
         except (ValueError, np.linalg.LinAlgError):
-            return DataProblem("Numerical fitting failed for this candidate.")
+            return DataProblem("Its covariances or distances could not be computed.")
 
     def centre_methods() -> None:
         partitions = fit_partitions(frame, wanted, seed, settings, repeats)
@@ -310,7 +310,7 @@ def compare_solutions(
         else:
             failures.append((METHODS[candidate[0]], candidate[1], str(outcome)))
     if not fits:
-        raise DataProblem("No candidate could be fitted: simplify the bases or ask for fewer segments.")
+        raise DataProblem("None of the candidates could be fitted; try other bases or segment counts.")
 
     label_columns = {candidate: f"label_{i}" for i, candidate in enumerate(fits)}
     labels = frame
@@ -332,7 +332,7 @@ def compare_solutions(
             agreement.setdefault((b, int(k)), []).append(row["ari"])
 
     scored = [candidate for candidate in fits if label_columns[candidate] in separation]
-    failures += [(METHODS[a], k, "Numerical fitting failed for this candidate.") for a, k in fits if (a, k) not in scored]
+    failures += [(METHODS[a], k, "Its covariances or distances could not be computed.") for a, k in fits if (a, k) not in scored]
     columns_of = [label_columns[candidate] for candidate in scored]
     statistics_of = D.grouped_statistics(labels, columns_of) if scored else {}
     spread_of = D.grouped_spread(labels, statistics_of) if scored else {}
@@ -372,7 +372,7 @@ def compare_solutions(
             statistics.fmean(peers_of) if peers_of else None,
         ))
     if not evaluated:
-        raise DataProblem("No candidate could be evaluated: simplify the bases or ask for fewer segments.")
+        raise DataProblem("None of the fitted candidates could be scored; try other bases or segment counts.")
     spark = frame.sparkSession
     candidates = spark.createDataFrame(evaluated, CANDIDATE_SCHEMA)
     ranked = D.rank_candidates(D.quality_label(D.evidence_score(candidates))).orderBy("position")
