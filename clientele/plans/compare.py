@@ -125,7 +125,10 @@ def ready(prepared: DataFrame) -> DataFrame:
     """The prepared table sorted within its partitions and kept; fits then see the same rows in the same order."""
     if prepared.storageLevel != StorageLevel.NONE:
         return prepared
-    return durable(prepared.select("id", "features").sortWithinPartitions("id"))
+    # A small table would otherwise arrive in one partition and be fitted by one core.
+    spark = prepared.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return durable(prepared.select("id", "features").repartition(parts, "id").sortWithinPartitions("id"))
 
 
 @dataclass
