@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientele.llm.shared import partitions_for, range_bounds, range_of, text_or_empty
-from clientele.llm.words import U64, mixed
+from clientele.llm.words import U64, mixed, slices
 
 BINS = 128
 EMPTY = 0xFFFF
@@ -108,7 +108,7 @@ def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return batch
 
-    for batch in batches:
+    for batch, _, _ in slices(batches):
         kind = batch.column(2).type
         for part, ahead, key, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
             own = None

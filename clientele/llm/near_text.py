@@ -51,8 +51,7 @@ def _key_rows(batches: Iterator[pa.RecordBatch], which: range) -> Iterator[pa.Re
         prints = np.array(batch.column(1).to_pylist(), dtype=np.int64).reshape(batch.num_rows, PRINTS)
         for k in which:
             at, keys = fuzzy_keys(np.ascontiguousarray(prints[:, k]).view(U64))
-            rows = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(keys | (k << 44))], ["node", "prints", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(keys | (k << 44))], ["node", "key"])
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch], wanted, size: int) -> Iterator[pa.RecordBatch]:
@@ -83,20 +82,17 @@ def candidate_pairs(prints: DataFrame, which: range) -> DataFrame:
     Small buckets give all their pairs. In a larger one every node is paired with the bucket's leader only, drawn by
     hash per bucket, so rows grow with the number of keys and not with the square of a group of copies.
     """
-    keyed = stored(prints.mapInArrow(lambda b: _key_rows(b, which), "node long, prints array<long>, key long"))
-    draw = F.xxhash64("node", "key")
-    heads = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(draw.alias("draw"), "node", "prints")).alias("head"))
-    heads = stored(heads.filter("n > 1"))
-    few = keyed.join(heads.filter(F.col("n") <= PAIRWISE).select("key"), "key").groupBy("key")
-    few = few.agg(F.collect_list(F.struct("node", "prints")).alias("them"))
-    pairs = few.select("them", F.explode("them").alias("a")).select("a", F.explode("them").alias("b"))
-    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.prints").alias("pa"), F.col("b.prints").alias("pb")).filter("a < b")
-    many = keyed.join(heads.filter(F.col("n") > PAIRWISE).select("key", "head"), "key").filter("node <> head.node")
-    stars = many.select(
-        F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b"),
-        F.col("prints").alias("pa"), F.col("head.prints").alias("pb"),
-    )
-    return pairs.unionByName(stars).filter(_bits_apart("pa", "pb") <= BITS_APART).select("a", "b").distinct()
+    keyed = stored(prints.mapInArrow(lambda b: _key_rows(b, which), "node long, key long"))
+    heads = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("draw"), "node")).alias("head"))
+    heads = stored(heads.filter("n > 1").select("key", "n", F.col("head.node").alias("head")))
+    few = keyed.join(heads.filter(F.col("n") <= PAIRWISE).select("key"), "key").groupBy("key").agg(F.collect_list("node").alias("them"))
+    pairs = few.select("them", F.explode("them").alias("a")).select("a", F.explode("them").alias("b")).filter("a < b")
+    many = keyed.join(heads.filter(F.col("n") > PAIRWISE).select("key", "head"), "key").filter("node <> head")
+    stars = many.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+    both = stored(pairs.unionByName(stars).distinct())
+    left = prints.select(F.col("node").alias("a"), F.col("prints").alias("pa"))
+    right = prints.select(F.col("node").alias("b"), F.col("prints").alias("pb"))
+    return both.join(left, "a").join(right, "b").filter(_bits_apart("pa", "pb") <= BITS_APART).select("a", "b")
 
 
 def similar_pairs(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:

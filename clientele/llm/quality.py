@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clientele.llm.columns import with_text_value
+from clientele.llm.words import slices
+
 STATISTICS = (
     "log_bytes", "upper", "digit", "mark", "symbol", "pipe", "space", "word_length", "distinct_words", "line_words",
     "distinct_lines", "end_marks", "non_ascii", "squeezed", "repeated_pairs", "long_words",
@@ -54,7 +57,7 @@ def document_statistics(text: str) -> list[float]:
 
 
 def _statistic_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch, _, _ in slices(batches):
         values = [document_statistics(t or "") for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64()))], ["id", "x"])
 
@@ -160,14 +163,10 @@ def scored_quality(table: DataFrame, model: QuadraticDiscriminant) -> DataFrame:
     return table.mapInArrow(score, f"id {dict(table.dtypes)['id']}, score double")
 
 
-def quality_expression(model: QuadraticDiscriminant, text: str) -> Column:
-    """Score of a text column as an expression, for filtering rows in place."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def score(texts):
-        import pandas as pd
+def with_quality(docs: DataFrame, model: QuadraticDiscriminant, text: str, name: str) -> DataFrame:
+    """``docs`` with the score of every row, for filtering rows in place."""
 
-        return pd.Series(model.score(np.array([document_statistics(t or "") for t in texts]).reshape(len(texts), len(STATISTICS))))
+    def score(texts: list) -> np.ndarray:
+        return model.score(np.array([document_statistics(t or "") for t in texts]).reshape(len(texts), len(STATISTICS)))
 
-    return score(F.col(text))
+    return with_text_value(docs, text, name, "double", score)

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clientele.llm.shared import stored
+from clientele.llm.columns import with_text_value
+from clientele.llm.shared import fresh_name, stored
 from clientele.llm.words import slices
 
 # Fixed patterns; letters of the assignment keys stand in either case, ASCII only.
@@ -206,12 +206,11 @@ def redact(text: str | None, models: MarkovModels, mark: str) -> str | None:
     return "".join(out) + text[at:] if spans else text
 
 
-def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]", settings: MarkovSettings = MarkovSettings()) -> Column:
-    """Expression for the texts of ``docs`` without their secrets; trains the models on ``docs`` first."""
+def without_secrets(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]", settings: MarkovSettings = MarkovSettings()
+) -> DataFrame:
+    """``docs`` with secrets in the text replaced by a mark; the models are trained on ``docs`` first."""
     held = docs.sparkSession.sparkContext.broadcast(train_markov(scan_table(docs, doc_id, text), settings))
-
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, held.value, mark) for t in texts], dtype=object)
-
-    return clean(F.col(text))
+    name = fresh_name(docs, "clean")
+    cleaned = with_text_value(docs, text, name, "string", lambda texts: [redact(t, held.value, mark) for t in texts])
+    return cleaned.withColumn(text, F.col(name)).drop(name)

@@ -14,14 +14,15 @@ from functools import lru_cache
 from itertools import combinations, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clientele.llm.columns import with_text_value
 from clientele.llm.components import connected
 from clientele.llm.shared import stored
+from clientele.llm.words import slices
 
 SEED, SHINGLE, REACH = 42, 3, 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # (lowest bit, bits)
@@ -48,7 +49,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch, _, _ in slices(batches):
         marks = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], ["id", "mark"])
 
@@ -157,11 +158,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     return table.join(labels, "mark").select(F.col("id").alias(doc_id), "mark", "component_id")
 
 
-def fingerprint_expression(text: str, shingle: int = SHINGLE) -> Column:
-    """Fingerprint of a text column as an expression, for marking rows in place."""
+def with_fingerprint(docs: DataFrame, text: str, name: str, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with the fingerprint of every row, for marking rows in place."""
 
-    @F.pandas_udf("long")
-    def mark(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+    def marks(texts: list) -> np.ndarray:
+        return np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
 
-    return mark(F.col(text))
+    return with_text_value(docs, text, name, "long", marks)

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from clientele.llm.decontaminate import find_contamination, is_contaminated
 from clientele.llm.near_text import similar_groups
 from clientele.llm.packing import pack_documents
-from clientele.llm.quality import quality_expression, statistics_table, train_quality
-from clientele.llm.secret_scan import redacted
+from clientele.llm.quality import statistics_table, train_quality, with_quality
+from clientele.llm.secret_scan import without_secrets
 from clientele.llm.shared import fresh_name, read_table, stored
-from clientele.llm.simhash import fingerprint_expression, mark_components
+from clientele.llm.simhash import mark_components, with_fingerprint
 
 # Rows below this score go.
 QUALITY_BAR = 0.5
@@ -30,7 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = train_quality(table, read_table(spark, sf_dir, "labels"), F.lit(True))
     if model.classes is None:
         return docs
-    return docs.filter(quality_expression(model, "text") >= QUALITY_BAR)
+    score = fresh_name(docs, "score")
+    return with_quality(docs, model, "text", score).filter(F.col(score) >= QUALITY_BAR).drop(score)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +42,8 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     per group, which is taken before the shuffle too. Texts without words are one group.
     """
     mark, root = fresh_name(docs, "mark"), fresh_name(docs, "root")
-    marked = docs.withColumn(mark, fingerprint_expression("text"))
-    table = stored(docs.select(fingerprint_expression("text").alias("mark")).distinct())
+    marked = stored(with_fingerprint(docs, "text", mark))
+    table = stored(marked.select(F.col(mark).alias("mark")).distinct())
     roots = stored(mark_components(table).select(F.col("mark").alias(mark), F.col("root").alias(root)))
     row = F.struct(F.col("doc_id"), *[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
     kept = marked.join(roots, mark).groupBy(root).agg(F.min(row).alias("row"))
@@ -68,7 +69,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows; secrets in the text are replaced by a mark, and n_chars follows where there is such a column."""
-    clean = docs.withColumn("text", redacted(docs))
+    clean = without_secrets(docs)
     if "n_chars" not in docs.columns:
         return clean
     changed = F.coalesce(F.length("text"), F.lit(0)).cast(dict(docs.dtypes)["n_chars"])
