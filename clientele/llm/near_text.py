@@ -24,6 +24,8 @@ PRINTS = 4
 SALTS = [U64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64) for k in range(PRINTS)]
 # Of 64 x PRINTS bits; texts at a similarity of 0.8 differ in about a tenth, unrelated ones in two fifths.
 BITS_APART = 64
+# Of the 64 bits of the fingerprint whose key is shared: drops most chance meetings before they are written.
+OWN_BITS_APART = 10
 
 
 def word_prints(words: np.ndarray) -> list[int]:
@@ -50,8 +52,9 @@ def _key_rows(batches: Iterator[pa.RecordBatch], which: range) -> Iterator[pa.Re
     for batch in batches:
         prints = np.array(batch.column(1).to_pylist(), dtype=np.int64).reshape(batch.num_rows, PRINTS)
         for k in which:
-            at, keys = fuzzy_keys(np.ascontiguousarray(prints[:, k]).view(U64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(keys | (k << 44))], ["node", "key"])
+            own = np.ascontiguousarray(prints[:, k])
+            at, keys = fuzzy_keys(own.view(U64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(own[at]), pa.array(keys | (k << 44))], ["node", "own", "key"])
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch], wanted, size: int) -> Iterator[pa.RecordBatch]:
@@ -82,12 +85,15 @@ def candidate_pairs(prints: DataFrame, which: range) -> DataFrame:
     Small buckets give all their pairs. In a larger one every node is paired with the bucket's leader only, drawn by
     hash per bucket, so rows grow with the number of keys and not with the square of a group of copies.
     """
-    keyed = stored(prints.mapInArrow(lambda b: _key_rows(b, which), "node long, key long"))
-    heads = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("draw"), "node")).alias("head"))
-    heads = stored(heads.filter("n > 1").select("key", "n", F.col("head.node").alias("head")))
-    few = keyed.join(heads.filter(F.col("n") <= PAIRWISE).select("key"), "key").groupBy("key").agg(F.collect_list("node").alias("them"))
-    pairs = few.select("them", F.explode("them").alias("a")).select("a", F.explode("them").alias("b")).filter("a < b")
-    many = keyed.join(heads.filter(F.col("n") > PAIRWISE).select("key", "head"), "key").filter("node <> head")
+    keyed = stored(prints.mapInArrow(lambda b: _key_rows(b, which), "node long, own long, key long"))
+    heads = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("draw"), "node", "own")).alias("head"))
+    heads = stored(heads.filter("n > 1").select("key", "n", F.col("head.node").alias("head"), F.col("head.own").alias("theirs")))
+    few = keyed.join(heads.filter(F.col("n") <= PAIRWISE).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("node", "own")).alias("them"))
+    pairs = few.select("them", F.explode("them").alias("a")).select("a", F.explode("them").alias("b")).filter("a.node < b.node")
+    close = F.bit_count(F.col("a.own").bitwiseXOR(F.col("b.own"))) <= OWN_BITS_APART
+    pairs = pairs.filter(close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    many = keyed.join(heads.filter(F.col("n") > PAIRWISE).select("key", "head", "theirs"), "key").filter("node <> head")
+    many = many.filter(F.bit_count(F.col("own").bitwiseXOR(F.col("theirs"))) <= OWN_BITS_APART)
     stars = many.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
     both = stored(pairs.unionByName(stars).distinct())
     left = prints.select(F.col("node").alias("a"), F.col("prints").alias("pa"))
