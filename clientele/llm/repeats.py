@@ -1,10 +1,12 @@
 """Removal of repeated byte strings by hash-compared suffix sorting.
 
 Every string of ``LENGTH`` bytes contains the smallest hash among its short grams (its anchor), and equal strings have
-equal anchors. Runs of strings with one anchor travel together, as one segment, to the task that its anchor's hash
-names, so equal strings of all documents meet there. That task sorts the suffixes that start in its segments: a prefix
-polynomial hash gives the common extension of two suffixes by binary search, a merge sort needs only such comparisons,
-and bytes are compared before neighbours count as equal. The smallest document id of equal neighbours keeps its bytes.
+equal anchors. In a first exchange only anchors move, as short hashes: those of a single document cannot be part of a
+repeat. In a second one, the runs of strings around the other anchors travel as segments to the task that their
+anchor's hash names, so equal strings of all documents meet there. That task sorts the suffixes that start in its
+segments: a prefix polynomial hash gives the common extension of two suffixes by binary search, a merge sort needs only
+such comparisons, and bytes are compared before neighbours count as equal. The smallest document id of equal neighbours
+keeps its bytes.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from clientele.llm.words import U64, mixed, prefix_hash, slices, span_hash
 LENGTH, GRAM = 50, 20
 BYTES_PER_PARTITION = 12_000_000
 BUCKETS_PER_PARTITION = 8
+HELD_ANCHORS, HELD_BYTES = 1_000_000, 12_000_000  # what a task gathers before it sends blobs
 POSITION_BITS = 22
 SLICE_BYTES = 2_000_000
 
@@ -101,11 +105,11 @@ def suffix_order(data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, lengt
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, start, past, hash) of every maximal run of ``length``-byte strings with one anchor; bytes [start, past)."""
+    """(row, start, past, hash, anchor) of every maximal run of ``length``-byte strings with one anchor; bytes [start, past)."""
     none = np.empty(0, np.int64)
     n = len(data) - length + 1
     if n < 1:
-        return none, none, none, np.empty(0, U64)
+        return none, none, none, np.empty(0, U64), none
     spots = np.arange(len(data) - gram + 1)
     grams = mixed(span_hash(prefix, spots, spots + gram))
     packed = (grams & ~U64((1 << POSITION_BITS) - 1)) | spots.astype(U64)
@@ -121,12 +125,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, length: i
     whole = np.arange(n) + length <= offsets[row + 1]
     at = np.flatnonzero(whole)
     if not len(at):
-        return none, none, none, np.empty(0, U64)
+        return none, none, none, np.empty(0, U64), none
     opens = np.ones(len(at), dtype=bool)
     opens[1:] = (anchor[at[1:]] != anchor[at[:-1]]) | (row[at[1:]] != row[at[:-1]])
     first = np.flatnonzero(opens)
     last = np.append(first[1:], len(at)) - 1
-    return row[at[first]], at[first], at[last] + length, grams[anchor[at[first]]]
+    spot = anchor[at[first]]
+    return row[at[first]], at[first], at[last] + length, grams[spot], spot
 
 
 def gather(data: np.ndarray, start: np.ndarray, past: np.ndarray) -> np.ndarray:
@@ -146,58 +151,145 @@ def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarra
     return np.logical_and.reduceat(same, ends - size)
 
 
-COLUMNS = (("doc", np.int64), ("at", np.int32), ("size", np.int32))
+def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int):
+    """Per piece of text: its batch, bytes, prefix hash, and the document row, place in the document, extent and hash of
+    every anchored run."""
+    for batch, data, offsets in slices(batches, limit=SLICE_BYTES):
+        pieces = _long_document(data, length) if len(data) >= 1 << POSITION_BITS else [(data, offsets, 0)]
+        for part, at, shift in pieces:
+            prefix = prefix_hash(part)
+            row, start, past, hashes, spot = anchors(part, at, prefix, length, gram)
+            if len(row):
+                base = at[row] - shift
+                yield batch, part, prefix, row, start, past, hashes, start - base, spot - base
+
+
+def _by_bucket(bucket: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+    """Positions of each bucket's entries, in order of documents."""
+    order = np.lexsort((doc, bucket))
+    return np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+
+
+def _blob_batch(names: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
 
+ANCHORS = (("mark", np.uint32), ("doc", np.int64), ("at", np.int32))
+SEGMENTS = (("doc", np.int64), ("at", np.int32), ("size", np.int32))
 
-def _packed(parts: dict[str, np.ndarray], body: np.ndarray) -> bytes:
-    raw = np.int64(len(parts["doc"])).tobytes() + b"".join(parts[n].astype(t).tobytes() for n, t in COLUMNS) + body.tobytes()
+
+def _packed(parts: dict[str, np.ndarray], columns, body: np.ndarray) -> bytes:
+    """Columns and bytes, compressed; document ids as differences, which are small."""
+    fields = {**parts, "doc": np.diff(parts["doc"], prepend=0)}
+    raw = np.int64(len(parts["doc"])).tobytes() + b"".join(fields[n].astype(t).tobytes() for n, t in columns) + body.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpacked(blob: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def _unpacked(blob: bytes, columns) -> tuple[dict[str, np.ndarray], np.ndarray]:
     raw = pa.decompress(memoryview(blob)[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
     n, at, parts = int(np.frombuffer(raw, np.int64, 1)[0]), 8, {}
-    for name, kind in COLUMNS:
+    for name, kind in columns:
         parts[name] = np.frombuffer(raw, kind, n, at)
         at += n * np.dtype(kind).itemsize
+    parts["doc"] = np.cumsum(parts["doc"])
     return parts, np.frombuffer(raw, np.uint8, -1, at)
 
 
+def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The blobs of a task, bucket by bucket; they stay compressed until their bucket's turn."""
+    held: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held.setdefault(bucket, []).append(blob)
+    for bucket in list(held):
+        yield held.pop(bucket)
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, blob) rows of anchors. Thirty-two bits of the hash are enough within a bucket, whose size does not grow;
+    what they confuse is sorted out by the suffix sort."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush() -> pa.RecordBatch:
+        bucket, mark, doc, at = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        runs = _by_bucket(bucket, doc)
+        blobs = [_packed({"mark": mark[r], "doc": doc[r], "at": at[r]}, ANCHORS, np.empty(0, np.uint8)) for r in runs]
+        return _blob_batch([int(bucket[r[0]]) for r in runs], blobs)
+
+    for batch, _, _, row, _, _, hashes, _, spot in _pieces(batches, length, gram):
+        doc = batch.column(0).to_numpy(zero_copy_only=False)[row]
+        mark = ((hashes // U64(buckets)) & U64(0xFFFFFFFF)).astype(np.uint32)
+        held.append(((hashes % U64(buckets)).astype(np.int32), mark, doc, spot.astype(np.int32)))
+        if sum(len(h[0]) for h in held) >= HELD_ANCHORS:
+            yield flush()
+    if held:
+        yield flush()
+
+
+def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, at) of the anchors whose hash stands in two documents or more."""
+    for blobs in _bucketed(batches):
+        parts = [_unpacked(b, ANCHORS)[0] for b in blobs]
+        key, doc, at = (np.concatenate([p[n] for p in parts]) for n, _ in ANCHORS)
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        size = np.diff(np.append(first, len(order)))
+        ranked = doc[order]
+        many = np.minimum.reduceat(ranked, first) != np.maximum.reduceat(ranked, first)
+        kept = order[np.repeat(many, size)]
+        if len(kept):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[kept]), pa.array(at[kept])], ["doc", "at"])
+
+
 def _segment_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, blob) rows of segments. Of equal segments in a slice only the smallest document's goes on; the strings
-    of the others are known to repeat, and go along as (document, start, -size)."""
-    for batch, data, offsets in slices(batches, limit=SLICE_BYTES):
-        pieces = _long_document(data, length) if len(data) >= 1 << POSITION_BITS else [(data, offsets, 0)]
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for part, at, shift in pieces:
-            prefix = prefix_hash(part)
-            row, start, past, hashes = anchors(part, at, prefix, length, gram)
-            if not len(row):
-                continue
-            doc, where = ids[row], start - at[row] + shift
-            content = mixed(span_hash(prefix, start, past) + (past - start).astype(U64))
-            order = np.lexsort((where, doc, content))
-            same = np.zeros(len(order), dtype=bool)
-            a, b = order[:-1], order[1:]
-            near = np.flatnonzero((content[a] == content[b]) & (past[a] - start[a] == past[b] - start[b]))
-            same[near + 1] = _equal_bytes(part, start[a[near]], start[b[near]], (past - start)[a[near]])
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-            repeat = same & (doc[order] > doc[order[head]])
-            again = np.zeros(len(order), dtype=bool)
-            again[order[repeat]] = True
-            send = np.ones(len(order), dtype=bool)
-            send[order[repeat]] = False
-            bucket = (hashes % U64(buckets)).astype(np.int64)
-            keep = np.flatnonzero(send | again)
-            keep = keep[np.argsort(bucket[keep], kind="stable")]
-            cuts = np.flatnonzero(np.diff(bucket[keep])) + 1
-            blobs, names = [], []
-            for run in np.split(keep, cuts):
-                whole = run[send[run]]
-                size = np.where(send[run], 1, -1) * (past - start)[run]
-                blobs.append(_packed({"doc": doc[run], "at": where[run], "size": size}, gather(part, start[whole], past[whole])))
-                names.append(int(bucket[run[0]]))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+    """(bucket, blob) rows of the segments around shared anchors.
+
+    Of equal segments in a slice only the smallest document's goes on; the strings of the others are known to repeat,
+    and go along as (document, start, -size).
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush() -> pa.RecordBatch:
+        bucket, doc, at, size, texts = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        names, blobs = [], []
+        for run in _by_bucket(bucket, doc):
+            body = np.frombuffer(b"".join(t for t in texts[run] if t is not None), np.uint8)
+            names.append(int(bucket[run[0]]))
+            blobs.append(_packed({"doc": doc[run], "at": at[run], "size": size[run]}, SEGMENTS, body))
+        return _blob_batch(names, blobs)
+
+    wanted = (b.filter(pc.is_valid(b.column(2))) for b in batches)
+    for batch, part, prefix, row, start, past, hashes, where, spot in _pieces(wanted, length, gram):
+        lists = batch.column(2)
+        owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        shared = (owner << 32) | lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        pick = np.flatnonzero(np.isin((row.astype(np.int64) << 32) | spot, shared))
+        if not len(pick):
+            continue
+        row, start, past, hashes, where = row[pick], start[pick], past[pick], hashes[pick], where[pick]
+        doc = batch.column(0).to_numpy(zero_copy_only=False)[row]
+        content = mixed(span_hash(prefix, start, past) + (past - start).astype(U64))
+        order = np.lexsort((where, doc, content))
+        same = np.zeros(len(order), dtype=bool)
+        a, b = order[:-1], order[1:]
+        near = np.flatnonzero((content[a] == content[b]) & (past[a] - start[a] == past[b] - start[b]))
+        same[near + 1] = _equal_bytes(part, start[a[near]], start[b[near]], (past - start)[a[near]])
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        repeat = same & (doc[order] > doc[order[head]])
+        send = np.ones(len(order), dtype=bool)
+        send[order[repeat]] = False
+        whole = np.flatnonzero(send)
+        sizes = np.where(send, 1, -1) * (past - start)
+        bodies = np.split(gather(part, start[whole], past[whole]), np.cumsum(sizes[whole])[:-1])
+        texts = np.full(len(send), None, dtype=object)
+        texts[whole] = [b.tobytes() for b in bodies]
+        held.append(((hashes % U64(buckets)).astype(np.int32), doc, where, sizes, texts))
+        if sum(int(h[3].clip(0).sum()) for h in held) >= HELD_BYTES:
+            yield flush()
+    if held:
+        yield flush()
 
 
 def _long_document(data: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
@@ -208,7 +300,7 @@ def _long_document(data: np.ndarray, length: int) -> list[tuple[np.ndarray, np.n
     ]
 
 
-def repeated_runs(doc: np.ndarray, at: np.ndarray, size: np.ndarray, body: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_strings(doc: np.ndarray, size: np.ndarray, body: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(segment, offset) of every string of the segments that also starts in a smaller document."""
     none = np.empty(0, np.int64)
     ends = np.cumsum(size)
@@ -245,20 +337,16 @@ def repeated_runs(doc: np.ndarray, at: np.ndarray, size: np.ndarray, body: np.nd
     return segment[found], strings[found] - begin[segment[found]]
 
 
-def _run_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Runs (doc, start, past) of bytes to remove, from all blobs of a task's buckets, bucket by bucket."""
-    held: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held.setdefault(bucket, []).append(blob)
-    for bucket in list(held):
-        parts = [_unpacked(b) for b in held.pop(bucket)]
-        doc, at, size = (np.concatenate([p[n] for p, _ in parts]).astype(np.int64) for n, _ in COLUMNS)
+def _run_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Runs (doc, start, past) of bytes to remove."""
+    for blobs in _bucketed(batches):
+        parts = [_unpacked(b, SEGMENTS) for b in blobs]
+        doc, at, size = (np.concatenate([p[n] for p, _ in parts]).astype(np.int64) for n, _ in SEGMENTS)
         body = np.concatenate([b for _, b in parts])
         known = size < 0
         out = [(doc[known], at[known], at[known] - size[known])]
         doc, at, size = doc[~known], at[~known], size[~known]
-        segment, offset = repeated_runs(doc, at, size, body, length, gram)
+        segment, offset = repeated_strings(doc, size, body, length)
         if len(segment):
             opens = np.ones(len(segment), dtype=bool)
             opens[1:] = (segment[1:] != segment[:-1]) | (offset[1:] != offset[:-1] + 1)
@@ -271,19 +359,29 @@ def _run_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["doc", "start", "past"])
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def exact_copies(rows: DataFrame) -> DataFrame:
+    """Stored (copy): keys of the rows (key, text) whose whole text stands in a row with a smaller key."""
+    marked = stored(rows.select("key", F.sha2(F.col("text").cast("binary"), 256).alias("digest")))
+    firsts = stored(marked.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    return stored(marked.join(firsts, "digest").filter("key > first").select(F.col("key").alias("copy")).distinct())
+
+
+def repeated_spans(texts: DataFrame, copies: DataFrame, parts: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, start, past): byte runs whose ``length``-byte strings also start in a document with a smaller id.
 
-    Runs may overlap and touch; together they cover exactly what repeats. Ids must be integers. Rows without an id are
-    left out here (an id is what decides which copy stays); rows with one id count as one document's, so they do not
-    make each other repeat.
+    ``texts`` holds (key long, not null; text) and is partitioned by key: it is read twice. Whole copies are left out:
+    what they hold stands in their first document. Runs may overlap and touch; together they cover exactly what repeats.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(F.col(text)).alias("text")).filter("id is not null")
-    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = partitions_for(docs.sparkSession, volume, BYTES_PER_PARTITION)
     buckets = parts * BUCKETS_PER_PARTITION
-    segments = rows.mapInArrow(lambda b: _segment_rows(b, buckets, length, gram), "bucket int, blob binary")
-    return segments.repartition(parts, "bucket").mapInArrow(lambda b: _run_rows(b, length, gram), "doc long, start long, past long")
+    blobs = "bucket int, blob binary"
+    own = texts.join(copies, F.col("key") == F.col("copy"), "left").select("key", F.when(F.col("copy").isNull(), F.col("text")).alias("text"))
+    known = own.mapInArrow(lambda b: _anchor_rows(b, buckets, length, gram), blobs)
+    shared = known.repartition(parts, "bucket").mapInArrow(_shared_rows, "doc long, at int")
+    spots = shared.groupBy("doc").agg(F.collect_list("at").alias("spots"))
+    # An outer join, so that no filter is pushed below the exchange of the texts, which is used again.
+    around = texts.join(spots, F.col("key") == F.col("doc"), "left").select("key", "text", "spots")
+    segments = around.mapInArrow(lambda b: _segment_rows(b, buckets, length, gram), blobs)
+    return segments.repartition(parts, "bucket").mapInArrow(lambda b: _run_rows(b, length), "doc long, start long, past long")
 
 
 def merged(starts: list[int], pasts: list[int]) -> list[tuple[int, int]]:
@@ -298,7 +396,7 @@ def merged(starts: list[int], pasts: list[int]) -> list[tuple[int, int]]:
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch, _, _ in slices(batches):
         rows = []
         for key, text, runs in zip(*(batch.column(i).to_pylist() for i in range(3))):
             body = text.encode()
@@ -318,15 +416,24 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id``, n_bytes, n_removed, removed (maximal runs), kept (remaining bytes) for every row.
 
-    Null texts are empty. A row without an id keeps all its bytes. What is cut may split a character, so ``kept`` is
-    binary.
+    Ids must be integers and unique, but for rows repeated as a whole, which do not make each other repeat; they decide
+    which copy stays. A row without an id keeps all its bytes and makes no other row repeat. Null texts are empty.
+    What is cut may split a character, so ``kept`` is binary.
     """
-    spans = repeated_spans(docs, doc_id, text, length, gram)
-    gathered = stored(spans.groupBy("doc").agg(F.collect_set(F.struct("start", "past")).alias("runs")))
     kind = dict(docs.dtypes)[doc_id]
-    rows = docs.select(F.col(doc_id).alias("key"), text_or_empty(F.col(text)).alias("text"))
-    joined = rows.join(gathered, F.col("key").cast("long") == F.col("doc"), "left")
+    rows = docs.select(F.col(doc_id).cast("long").alias("key"), text_or_empty(F.col(text)).alias("text"))
+    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = partitions_for(docs.sparkSession, volume, BYTES_PER_PARTITION)
+    # The one exchange of the texts; all three uses below have it in common.
+    texts = rows.filter("key is not null").repartition(parts, "key")
+    copies = exact_copies(rows.filter("key is not null"))
+    runs = repeated_spans(texts, copies, parts, length, gram).groupBy("doc").agg(F.collect_set(F.struct("start", "past")).alias("runs"))
     none = F.array().cast("array<struct<start:long,past:long>>")
-    full = joined.select("key", "text", F.coalesce("runs", none).alias("runs"))
-    schema = f"key {kind}, n_bytes long, n_removed long, removed array<struct<start:long,past:long>>, kept binary"
-    return full.mapInArrow(_cut_rows, schema).withColumnRenamed("key", doc_id)
+    size = F.octet_length("text").cast("long")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("past")))
+    removed = F.when(F.col("copy").isNotNull() & (size >= length), whole).otherwise(F.coalesce("runs", none))
+    joined = texts.join(runs, F.col("key") == F.col("doc"), "left").join(copies, F.col("key") == F.col("copy"), "left")
+    joined = joined.select("key", "text", removed.alias("runs"))
+    full = joined.unionByName(rows.filter("key is null").withColumn("runs", none))
+    schema = "key long, n_bytes long, n_removed long, removed array<struct<start:long,past:long>>, kept binary"
+    return full.mapInArrow(_cut_rows, schema).select(F.col("key").cast(kind).alias(doc_id), "n_bytes", "n_removed", "removed", "kept")
