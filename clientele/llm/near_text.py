@@ -1,8 +1,10 @@
-"""Near copies by shingle similarity, found with the same Golay keys over fingerprints of word sets.
+"""Near copies by shingle similarity: an exact prefix- and length-filtered set join.
 
-Two bits of a 64-bit fingerprint of three-word shingles reach texts that differ in a word or two. To find all texts with
-a similarity of 0.8 over five-word shingles, each text gets ``PRINTS`` fingerprints of its distinct words, which
-differ much less; candidates that share a Golay key and agree in most bits are compared by their shingle sets.
+All shingles are put in one order, rare ones first. Two sets with a similarity of t have a common shingle among the
+first n - ceil(t n) + 1 of each (their prefixes), so sets are joined on the shingles of their prefixes only, and no pair
+at or above t is missed, whatever the order. The common shingles of two prefixes are counted: those, and all that stands
+behind the prefix that ends first, bound what the sets can have in common. Pairs that the bound lets through are compared
+by their whole sets. Equal sets are one node.
 """
 
 from __future__ import annotations
@@ -11,129 +13,175 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientele.llm.components import connected
 from clientele.llm.decontaminate import _passes, token_filter
 from clientele.llm.shared import stored
-from clientele.llm.simhash import PAIRWISE, fuzzy_keys
 from clientele.llm.words import U64, WordTable, mixed, slices
 
-PRINTS = 4
-SALTS = [U64(0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64) for k in range(PRINTS)]
-# Of 64 x PRINTS bits; texts at a similarity of 0.8 differ in about a tenth, unrelated ones in two fifths.
-BITS_APART = 64
-# Of the 64 bits of the fingerprint whose key is shared: drops most chance meetings before they are written.
-OWN_BITS_APART = 10
-
-
-def word_prints(words: np.ndarray) -> list[int]:
-    """Bit majorities of the distinct word hashes under each salt; zero without words."""
-    distinct = np.unique(words)
-    out = []
-    for salt in SALTS:
-        salted = mixed(distinct ^ salt)
-        counts = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(salted), 4096):
-            counts += np.unpackbits(salted[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * counts > len(salted)).view(np.int64)[0]))
-    return out
-
-
-def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets in slices(batches):
-        table = WordTable(data, offsets)
-        prints = [word_prints(table.hash[table.first[i] : table.first[i + 1]]) for i in range(table.rows)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int64()))], ["node", "prints"])
+# Frequencies that order the shingles are counted per slot. They decide how much is compared, never what comes out.
+SLOTS, CHUNK = 1 << 22, 1 << 14
+SLACK = 1e-9  # of products with the similarity
 
 
-def _key_rows(batches: Iterator[pa.RecordBatch], which: range) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int]]]:
+    """Per slice its rows, their shingle sets (ascending) and the sets' names. A text of fewer words is one shingle."""
+    for part, data, offsets in slices(batches):
+        table = WordTable(data, offsets)
+        sets, names = [], []
+        for i in range(table.rows):
+            words = table.hash[table.first[i] : table.first[i + 1]]
+            n, span = max(len(words) - size + 1, 1), min(size, len(words))
+            total = np.zeros(n if span else 0, dtype=U64)
+            for j in range(span):
+                total = total * U64(31) + words[j : j + n]
+            found = np.unique(mixed(total).view(np.int64))
+            sets.append(found)
+            name = np.sum(mixed(found.view(U64) + U64(0x9E3779B97F4A7C15)), dtype=U64) + U64(len(found))
+            names.append(int(mixed(np.array([name], dtype=U64)).view(np.int64)[0]))
+        yield part, sets, names
+
+
+def _scan_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """A row (node, name of its set) per text; at the end of a task its shingle counts as (chunk, blob) rows."""
+    counts = np.zeros(SLOTS, dtype=np.int32)
+    for part, sets, names in _sets(batches, size):
+        np.add.at(counts, np.concatenate(sets) % SLOTS, 1)
+        nothing = pa.nulls(len(names), pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.nulls(len(names), pa.int32()), nothing], ["node", "name", "chunk", "blob"])
+    for chunk, own in enumerate(counts.reshape(-1, CHUNK)):
+        if own.any():
+            blob = pa.compress(own.tobytes(), codec="zstd", asbytes=True)
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array([chunk], pa.int32()), pa.array([blob], pa.binary())], ["node", "name", "chunk", "blob"])
+
+
+def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = np.frombuffer(pa.decompress(blob, decompressed_size=4 * CHUNK, codec="zstd", asbytes=True), np.int32)
+            sums[chunk] = sums.get(chunk, 0) + own.astype(np.int64)
+    for chunk, own in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["chunk", "blob"])
+
+
+def slot_counts(scan: DataFrame) -> np.ndarray:
+    """Shingles per slot; SLOTS numbers reach the driver, whatever the size of the texts."""
+    found = np.zeros(SLOTS // CHUNK * CHUNK, dtype=np.int64).reshape(-1, CHUNK)
+    blobs = scan.filter("chunk is not null").select("chunk", "blob").repartition("chunk")
+    for r in blobs.mapInArrow(_sum_rows, "chunk int, blob binary").collect():
+        found[r["chunk"]] = np.frombuffer(r["blob"], np.int64)
+    return found.ravel()
+
+
+def _prefix_rows(batches: Iterator[pa.RecordBatch], counts, size: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(token, name, n, rest, rank, last) of every prefix shingle: the set's size, how much of it stands behind the
+    prefix, and where the prefix ends in the order."""
+    for _, sets, names in _sets(batches, size):
+        out = []
+        for name, own in zip(names, sets):
+            if not len(own):
+                continue
+            often = counts.value[own % SLOTS]
+            length = len(own) - int(np.ceil(similarity * len(own) - SLACK)) + 1
+            head = np.lexsort((own, often))[: min(length, len(own))]
+            same = np.empty((len(head), 5), dtype=np.int64)
+            same[:] = (name, len(own), len(own) - len(head), often[head[-1]], own[head[-1]])
+            out.append((own[head], same))
+        if out:
+            rows = np.concatenate([r for _, r in out])
+            columns = [np.concatenate([t for t, _ in out]), *np.ascontiguousarray(rows.T)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "name", "n", "rest", "rank", "last"])
+
+
+def _passing_rows(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array(batch.column(1).to_pylist(), dtype=np.int64).reshape(batch.num_rows, PRINTS)
-        for k in which:
-            own = np.ascontiguousarray(prints[:, k])
-            at, keys = fuzzy_keys(own.view(U64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(own[at]), pa.array(keys | (k << 44))], ["node", "own", "key"])
+        tokens = batch.column(0).to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array(_passes(tokens, wanted.value)))
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch], wanted, size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes = batch.column(0).to_numpy(zero_copy_only=False)
-        near = batch.filter(pa.array(_passes(mixed(nodes.view(U64).copy()), wanted.value)))
-        for part, data, offsets in slices(iter([near])):
-            table = WordTable(data, offsets)
-            sets = []
-            for i in range(table.rows):
-                words = table.hash[table.first[i] : table.first[i + 1]]
-                n, total = max(len(words) - size + 1, 1), U64(0)
-                span = min(size, len(words))
-                total = np.zeros(n if span else 0, dtype=U64)
-                for j in range(span):
-                    total = total * U64(31) + words[j : j + n]
-                sets.append(np.unique(mixed(total)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-
-def _bits_apart(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(PRINTS)), F.lit(0))
-
-
-def candidate_pairs(prints: DataFrame, which: range) -> DataFrame:
-    """(a, b) of nodes that share a key of the given fingerprints and agree in most bits.
-
-    Small buckets give all their pairs. In a larger one every node is paired with the bucket's leader only, drawn by
-    hash per bucket, so rows grow with the number of keys and not with the square of a group of copies.
-    """
-    keyed = stored(prints.mapInArrow(lambda b: _key_rows(b, which), "node long, own long, key long"))
-    heads = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("draw"), "node", "own")).alias("head"))
-    heads = stored(heads.filter("n > 1").select("key", "n", F.col("head.node").alias("head"), F.col("head.own").alias("theirs")))
-    few = keyed.join(heads.filter(F.col("n") <= PAIRWISE).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("node", "own")).alias("them"))
-    pairs = few.select("them", F.explode("them").alias("a")).select("a", F.explode("them").alias("b")).filter("a.node < b.node")
-    close = F.bit_count(F.col("a.own").bitwiseXOR(F.col("b.own"))) <= OWN_BITS_APART
-    pairs = pairs.filter(close).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    many = keyed.join(heads.filter(F.col("n") > PAIRWISE).select("key", "head", "theirs"), "key").filter("node <> head")
-    many = many.filter(F.bit_count(F.col("own").bitwiseXOR(F.col("theirs"))) <= OWN_BITS_APART)
-    stars = many.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-    both = stored(pairs.unionByName(stars).distinct())
-    left = prints.select(F.col("node").alias("a"), F.col("prints").alias("pa"))
-    right = prints.select(F.col("node").alias("b"), F.col("prints").alias("pb"))
-    return both.join(left, "a").join(right, "b").filter(_bits_apart("pa", "pb") <= BITS_APART).select("a", "b")
-
-
-def similar_pairs(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets overlap enough. Shingle sets are made of texts in pairs only (a fixed-size bitmap
-    of wanted nodes lets hardly any other through)."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    hashed = ends.mapInArrow(_node_tokens, "token long")
-    wanted = texts.sparkSession.sparkContext.broadcast(token_filter(hashed))
-    sets = stored(texts.select("node", "text").mapInArrow(lambda b: _shingle_rows(b, wanted, shingle), "node long, shingles array<long>"))
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+def _set_rows(batches: Iterator[pa.RecordBatch], wanted, size: int) -> Iterator[pa.RecordBatch]:
+    for _, sets, names in _sets(batches, size):
+        at = np.flatnonzero(_passes(np.array(names, dtype=np.int64), wanted.value)).tolist()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([names[i] for i in at], pa.int64()), pa.array([sets[i] for i in at], pa.list_(pa.int64()))], ["name", "shingles"]
+        )
+
+
+PREFIX = "token long, name long, n long, rest long, rank long, last long"
+
+
+def shared_prefixes(texts: DataFrame, labels: DataFrame, counts, shingle: int, similarity: float) -> DataFrame:
+    """Stored prefix rows with the label of their set, of shingles that stand in the prefixes of two labels or more."""
+    spark = texts.sparkSession
+    rows = stored(texts.select("node", "text").mapInArrow(lambda b: _prefix_rows(b, counts, shingle, similarity), PREFIX))
+    often = stored(rows.groupBy("token").agg(F.min("name").alias("low"), F.max("name").alias("high")).filter("low <> high").select("token"))
+    # A fixed-size bitmap keeps most of the others out of the shuffles below; the joins decide.
+    wanted = spark.sparkContext.broadcast(token_filter(often))
+    rows = rows.mapInArrow(lambda b: _passing_rows(b, wanted), PREFIX).distinct()
+    return of_two_labels(stored(rows.join(labels, "name")))
+
+
+def of_two_labels(rows: DataFrame) -> DataFrame:
+    """Stored rows of tokens with two labels or more, and the number of the token's rows."""
+    tokens = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows"))
+    return stored(rows.join(stored(tokens.filter("low <> high").select("token", "rows")), "token"))
+
+
+def candidate_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of sets with different labels that can reach the similarity, by what their prefixes have in common."""
+    sides = [rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "rest", "rank", "last", "label")]) for s in "ab"]
+    left, right = sides
+    sized = F.least("n_a", "n_b") + SLACK >= similarity * F.greatest("n_a", "n_b")
+    met = left.join(right, "token").filter((F.col("name_a") < F.col("name_b")) & (F.col("label_a") != F.col("label_b")) & sized)
+    first = F.struct("rank_a", "last_a") <= F.struct(F.col("rank_b").alias("rank_a"), F.col("last_b").alias("last_a"))
+    met = met.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("both"), F.when(first, F.col("rest_a")).otherwise(F.col("rest_b")).alias("rest"))
+    counted = met.groupBy("a", "b", "both", "rest").agg(F.count(F.lit(1)).alias("common"))
+    return counted.filter((F.col("common") + F.col("rest")) * (1 + similarity) + SLACK >= similarity * F.col("both")).select("a", "b")
+
+
+def similar_pairs(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (name, shingles) overlap enough."""
+    left = sets.select(F.col("name").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("name").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.filter(common + SLACK >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def _node_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes = batch.column(0).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(mixed(nodes.view(U64).copy()).view(np.int64))], ["token"])
+def _label_links(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    left = labels.select(F.col("name").alias("a"), F.col("label").alias("la"))
+    right = labels.select(F.col("name").alias("b"), F.col("label").alias("lb"))
+    return stored(pairs.join(left, "a").join(right, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b").distinct())
 
 
-def similar_groups(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(node, root) of nodes that have a near copy; ``texts`` is a stored table of (node long, unique; text).
+def similar_links(texts: DataFrame, known: DataFrame | None = None, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Stored links (a, b) that connect all labels with similar texts; ``texts`` is a stored table of (node long; text).
 
-    The first fingerprint's links are drawn before the others', and only one node of each group goes on: large groups
-    are gone by then.
+    ``known`` gives (node, label) for every node; without it a node is its own label. Texts of one label are known to
+    belong together and are not compared with each other. Texts without words are alike.
     """
-    prints = stored(texts.select("node", "text").mapInArrow(_print_rows, "node long, prints array<long>"))
-    links = None
-    for which in (range(0, 1), range(1, PRINTS)):
-        pairs = stored(candidate_pairs(prints, which))
-        found = stored(similar_pairs(texts, pairs, shingle, similarity))
-        links = found if links is None else links.unionByName(found)
-        if which.stop < PRINTS:
-            gone = stored(connected(found).filter("node <> root").select("node"))
-            prints = stored(prints.join(gone, "node", "left_anti"))
-    return connected(links)
+    spark = texts.sparkSession
+    scan = stored(texts.select("node", "text").mapInArrow(lambda b: _scan_rows(b, shingle), "node long, name long, chunk int, blob binary"))
+    named = scan.filter("chunk is null").select("node", "name").distinct()
+    named = named.withColumn("label", F.col("node")) if known is None else named.join(known, "node")
+    named = stored(named.select("name", "label").distinct())
+    labels = stored(named.groupBy("name").agg(F.min("label").alias("label")))
+    equal = named.withColumnRenamed("label", "b").join(labels.withColumnRenamed("label", "a"), "name").filter("a <> b")
+    links = stored(equal.select("a", "b").distinct())
+    counts = spark.sparkContext.broadcast(slot_counts(scan))
+    rows = shared_prefixes(texts, labels, counts, shingle, similarity)
+    ends = rows.select(F.col("name").alias("token")).distinct()
+    wanted = spark.sparkContext.broadcast(token_filter(ends))
+    sets = texts.select("node", "text").mapInArrow(lambda b: _set_rows(b, wanted, shingle), "name long, shingles array<long>")
+    sets = stored(sets.join(ends.withColumnRenamed("token", "name"), "name", "left_semi").groupBy("name").agg(F.min("shingles").alias("shingles")))
+    pairs = stored(candidate_pairs(rows, similarity))
+    return stored(links.unionByName(_label_links(similar_pairs(sets, pairs, similarity), labels)))
+
+
+def similar_groups(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, root) of nodes that have a near copy; ``texts`` is a stored table of (node long, unique; text)."""
+    return connected(similar_links(texts, None, shingle, similarity))

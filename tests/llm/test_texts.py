@@ -165,6 +165,51 @@ def test_similar_texts_are_grouped(spark):
     assert root[5001] == root[5002] and len({root.get(i, i) for i in range(40)}) == 40
 
 
+def edited_texts(rng, groups=60):
+    """Texts with appended, cut and block-edited copies at similarities around 0.8 to 0.9, some at the bound itself."""
+    texts = []
+    for i in range(groups):
+        words = prose(rng, rng.choice([30, 204, 400, 1004]), 5000).split()
+        n = len(words) - 4
+        k = round(n * rng.choice([0.1, 0.15, 0.2, 0.25, 0.3])) if i % 4 else n // 4
+        a = rng.randrange(len(words) - k)
+        copies = [words + prose(rng, k, 5000).split(), words[: len(words) - k], words[:a] + prose(rng, k // 2, 5000).split() + words[a + k // 2 :]]
+        texts += [" ".join(w) for w in [words, copies[i % 3]]]
+    return list(enumerate(texts))
+
+
+def shingles(text):
+    words = WORD.findall(text.translate(LOWER))
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def plain_groups(texts):
+    sets, own = {i: shingles(t) for i, t in texts}, {i: i for i, _ in texts}
+
+    def top(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    links = 0
+    for a in sets:
+        for b in sets:
+            common = len(sets[a] & sets[b]) if a < b else -1
+            if a < b and 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
+                links += 1
+                low, high = sorted((top(a), top(b)))
+                own[high] = low
+    return {i: top(i) for i in own}, links
+
+
+def test_similar_groups_equal_brute_force_for_block_edits(spark):
+    texts = edited_texts(random.Random(21))
+    texts += [(7000, ""), (7001, "!!"), (7002, "a b"), (7003, "a B"), (7004, "a b c"), (7005, texts[0][1].upper())]
+    expected, links = plain_groups(texts)
+    root = {r["node"]: r["root"] for r in similar_groups(stored(spark.createDataFrame(texts, "node long, text string"))).collect()}
+    assert links > 25 and {i: root.get(i, i) for i, _ in texts} == expected
+
+
 def plain_repeats(docs, length=50):
     seen = defaultdict(set)
     bodies = [(i, (t or "").encode()) for i, t in docs]
