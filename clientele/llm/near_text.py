@@ -24,6 +24,8 @@ from clientele.llm.words import U64, WordTable, mixed, slices
 # Frequencies that order the shingles are counted per slot. They decide how much is compared, never what comes out.
 SLOTS, CHUNK = 1 << 22, 1 << 14
 SLACK = 1e-9  # of products with the similarity
+# Rows of a shingle above this are first tied to drawn heads, and are spread over several join keys after that.
+CROWD, SALTED = 32, 1024
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int]]]:
@@ -131,12 +133,30 @@ def of_two_labels(rows: DataFrame) -> DataFrame:
     return stored(rows.join(stored(tokens.filter("low <> high").select("token", "rows")), "token"))
 
 
+def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of every set of a crowded shingle and the head drawn for that shingle, at most one row per prefix row.
+
+    They only save work: a large group of near copies has one label after them, and what they miss meets in
+    ``candidate_pairs``.
+    """
+    crowd = rows.filter(F.col("rows") > CROWD)
+    head = F.min(F.struct(F.xxhash64("name", "token").alias("draw"), "name", "n", "label")).alias("head")
+    met = crowd.join(stored(crowd.groupBy("token").agg(head)), "token").filter(F.col("label") != F.col("head.label"))
+    met = met.filter(F.least("n", "head.n") + SLACK >= similarity * F.greatest("n", "head.n"))
+    return met.select(F.least("name", "head.name").alias("a"), F.greatest("name", "head.name").alias("b")).distinct()
+
+
 def candidate_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of sets with different labels that can reach the similarity, by what their prefixes have in common."""
-    sides = [rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "rest", "rank", "last", "label")]) for s in "ab"]
-    left, right = sides
+    """(a, b) of sets with different labels that can reach the similarity, by what their prefixes have in common.
+
+    The rows of a crowded shingle are dealt over several keys on one side and repeated for each of them on the other.
+    """
+    sides = [rows.select("token", "rows", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "rest", "rank", "last", "label")]) for s in "ab"]
+    salts = F.ceil(F.col("rows") / SALTED)
+    left = sides[0].withColumn("salt", F.pmod(F.xxhash64("name_a"), salts)).drop("rows")
+    right = sides[1].withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("rows")
     sized = F.least("n_a", "n_b") + SLACK >= similarity * F.greatest("n_a", "n_b")
-    met = left.join(right, "token").filter((F.col("name_a") < F.col("name_b")) & (F.col("label_a") != F.col("label_b")) & sized)
+    met = left.join(right, ["token", "salt"]).filter((F.col("name_a") < F.col("name_b")) & (F.col("label_a") != F.col("label_b")) & sized)
     first = F.struct("rank_a", "last_a") <= F.struct(F.col("rank_b").alias("rank_a"), F.col("last_b").alias("last_a"))
     met = met.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("both"), F.when(first, F.col("rest_a")).otherwise(F.col("rest_b")).alias("rest"))
     counted = met.groupBy("a", "b", "both", "rest").agg(F.count(F.lit(1)).alias("common"))
@@ -178,6 +198,12 @@ def similar_links(texts: DataFrame, known: DataFrame | None = None, shingle: int
     wanted = spark.sparkContext.broadcast(token_filter(ends))
     sets = texts.select("node", "text").mapInArrow(lambda b: _set_rows(b, wanted, shingle), "name long, shingles array<long>")
     sets = stored(sets.join(ends.withColumnRenamed("token", "name"), "name", "left_semi").groupBy("name").agg(F.min("shingles").alias("shingles")))
+    links = stored(links.unionByName(_label_links(similar_pairs(sets, stored(star_pairs(rows, similarity)), similarity), labels)))
+    # Sets that are connected by now need no more links among each other.
+    groups = stored(connected(links))
+    merged = labels.join(groups, labels["label"] == groups["node"], "left").select("name", F.coalesce("root", "label").alias("label"))
+    labels = stored(merged)
+    rows = of_two_labels(rows.drop("label", "rows").join(labels, "name"))
     pairs = stored(candidate_pairs(rows, similarity))
     return stored(links.unionByName(_label_links(similar_pairs(sets, pairs, similarity), labels)))
 

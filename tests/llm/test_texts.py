@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from clientele.llm import near_text as N
 from clientele.llm import repeats as R
 from clientele.llm import simhash as S
 from clientele.llm.decontaminate import find_contamination, is_contaminated
@@ -210,6 +211,22 @@ def test_similar_groups_equal_brute_force_for_block_edits(spark):
     assert links > 25 and {i: root.get(i, i) for i, _ in texts} == expected
 
 
+def test_crowded_shingles_hide_no_links(spark, monkeypatch):
+    monkeypatch.setattr(N, "SALTED", 16)  # so that crowded shingles are dealt over several keys
+    rng = random.Random(22)
+    common, texts = prose(rng, 60, 5000), []
+    for g in range(6):  # six groups that share the larger part of their texts but are not similar to each other
+        words = (common + " " + prose(rng, 40, 5000)).split()
+        for i in range(14):
+            edited = list(words)
+            for _ in range(i % 3):
+                edited[rng.randrange(60, 100)] = f"e{rng.randrange(10**6)}"
+            texts.append((100 * g + i, " ".join(edited)))
+    expected, _ = plain_groups(texts)
+    root = {r["node"]: r["root"] for r in similar_groups(stored(spark.createDataFrame(texts, "node long, text string"))).collect()}
+    assert 6 <= len(set(expected.values())) < 20 and {i: root.get(i, i) for i, _ in texts} == expected
+
+
 def plain_repeats(docs, length=50):
     seen = defaultdict(set)
     bodies = [(i, (t or "").encode()) for i, t in docs]
