@@ -227,6 +227,18 @@ def test_crowded_shingles_hide_no_links(spark, monkeypatch):
     assert 6 <= len(set(expected.values())) < 20 and {i: root.get(i, i) for i, _ in texts} == expected
 
 
+def test_chains_of_edits_stay_connected(spark):
+    rng, texts = random.Random(23), []
+    for g in range(12):  # every text is similar to the one before it only
+        words = prose(rng, 300, 5000).split()
+        for i in range(6):
+            texts.append((100 * g + (i * 5) % 6, " ".join(words)))
+            words = words[29 if i % 2 else 3 :] + prose(rng, 29 if i % 2 else 3, 5000).split()
+    expected, _ = plain_groups(texts)
+    root = {r["node"]: r["root"] for r in similar_groups(stored(spark.createDataFrame(texts, "node long, text string"))).collect()}
+    assert set(expected.values()) == {100 * g for g in range(12)} and {i: root.get(i, i) for i, _ in texts} == expected
+
+
 def plain_repeats(docs, length=50):
     seen = defaultdict(set)
     bodies = [(i, (t or "").encode()) for i, t in docs]
