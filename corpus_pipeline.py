@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clientele.llm.components import connected
 from clientele.llm.decontaminate import find_contamination, is_contaminated
-from clientele.llm.near_text import similar_groups
+from clientele.llm.near_text import similar_links
 from clientele.llm.packing import pack_documents
 from clientele.llm.quality import statistics_table, train_quality, with_quality
 from clientele.llm.secret_scan import without_secrets
@@ -38,24 +39,35 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near copies: the one with the smallest id (nulls first), ties by the other columns.
 
     Rows are near copies if their SimHash fingerprints (three-word shingles) are at most two bits apart, or if their
-    five-word shingles have a similarity of 0.8 or more; groups are what such links connect. Rows meet only in a minimum
-    per group, which is taken before the shuffle too. Texts without words are one group.
+    five-word shingles have a similarity of 0.8 or more; groups are what such links of all rows connect. Equal texts are
+    one row before texts are compared. Texts without words are one group.
     """
-    mark, root = fresh_name(docs, "mark"), fresh_name(docs, "root")
-    marked = stored(with_fingerprint(docs, "text", mark))
-    table = stored(marked.select(F.col(mark).alias("mark")).distinct())
-    roots = stored(mark_components(table).select(F.col("mark").alias(mark), F.col("root").alias(root)))
+    mark, node, root = fresh_name(docs, "mark"), fresh_name(docs, "node"), fresh_name(docs, "root")
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     row = F.struct(F.col("doc_id"), *[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-    kept = marked.join(roots, mark).groupBy(root).agg(F.min(row).alias("row"))
-    kept = stored(kept.select(F.col(root), *[F.col("row").getField(c).alias(c) for c in docs.columns]))
-
-    nodes = kept.select(F.col(root).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    groups = stored(similar_groups(nodes))
-    known = kept.select(F.col(root).alias("node"), F.col("doc_id").alias("id")).join(groups, "node")
-    first = F.min(F.struct("id", "node")).alias("first")
-    stays = stored(known.groupBy("root").agg(first).select("first.node"))
-    goes = stored(groups.join(stays, "node", "left_anti").select(F.col("node").alias(root)))
-    return kept.join(goes, root, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = stored(with_fingerprint(docs, "text", mark))
+    least = marked.groupBy(mark, digest.alias("digest")).agg(F.min(row).alias("row"))
+    distinct = least.select(F.col(mark), *[F.col("row").getField(c).alias(c) for c in docs.columns])
+    distinct = stored(distinct.withColumn(node, F.monotonically_increasing_id()))
+
+    # Texts of one SimHash component are one label; similar texts link labels.
+    roots = stored(mark_components(stored(distinct.select(F.col(mark).alias("mark")).distinct())))
+    texts = distinct.select(F.col(mark).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    groups = stored(connected(similar_links(texts, roots.select(F.col("mark").alias("node"), F.col("root").alias("label")))))
+    joined = roots.withColumnRenamed("root", "label").join(groups.withColumnRenamed("node", "label"), "label", "left")
+    final = stored(joined.select(F.col("mark").alias(mark), F.coalesce("root", "label").alias(root)))
+
+    # The smallest id decides; the other columns only where rows of one group have the same id.
+    known = stored(distinct.select(F.col(node).alias("node"), F.col(mark), F.col("doc_id").alias("id")).join(final, mark).drop(mark))
+    first = stored(known.groupBy(root).agg(F.min(F.struct("id")).alias("first")))
+    tied = stored(known.join(first, root).filter(F.col("id").eqNullSafe(F.col("first.id"))).select("node", root))
+    several = stored(tied.groupBy(root).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(root))
+    drawn = stored(tied.join(several, root, "left_semi").select(F.col("node").alias(node), F.col(root)))
+    least = distinct.join(drawn, node).groupBy(root).agg(F.min(F.struct(row.alias("row"), F.col(node).alias("node"))).alias("first"))
+    stays = stored(tied.join(several, root, "left_anti").select("node").unionByName(least.select("first.node")))
+    goes = stored(known.join(stays, "node", "left_anti").select(F.col("node").alias(node)))
+    return distinct.join(goes, node, "left_anti").select(*columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from clientele.llm.queries import QUERIES
 from clientele.llm.quality import STATISTICS, document_statistics, fit_discriminant, scored_quality, statistics_table, train_quality
 from clientele.llm.secret_scan import base_spans
 from clientele.llm.shared import stored
-from clientele.llm.simhash import near_copies
+from clientele.llm.simhash import fingerprint, near_copies
 from clientele.llm.toxicity import FtrlSettings, ftrl_weights, scored_toxicity, train_toxicity
 
 FOLDER = "/root/testdata/sf0.01"
@@ -113,6 +113,25 @@ def test_stages_keep_columns_and_do_their_work(spark, corpus):
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in bare.collect()}
 
 
+def test_near_copies_of_dropped_members_go(spark):
+    rng = np.random.default_rng(7)
+    prose = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    for _ in range(200):  # the first two texts have one fingerprint, the third is similar to the second only
+        base = prose(600)
+        near = base[:-12] + prose(12)
+        if (np.uint64(fingerprint(" ".join(base))) ^ np.uint64(fingerprint(" ".join(near)))).bit_count() <= 2:
+            break
+    far, other = near + prose(147), prose(300)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (base, near, far)]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert alike(sets[1], sets[2]) >= 0.8 > alike(sets[0], sets[2])
+    rows = [(1, base), (2, near), (3, far), (1, far[::-1]), (4, far[::-1] + ["more"]), (5, other), (5, other)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en") for i, t in rows], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.near_copy_stage(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == sorted((i, " ".join(t), "en") for i, t in [rows[0], rows[3], rows[5]])
+
+
 def test_run_over_whole_and_empty_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, FOLDER).count() > 500
     for name in ("documents", "labels", "benchmark"):
