@@ -28,6 +28,8 @@ BUCKETS_PER_PARTITION = 8
 HELD_ANCHORS, HELD_BYTES = 1_000_000, 12_000_000  # what a task gathers before it sends blobs
 POSITION_BITS = 22
 SLICE_BYTES = 2_000_000
+# Anchors with more occurrences send single strings instead of segments, each to the bucket that its own hash names.
+HOT_ANCHOR = 10_000
 
 
 def extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -206,8 +208,8 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, blob) rows of anchors. Thirty-two bits of the hash are enough within a bucket, whose size does not grow;
-    what they confuse is sorted out by the suffix sort."""
+    """(bucket, blob) rows of anchors. A bucket keeps thirty-two bits of the hash; what they confuse is sorted out by the
+    suffix sort."""
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush() -> pa.RecordBatch:
@@ -228,25 +230,62 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int, g
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, at) of the anchors whose hash stands in two documents or more."""
+    """(doc, code) of the anchors whose hash stands in two documents or more: twice their place, plus one if it occurs
+    more than HOT_ANCHOR times. Blobs are unpacked one at a time, first to count and then to look up."""
     for blobs in _bucketed(batches):
-        parts = [_unpacked(b, ANCHORS)[0] for b in blobs]
-        key, doc, at = (np.concatenate([p[n] for p in parts]) for n, _ in ANCHORS)
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-        size = np.diff(np.append(first, len(order)))
-        ranked = doc[order]
-        many = np.minimum.reduceat(ranked, first) != np.maximum.reduceat(ranked, first)
-        kept = order[np.repeat(many, size)]
-        if len(kept):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[kept]), pa.array(at[kept])], ["doc", "at"])
+        sums = []
+        for blob in blobs:
+            parts = _unpacked(blob, ANCHORS)[0]
+            sums.append(_anchor_sums(parts["mark"], parts["doc"], parts["doc"], np.ones(len(parts["doc"]), dtype=np.int64)))
+            if len(sums) > 1 and len(sums[-1][0]) * 2 > len(sums[0][0]):
+                sums = [_anchor_sums(*(np.concatenate(c) for c in zip(*sums)))]
+        key, low, high, n = _anchor_sums(*(np.concatenate(c) for c in zip(*sums)))
+        for blob in blobs:
+            parts = _unpacked(blob, ANCHORS)[0]
+            own = np.searchsorted(key, parts["mark"])
+            kept = np.flatnonzero(low[own] != high[own])
+            if len(kept):
+                code = 2 * parts["at"][kept].astype(np.int64) + (n[own[kept]] > HOT_ANCHOR)
+                yield pa.RecordBatch.from_arrays([pa.array(parts["doc"][kept]), pa.array(code)], ["doc", "code"])
+
+
+def _anchor_sums(key: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Smallest and largest document and number of occurrences of every anchor, by anchor."""
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    return ranked[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), np.add.reduceat(n[order], first)
+
+
+def _to_send(part: np.ndarray, prefix: np.ndarray, doc: np.ndarray, where: np.ndarray, start: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """Whether a segment goes on; the others equal one of a smaller document."""
+    content = mixed(span_hash(prefix, start, past) + (past - start).astype(U64))
+    order = np.lexsort((where, doc, content))
+    same = np.zeros(len(order), dtype=bool)
+    a, b = order[:-1], order[1:]
+    near = np.flatnonzero((content[a] == content[b]) & (past[a] - start[a] == past[b] - start[b]))
+    same[near + 1] = _equal_bytes(part, start[a[near]], start[b[near]], (past - start)[a[near]])
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    send = np.ones(len(order), dtype=bool)
+    send[order[same & (doc[order] > doc[order[head]])]] = False
+    return send
+
+
+def _known_runs(doc: np.ndarray, where: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(doc, start, size) of the runs that strings starting at consecutive places cover."""
+    order = np.lexsort((where, doc))
+    doc, where = doc[order], where[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (where[1:] > where[:-1] + 1))[: len(doc)])
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
+    return doc[first], where[first], where[last] + length - where[first]
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """(bucket, blob) rows of the segments around shared anchors.
 
     Of equal segments in a slice only the smallest document's goes on; the strings of the others are known to repeat,
-    and go along as (document, start, -size).
+    and go along as (document, start, -size). What is left of a hot anchor's segments goes string by string: equal
+    strings still meet, and the anchor spreads over all buckets.
     """
     held: list[tuple[np.ndarray, ...]] = []
 
@@ -260,32 +299,47 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int,
             blobs.append(_packed({"doc": doc[run], "at": at[run], "size": size[run]}, SEGMENTS, body))
         return _blob_batch(names, blobs)
 
+    def bucket_of(hashes: np.ndarray) -> np.ndarray:
+        return (hashes % U64(buckets)).astype(np.int32)
+
+    def add(part, hashes, doc, where, start, past) -> None:
+        texts = np.full(len(start), None, dtype=object)
+        if len(start):
+            texts[:] = [b.tobytes() for b in np.split(gather(part, start, past), np.cumsum(past - start)[:-1])]
+        held.append((bucket_of(hashes), doc, where, past - start, texts))
+
     wanted = (b.filter(pc.is_valid(b.column(2))) for b in batches)
     for batch, part, prefix, row, start, past, hashes, where, spot in _pieces(wanted, length, gram):
         lists = batch.column(2)
         owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
-        shared = (owner << 32) | lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        pick = np.flatnonzero(np.isin((row.astype(np.int64) << 32) | spot, shared))
+        codes = lists.flatten().to_numpy(zero_copy_only=False)
+        shared = (owner << 32) | (codes >> 1)
+        order = np.argsort(shared)
+        shared, is_hot = shared[order], (codes & 1).astype(bool)[order]
+        spots = (row.astype(np.int64) << 32) | spot
+        found = np.minimum(np.searchsorted(shared, spots), len(shared) - 1)
+        pick = np.flatnonzero(shared[found] == spots)
         if not len(pick):
             continue
-        row, start, past, hashes, where = row[pick], start[pick], past[pick], hashes[pick], where[pick]
+        row, start, past, hashes, where, hot = row[pick], start[pick], past[pick], hashes[pick], where[pick], is_hot[found[pick]]
         doc = batch.column(0).to_numpy(zero_copy_only=False)[row]
-        content = mixed(span_hash(prefix, start, past) + (past - start).astype(U64))
-        order = np.lexsort((where, doc, content))
-        same = np.zeros(len(order), dtype=bool)
-        a, b = order[:-1], order[1:]
-        near = np.flatnonzero((content[a] == content[b]) & (past[a] - start[a] == past[b] - start[b]))
-        same[near + 1] = _equal_bytes(part, start[a[near]], start[b[near]], (past - start)[a[near]])
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        repeat = same & (doc[order] > doc[order[head]])
-        send = np.ones(len(order), dtype=bool)
-        send[order[repeat]] = False
-        whole = np.flatnonzero(send)
-        sizes = np.where(send, 1, -1) * (past - start)
-        bodies = np.split(gather(part, start[whole], past[whole]), np.cumsum(sizes[whole])[:-1])
-        texts = np.full(len(send), None, dtype=object)
-        texts[whole] = [b.tobytes() for b in bodies]
-        held.append(((hashes % U64(buckets)).astype(np.int32), doc, where, sizes, texts))
+        send = _to_send(part, prefix, doc, where, start, past)
+        split = np.flatnonzero(hot & send)
+        hashes[hot] = mixed(doc[hot].astype(U64) + where[hot].astype(U64))  # what is known to repeat may go anywhere
+        if len(split):
+            counts = past[split] - start[split] - length + 1
+            own = np.repeat(split, counts)
+            shift = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+            alone = _to_send(part, prefix, doc[own], where[own] + shift, start[own] + shift, start[own] + shift + length)
+            strings, shift, rest = own[alone], shift[alone], (doc[own[~alone]], where[own[~alone]] + shift[~alone])
+            begin = start[strings] + shift
+            add(part, mixed(span_hash(prefix, begin, begin + length)), doc[strings], where[strings] + shift, begin, begin + length)
+            again, at, size = _known_runs(*rest, length)
+            held.append((bucket_of(mixed(again.astype(U64) + at.astype(U64))), again, at, -size, np.full(len(again), None, dtype=object)))
+        rest = np.flatnonzero(~send)
+        held.append((bucket_of(hashes[rest]), doc[rest], where[rest], start[rest] - past[rest], np.full(len(rest), None, dtype=object)))
+        whole = np.flatnonzero(send & ~hot)
+        add(part, hashes[whole], doc[whole], where[whole], start[whole], past[whole])
         if sum(int(h[3].clip(0).sum()) for h in held) >= HELD_BYTES:
             yield flush()
     if held:
@@ -376,8 +430,8 @@ def repeated_spans(texts: DataFrame, copies: DataFrame, parts: int, length: int
     blobs = "bucket int, blob binary"
     own = texts.join(copies, F.col("key") == F.col("copy"), "left").select("key", F.when(F.col("copy").isNull(), F.col("text")).alias("text"))
     known = own.mapInArrow(lambda b: _anchor_rows(b, buckets, length, gram), blobs)
-    shared = known.repartition(parts, "bucket").mapInArrow(_shared_rows, "doc long, at int")
-    spots = shared.groupBy("doc").agg(F.collect_list("at").alias("spots"))
+    shared = known.repartition(parts, "bucket").mapInArrow(_shared_rows, "doc long, code long")
+    spots = shared.groupBy("doc").agg(F.collect_list("code").alias("spots"))
     # An outer join, so that no filter is pushed below the exchange of the texts, which is used again.
     around = texts.join(spots, F.col("key") == F.col("doc"), "left").select("key", "text", "spots")
     segments = around.mapInArrow(lambda b: _segment_rows(b, buckets, length, gram), blobs)
