@@ -22,7 +22,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more always starts where it
 KINDS = ("assign", "access", "hex", "random")
 KEY_PARTS = ("passw", "secret", "token", "api")
 # Candidates of the Markov models: long runs of characters that keys are made of.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WIDTH = len(SYMBOLS) + 1  # 0 stands for a token's edge
 SYMBOL_OF = np.zeros(256, dtype=np.int64)
@@ -52,11 +53,18 @@ def base_spans(text: str) -> list[tuple[int, str, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, str, int, str]]) -> list[tuple[int, int, str]]:
-    """Long key-like runs with a letter in them that touch no base span."""
-    return [
-        (m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text)
-        if any(c.isalpha() for c in m[0]) and not any(m.start() < e and s < m.end() for s, _, e, _ in base)
-    ]
+    """Long key-like runs with a letter in them, without what base spans cover: every piece that is left and still long
+    enough."""
+    found = []
+    for m in CANDIDATE.finditer(text):
+        at, pieces = m.start(), []
+        for start, _, end, _ in base:
+            if start < m.end() and end > at:
+                pieces.append((at, start))
+                at = max(at, end)
+        pieces.append((at, m.end()))
+        found += [(s, e, text[s:e]) for s, e in pieces if e - s >= LEAST and any(c.isalpha() for c in text[s:e])]
+    return found
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from clientele.llm import simhash as S
 from clientele.llm.decontaminate import find_contamination, is_contaminated
 from clientele.llm.lz_print import fingerprint_documents, likeness, lz_signature, phrases
 from clientele.llm.near_text import similar_groups
-from clientele.llm.secret_scan import find_secrets, fit_markov, redact
+from clientele.llm.secret_scan import MarkovSettings, base_spans, candidates, find_secrets, fit_markov, redact
 from clientele.llm.shared import stored
 from clientele.llm.words import WordTable, prefix_hash
 
@@ -275,6 +276,27 @@ def test_repeats_match_a_plain_search(spark):
     assert repeated(spark, []) == []
 
 
+def test_a_hot_anchor_spreads_over_the_buckets(spark, monkeypatch):
+    monkeypatch.setattr(R, "HOT_ANCHOR", 20, raising=False)
+    rng = random.Random(12)
+    line = "All rights reserved by the owners of this very page, whoever they may be and wherever."
+    docs = [(i, prose(rng, 30, 50_000) + line * rng.choice([1, 1, 2]) + prose(rng, 30, 50_000)) for i in range(300)]
+    docs += [(300 + i, docs[i][1][20:-30]) for i in range(0, 40)] + [(500, line), (None, line), (501, docs[7][1])]
+    batch = pa.RecordBatch.from_pydict({"key": [i for i, _ in docs[:300]], "text": [t for _, t in docs[:300]]})
+    spots = defaultdict(list)
+    for shared in R._shared_rows(R._anchor_rows(iter([batch]), 64, 50, 20)):
+        for doc, at in zip(shared.column(0).to_pylist(), shared.column(1).to_pylist()):
+            spots[doc].append(at)
+    around = batch.append_column("spots", pa.array([spots.get(i) for i, _ in docs[:300]], pa.list_(shared.schema.field(1).type)))
+    sizes = defaultdict(int)
+    for found in R._segment_rows(iter([around]), 64, 50, 20):
+        for bucket, blob in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
+            sizes[bucket] += len(R._unpacked(blob, R.SEGMENTS)[1])
+    assert max(sizes.values()) < sum(sizes.values()) / 8
+    rng.shuffle(docs)
+    assert repeated(spark, docs) == plain_repeats(docs)
+
+
 def test_repeats_in_documents_beyond_a_slice(spark, monkeypatch):
     rng = random.Random(4)
     body = prose(rng, 4000, 100_000)
@@ -337,3 +359,16 @@ def test_secrets_by_pattern_and_by_model(spark):
     flat = fit_markov(np.zeros(68 * 68), np.zeros(68 * 68))
     assert redact("token: abcdefgh12, AKIA" + "Z" * 20, flat, "[S]") == "[S], [S]"
     assert redact(None, flat, "[S]") is None and redact("plain words", flat, "[S]") == "plain words"
+
+
+def test_tails_behind_fixed_patterns_are_judged():
+    rng = random.Random(13)
+    tail = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    hexes, access = "0123456789abcdef" * 2, "AKIA" + "Z9" * 8
+    for text, place in ((f"a {access}/{tail} b", 22), (f"{hexes}Z{tail}", 32), (f"{tail}/{access}/{tail}", 0), (f"{access}/short {hexes}-", None)):
+        pieces = candidates(text, base_spans(text))
+        assert [p[0] for p in pieces][:1] == ([] if place is None else [place]) and all(text[s:e] == t for s, e, t in pieces)
+        assert not any(s < be and bs < e for s, e, _ in pieces for bs, _, be, _ in base_spans(text))
+    assert len(candidates(f"{tail}/{access}/{tail}", base_spans(f"{tail}/{access}/{tail}"))) == 2
+    model = fit_markov(np.zeros(68 * 68), np.bincount([68 * 5 + 5], minlength=68 * 68) * 1e6, MarkovSettings(per_character=-1.0, in_all=-1e9))
+    assert redact(f"a {access}/{tail} b", model, "[S]") == "a [S] b"
