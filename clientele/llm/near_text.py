@@ -23,6 +23,8 @@ from clientele.llm.words import U64, WordTable, mixed, slices
 
 # Frequencies that order the shingles are counted per slot. They decide how much is compared, never what comes out.
 SLOTS, CHUNK = 1 << 22, 1 << 14
+# Slots of prefix shingles: one whose slot counts one set only is in no pair and is not moved.
+PREFIX_SLOTS = 1 << 25
 SLACK = 1e-9  # of products with the similarity
 # Rows of a shingle above this are first tied to drawn heads, and are spread over several join keys after that.
 CROWD, SALTED = 32, 1024
@@ -53,56 +55,72 @@ def _scan_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         np.add.at(counts, np.concatenate(sets) % SLOTS, 1)
         nothing = pa.nulls(len(names), pa.binary())
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.int64()), pa.nulls(len(names), pa.int32()), nothing], ["node", "name", "chunk", "blob"])
+    for chunk, blob in _count_blobs(counts):
+        none = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array([chunk], pa.int32()), pa.array([blob], pa.binary())], ["node", "name", "chunk", "blob"])
+
+
+def _count_blobs(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
     for chunk, own in enumerate(counts.reshape(-1, CHUNK)):
         if own.any():
-            blob = pa.compress(own.tobytes(), codec="zstd", asbytes=True)
-            none = pa.nulls(1, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array([chunk], pa.int32()), pa.array([blob], pa.binary())], ["node", "name", "chunk", "blob"])
+            yield chunk, pa.compress(own.tobytes(), codec="zstd", asbytes=True)
 
 
-def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sum_rows(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = np.frombuffer(pa.decompress(blob, decompressed_size=4 * CHUNK, codec="zstd", asbytes=True), np.int32)
+            own = np.frombuffer(pa.decompress(blob, decompressed_size=np.dtype(kind).itemsize * CHUNK, codec="zstd", asbytes=True), kind)
             sums[chunk] = sums.get(chunk, 0) + own.astype(np.int64)
     for chunk, own in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["chunk", "blob"])
+        total = np.minimum(own, np.iinfo(kind).max).astype(kind).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total], pa.binary())], ["chunk", "blob"])
 
 
-def slot_counts(scan: DataFrame) -> np.ndarray:
-    """Shingles per slot; SLOTS numbers reach the driver, whatever the size of the texts."""
-    found = np.zeros(SLOTS // CHUNK * CHUNK, dtype=np.int64).reshape(-1, CHUNK)
-    blobs = scan.filter("chunk is not null").select("chunk", "blob").repartition("chunk")
-    for r in blobs.mapInArrow(_sum_rows, "chunk int, blob binary").collect():
-        found[r["chunk"]] = np.frombuffer(r["blob"], np.int64)
+def slot_counts(rows: DataFrame, slots: int = SLOTS, kind: type = np.int32) -> np.ndarray:
+    """Counts per slot; ``slots`` numbers reach the driver, whatever the size of the texts."""
+    found = np.zeros(slots, dtype=kind).reshape(-1, CHUNK)
+    blobs = rows.filter("chunk is not null").select("chunk", "blob").repartition("chunk")
+    for r in blobs.mapInArrow(lambda b: _sum_rows(b, kind), "chunk int, blob binary").collect():
+        found[r["chunk"]] = np.frombuffer(r["blob"], kind)
     return found.ravel()
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch], counts, size: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """(token, name, n, rest, rank, last) of every prefix shingle: the set's size, how much of it stands behind the
-    prefix, and where the prefix ends in the order."""
+    """(tokens, name, n, rest, rank, last) of every set: its prefix, its size, how much of it stands behind the prefix,
+    and where the prefix ends in the order. At the end of a task (chunk, blob) rows count its sets per prefix slot."""
+    seen = np.zeros(PREFIX_SLOTS, dtype=np.uint8)
     for _, sets, names in _sets(batches, size):
-        out = []
+        heads, rows, done = [], [], set()
         for name, own in zip(names, sets):
-            if not len(own):
+            if not len(own) or name in done:
                 continue
+            done.add(name)
             often = counts.value[own % SLOTS]
             length = len(own) - int(np.ceil(similarity * len(own) - SLACK)) + 1
             head = np.lexsort((own, often))[: min(length, len(own))]
-            same = np.empty((len(head), 5), dtype=np.int64)
-            same[:] = (name, len(own), len(own) - len(head), often[head[-1]], own[head[-1]])
-            out.append((own[head], same))
-        if out:
-            rows = np.concatenate([r for _, r in out])
-            columns = [np.concatenate([t for t, _ in out]), *np.ascontiguousarray(rows.T)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "name", "n", "rest", "rank", "last"])
-
-
-def _passing_rows(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
+            heads.append(own[head])
+            rows.append((name, len(own), len(own) - len(head), int(often[head[-1]]), int(own[head[-1]])))
+        if rows:
+            slot, n = np.unique(np.concatenate(heads) % PREFIX_SLOTS, return_counts=True)
+            seen[slot] = np.minimum(seen[slot] + np.minimum(n, 2), 2)
+            columns = [pa.array(heads, pa.list_(pa.int64())), *[pa.array(c, pa.int64()) for c in zip(*rows)]]
+            nothing = [pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns + nothing, PREFIX_NAMES)
+    for chunk, blob in _count_blobs(seen):
+        none = [pa.nulls(1, pa.list_(pa.int64())), *[pa.nulls(1, pa.int64())] * 5]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([chunk], pa.int32()), pa.array([blob], pa.binary())], PREFIX_NAMES)
+
+
+def _passing_rows(batches: Iterator[pa.RecordBatch], twice) -> Iterator[pa.RecordBatch]:
+    """(token, name, ...) rows of prefix shingles whose slot counts two sets or more."""
     for batch in batches:
-        tokens = batch.column(0).to_numpy(zero_copy_only=False)
-        yield batch.filter(pa.array(_passes(tokens, wanted.value)))
+        owner = np.repeat(np.arange(batch.num_rows), batch.column(0).value_lengths().to_numpy(zero_copy_only=False))
+        tokens = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        slot = tokens % PREFIX_SLOTS
+        at = np.flatnonzero((twice.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
+        rows = pa.array(owner[at])
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), *[batch.column(i).take(rows) for i in range(1, 6)]], ["token", *PREFIX_NAMES[1:6]])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], wanted, size: int) -> Iterator[pa.RecordBatch]:
@@ -113,18 +131,18 @@ def _set_rows(batches: Iterator[pa.RecordBatch], wanted, size: int) -> Iterator[
         )
 
 
-PREFIX = "token long, name long, n long, rest long, rank long, last long"
+PREFIX_NAMES = ["tokens", "name", "n", "rest", "rank", "last", "chunk", "blob"]
 
 
 def shared_prefixes(texts: DataFrame, labels: DataFrame, counts, shingle: int, similarity: float) -> DataFrame:
     """Stored prefix rows with the label of their set, of shingles that stand in the prefixes of two labels or more."""
-    spark = texts.sparkSession
-    rows = stored(texts.select("node", "text").mapInArrow(lambda b: _prefix_rows(b, counts, shingle, similarity), PREFIX))
-    often = stored(rows.groupBy("token").agg(F.min("name").alias("low"), F.max("name").alias("high")).filter("low <> high").select("token"))
-    # A fixed-size bitmap keeps most of the others out of the shuffles below; the joins decide.
-    wanted = spark.sparkContext.broadcast(token_filter(often))
-    rows = rows.mapInArrow(lambda b: _passing_rows(b, wanted), PREFIX).distinct()
-    return of_two_labels(stored(rows.join(labels, "name")))
+    own = "name long, n long, rest long, rank long, last long"
+    made = texts.select("node", "text").mapInArrow(lambda b: _prefix_rows(b, counts, shingle, similarity), f"tokens array<long>, {own}, chunk int, blob binary")
+    made = stored(made)
+    # Copies of one set count as several here, and different shingles can share a slot: the labels decide below.
+    twice = texts.sparkSession.sparkContext.broadcast(np.packbits(slot_counts(made, PREFIX_SLOTS, np.uint8) > 1))
+    rows = made.filter("chunk is null").select(*PREFIX_NAMES[:6]).mapInArrow(lambda b: _passing_rows(b, twice), f"token long, {own}")
+    return of_two_labels(stored(rows.distinct().join(labels, "name")))
 
 
 def of_two_labels(rows: DataFrame) -> DataFrame:

@@ -46,9 +46,8 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     row = F.struct(F.col("doc_id"), *[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-    marked = stored(with_fingerprint(docs, "text", mark))
-    least = marked.groupBy(mark, digest.alias("digest")).agg(F.min(row).alias("row"))
-    distinct = least.select(F.col(mark), *[F.col("row").getField(c).alias(c) for c in docs.columns])
+    least = docs.groupBy(digest.alias("digest")).agg(F.min(row).alias("row"))
+    distinct = with_fingerprint(least.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]), "text", mark)
     distinct = stored(distinct.withColumn(node, F.monotonically_increasing_id()))
 
     # Texts of one SimHash component are one label; similar texts link labels.
