@@ -17,6 +17,7 @@ from clientele.llm.secret_scan import find_secrets, spans_as_text
 from clientele.llm.shared import read_table, stored
 from clientele.llm.sharding import assign_shards
 from clientele.llm.simhash import near_copies
+from clientele.llm.term_tree import ranked_documents
 from clientele.llm.toxicity import scored_toxicity, train_toxicity
 from clientele.llm.urls import Rule, judge_urls
 
@@ -119,6 +120,34 @@ def op9_suffix_repeats(spark, sf_dir):
     )
 
 
+@query
+def op12_term_tree(spark, sf_dir):
+    """The 50 best documents of every benchmark item."""
+    return ranked_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_term_tree"] = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+queries AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), counts AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM queries) GROUP BY ALL),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM counts, totals GROUP BY term
+), scored AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+    FROM queries JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 50"""
+
+
 @query
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline over the documents."""
