@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from clientele.llm.collocations import collocations
+from clientele.llm.cross_polytope import nearest
 from clientele.llm.decontaminate import find_contamination, is_contaminated
 from clientele.llm.lz_print import fingerprint_documents
 from clientele.llm.packing import pack_documents
@@ -120,6 +122,39 @@ def op9_suffix_repeats(spark, sf_dir):
     )
 
 
+@query
+def op11_collocations(spark, sf_dir):
+    """The 2,000 phrases of each language that hold together best."""
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+    FROM documents
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+grams AS (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM pieces, (VALUES (1), (2), (3), (4)) sizes(k) WHERE len(w) >= k
+), counts AS (SELECT lang, k AS size, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+    SELECT c.lang, c.phrase, c.f AS a, k, array_to_string(c.w[1:k], ' ') AS head, array_to_string(c.w[k + 1:], ' ') AS tail
+    FROM counts c, (VALUES (1), (2), (3)) sizes(k) WHERE k < c.size
+), scored AS (
+    SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, k, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = head JOIN counts y ON y.lang = c.lang AND y.phrase = tail
+), least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (
+    SELECT lang, f, unnest(list_transform(range(1, size - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+    FROM counts, (VALUES (2), (3)) sizes(m) WHERE m < size
+), over_parts AS (SELECT lang, phrase, max(f) AS most FROM inner_parts GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM least LEFT JOIN over_parts USING (lang, phrase) JOIN totals USING (lang)
+WHERE most IS NULL OR 100 * most < 80 * a
+QUALIFY rank <= 2000"""
+
+
 @query
 def op12_term_tree(spark, sf_dir):
     """The 50 best documents of every benchmark item."""
@@ -148,6 +183,12 @@ FROM scored WHERE score > 0
 QUALIFY rank <= 50"""
 
 
+@query
+def op13_cross_polytope(spark, sf_dir):
+    """The 20 nearest vectors found for every twentieth vector."""
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline over the documents."""
