@@ -31,8 +31,10 @@ class FitSettings:
     kmeans_starts: int = 20
     gmm_starts: int = 5
     max_iterations: int = 500
-    ward_cells: int = 2000
-    landmarks: int = 1000
+    ward_exact: int = 5000  # distinct rows up to which a hierarchy is exact
+    ward_cells: int = 2000  # cells of a larger table
+    spectral_exact: int = 2500  # distinct rows up to which the whole similarity graph counts
+    landmarks: int = 1000  # landmarks of a larger table
     max_segments: int = 50
 
 

@@ -274,6 +274,33 @@ def fit_cells(
     return {start.subsample: start.result for start in starts}
 
 
+@dataclass
+class DistinctRows:
+    """All distinct rows of a table, ascending, and how many customers of each subset have them."""
+
+    points: np.ndarray
+    counts: dict[int | None, np.ndarray]
+
+
+def distinct_rows(frame: DataFrame, subsets: Sequence[int | None], seed: int, most: int) -> DistinctRows | None:
+    """The distinct rows of a table that has no more than ``most``; None for others.
+
+    A sketch that needs no shuffle of rows turns large tables away; the count itself then decides.
+    """
+    masks = [s for s in subsets if s is not None]
+    points = points_table(frame, max((s + 1 for s in masks), default=0), seed)
+    if points.agg(F.approx_count_distinct(F.xxhash64(POINT), 0.02)).first()[0] > 1.2 * most:
+        return None
+    inside = [F.count_if(F.col(f"in_{s}")).alias(f"n_{s}") for s in masks]
+    # At most one row more than the caller allows reaches the driver.
+    found = points.groupBy(POINT).agg(F.count(F.lit(1)).alias("n"), *inside).limit(most + 1).collect()
+    if not 0 < len(found) <= most:
+        return None
+    found.sort(key=lambda r: r[POINT])
+    counts = {s: np.array([r["n" if s is None else f"n_{s}"] for r in found], dtype=float) for s in subsets}
+    return DistinctRows(np.array([r[POINT] for r in found], dtype=float), counts)
+
+
 def landmark_weights(points: DataFrame, landmarks: dict[int | None, np.ndarray]) -> dict[int | None, np.ndarray]:
     """Rows nearest to each landmark, per subset, in one pass."""
     found = _step(points, [_Start((s,), s, rows) for s, rows in landmarks.items()])

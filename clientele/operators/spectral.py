@@ -1,10 +1,10 @@
-"""Spectral clustering with landmark customers (Nyström extension).
+"""Spectral clustering of the full similarity graph, or of landmark customers (Nyström extension).
 
-The similarity graph is never built. At most ``landmarks`` rows, drawn from the whole table where it is spread out
-(``seeds.py``) and weighted by the customers nearest to them, give a landmark x landmark affinity whose eigenvectors are
-extended to every customer as a projection; K-means then runs on the embedding. A table with no more distinct rows than
-landmarks has all of them as landmarks, and the embedding is that of the full graph. Stability subsamples draw landmarks
-of their own.
+The similarity graph is never built. For a table of at most ``spectral_exact`` distinct rows its leading eigenvectors come
+from products with it (``eigen.py``). Beyond that at most ``landmarks`` rows, drawn from the whole table where it is spread
+out (``seeds.py``) and weighted by the customers nearest to them, give a landmark x landmark affinity. Either way the
+eigenvectors are extended to every customer as a projection, and K-means runs on the embedding. Stability subsamples have
+graphs or landmarks of their own.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientele.errors import DataProblem
+from clientele.operators.eigen import Eigen, Graph, affinity, leading_eigenvectors
 from clientele.operators.fits import Fit, FitSettings, check_k, check_realized, subsample_mask
-from clientele.operators.kmeans import fit_partitions, landmark_weights, nearest_centre, points_table
+from clientele.operators.kmeans import distinct_rows, fit_partitions, landmark_weights, nearest_centre, points_table
 from clientele.operators.seeds import candidates
 
 EMBEDDED = "__embedding"
@@ -35,20 +36,18 @@ class _Basis:
     gamma: float
 
 
-def _affinity(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
-    squares = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T
-    return np.exp(-gamma * np.maximum(squares, 0.0))
+def _extended(rows: np.ndarray, weights: np.ndarray, values: np.ndarray, vectors: np.ndarray, root: np.ndarray) -> _Basis:
+    """Eigenfunctions of the random walk over weighted rows, ready to be extended to any row."""
+    functions = vectors * (root / np.maximum(weights, 1e-300))[:, None] * np.sqrt(weights.sum())
+    return _Basis(rows, weights, weights[:, None] * functions / np.maximum(values, 1e-12), 1.0 / rows.shape[1])
 
 
-def _basis(landmarks: np.ndarray, weights: np.ndarray, most: int) -> _Basis:
-    """Leading eigenfunctions of the random walk over weighted landmarks."""
-    gamma = 1.0 / landmarks.shape[1]
-    affinity = _affinity(landmarks, landmarks, gamma)
-    root = np.sqrt(weights / (affinity @ weights))
-    values, vectors = np.linalg.eigh(affinity * np.outer(root, root))
+def _landmark_basis(landmarks: np.ndarray, weights: np.ndarray, most: int) -> _Basis:
+    own = affinity(landmarks, landmarks, 1.0 / landmarks.shape[1])
+    root = np.sqrt(weights / (own @ weights))
+    values, vectors = np.linalg.eigh(own * np.outer(root, root))
     top = np.argsort(values)[::-1][:most]
-    functions = vectors[:, top] * (root / np.maximum(weights, 1e-300))[:, None] * np.sqrt(weights.sum())
-    return _Basis(landmarks, weights, weights[:, None] * functions / np.maximum(values[top], 1e-12), gamma)
+    return _extended(landmarks, weights, values[top], vectors[:, top], root)
 
 
 def _embedding(basis: _Basis):
@@ -69,28 +68,48 @@ def _embedding(basis: _Basis):
 
 
 class SpectralEmbedding:
-    """Landmarks of one prepared table, with fits on the full table and on its stability subsamples."""
+    """Graph or landmarks of one prepared table, with fits on the full table and on its stability subsamples."""
 
     def __init__(self, frame: DataFrame, rows: int, seed: int, settings: FitSettings, repeats: int = 0):
         self._frame, self._rows, self._seed, self._settings = frame, rows, seed, settings
         self._sets: list[int | None] = [None, *range(repeats)]
-        points = points_table(frame, repeats, seed)
-        self._points = candidates(points, self._sets, settings.landmarks, seed)
-        counted = landmark_weights(points, self._points)
-        self._weights = {s: np.maximum(counted[s], 1e-9) for s in self._sets}
+        self._eigen: dict[int | None, Eigen] = {}
+        known = distinct_rows(frame, self._sets, seed, settings.spectral_exact)
+        self.exact = known is not None
+        if known is not None:
+            held = {s: known.counts[s] > 0 for s in self._sets}
+            self._points = {s: known.points[held[s]] for s in self._sets}
+            self._weights = {s: known.counts[s][held[s]] for s in self._sets}
+        else:
+            points = points_table(frame, repeats, seed)
+            self._points = candidates(points, self._sets, settings.landmarks, seed)
+            counted = landmark_weights(points, self._points)
+            self._weights = {s: np.maximum(counted[s], 1e-9) for s in self._sets}
 
     @property
     def detail(self) -> str:
-        own = len(self._points[None])
-        return "exact" if own >= self._rows else f"{own} landmarks"
+        return "exact" if self.exact else f"{len(self._points[None])} landmarks"
+
+    def eigen(self, most: int) -> dict[int | None, Eigen]:
+        """Leading eigenvectors of the full graph of every subset, for a table with few distinct rows."""
+        if any(len(e.values) < min(most, len(e.vectors)) for e in self._eigen.values()) or not self._eigen:
+            graphs = [Graph(self._points[s], self._weights[s]) for s in self._sets]
+            self._eigen = dict(zip(self._sets, leading_eigenvectors(self._frame.sparkSession, graphs, most, self._seed)))
+        return self._eigen
+
+    def _basis(self, repeat: int | None, most: int) -> _Basis:
+        rows, weights = self._points[repeat], self._weights[repeat]
+        if not self.exact:
+            return _landmark_basis(rows, weights, most)
+        found = self.eigen(most)[repeat]
+        return _extended(rows, weights, found.values[:most], found.vectors[:, :most], found.root)
 
     def fits(self, counts: Sequence[int], repeat: int | None = None) -> dict[int, Fit | DataProblem]:
         """One fit per segment count. The embedding is computed once for all of them and dropped afterwards."""
         points = self._points[repeat]
         table = self._frame if repeat is None else self._frame.filter(subsample_mask(repeat, self._seed))
         most = min(max(counts), len(points))
-        basis = _basis(points, self._weights[repeat], most)
-        embed = _embedding(basis)
+        embed = _embedding(self._basis(repeat, most))
         embedded = table.select("id", embed(vector_to_array("features")).alias(EMBEDDED))
         embedded = embedded.persist(StorageLevel.MEMORY_AND_DISK)
         try:

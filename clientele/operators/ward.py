@@ -1,9 +1,9 @@
 """Ward's hierarchy over micro-clusters.
 
-Ward needs only group sizes and centres. Spark groups the customers into at most ``ward_cells`` cells of a converged
-K-means fit; a table with no more distinct rows than that has a cell for each, and the hierarchy is then exact. Stability
-subsamples get cells of their own. The merge tree over the cells is the only thing built outside Spark; it is bounded by
-``ward_cells``, not by the number of customers.
+Ward needs only group sizes and centres. A table of at most ``ward_exact`` distinct rows has a cell for each of them, and
+the hierarchy is exact. Beyond that Spark groups the customers into at most ``ward_cells`` cells of a converged K-means
+fit. Stability subsamples get cells of their own. Neighbours of cells are searched on Spark (``agglomerate.py``); the
+merge tree is bounded by the cells, not by the number of customers.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.errors import DataProblem
+from clientele.operators.agglomerate import agglomerate
 from clientele.operators.fits import Fit, FitSettings, check_k, check_realized
-from clientele.operators.kmeans import fit_cells, nearest_centre
+from clientele.operators.kmeans import distinct_rows, fit_cells, nearest_centre
 
 CELL = "__cell"
 
@@ -61,40 +62,11 @@ class Cells:
     exact: bool  # every distinct row has a cell of its own
 
 
-def build_tree(weights: np.ndarray, centres: np.ndarray) -> MergeTree:
-    """Ward merges of weighted centres with the nearest-neighbour chain."""
+def named_tree(weights: np.ndarray, merges: Sequence[tuple[float, int, int, float]]) -> MergeTree:
+    """The tree of merges that come by rising height, each naming one leaf of either part."""
     m = len(weights)
-    size = weights.astype(float).copy()
-    place = centres.astype(float).copy()
-    alive = np.ones(m, dtype=bool)
-    node = np.arange(m)
-    chain: list[int] = []
-    merges: list[tuple[float, int, int, float]] = []
-    first_alive = 0
-    while len(merges) < m - 1:
-        if not chain:
-            while not alive[first_alive]:
-                first_alive += 1
-            chain.append(first_alive)
-        while True:
-            tip = chain[-1]
-            cost = size * size[tip] / (size + size[tip]) * ((place - place[tip]) ** 2).sum(axis=1)
-            cost[~alive] = np.inf
-            cost[tip] = np.inf
-            nearest = int(cost.argmin())
-            if len(chain) > 1 and cost[chain[-2]] <= cost[nearest]:
-                nearest = chain[-2]
-                break
-            chain.append(nearest)
-        a, b = chain.pop(), chain.pop()
-        merges.append((float(np.sqrt(2 * cost[b])), a, b, size[a] + size[b]))
-        place[b] = (size[a] * place[a] + size[b] * place[b]) / (size[a] + size[b])
-        size[b] += size[a]
-        alive[a] = False
-    # The chain finds merges out of order: sort by height, then name the nodes in that order.
-    order = sorted(range(len(merges)), key=lambda i: merges[i][0])
     left, right, height, total = [], [], [], []
-    leader = list(range(m))
+    leader, node = list(range(m)), list(range(m))
 
     def find(x: int) -> int:
         while leader[x] != x:
@@ -102,10 +74,9 @@ def build_tree(weights: np.ndarray, centres: np.ndarray) -> MergeTree:
             x = leader[x]
         return x
 
-    for i, index in enumerate(order):
-        h, a, b, n = merges[index]
+    for i, (h, a, b, n) in enumerate(merges):
         ra, rb = find(a), find(b)
-        pair = sorted((int(node[ra]), int(node[rb])))
+        pair = sorted((node[ra], node[rb]))
         left.append(pair[0])
         right.append(pair[1])
         height.append(h)
@@ -115,26 +86,33 @@ def build_tree(weights: np.ndarray, centres: np.ndarray) -> MergeTree:
     return MergeTree(weights, np.array(left, int), np.array(right, int), np.array(height), np.array(total))
 
 
+def build_trees(spark: SparkSession, leaves: Sequence[tuple[np.ndarray, np.ndarray]]) -> list[MergeTree]:
+    """Ward trees over (weights, centres) of several tables, built together."""
+    return [named_tree(weights, merges) for (weights, _), merges in zip(leaves, agglomerate(spark, leaves))]
+
+
 def ward_cells(frame: DataFrame, subsets: Sequence[int | None], seed: int, settings: FitSettings) -> list[Cells]:
-    """Cells of the prepared table (None) or of its stability subsamples."""
+    """Cells of the prepared table (None) or of its stability subsamples: its distinct rows, if the table has no more
+    than ``ward_exact`` of them, or else those of a K-means partition."""
+    rows = distinct_rows(frame, subsets, seed, settings.ward_exact)
+    if rows is not None:
+        return [Cells(counts[counts > 0], rows.points[counts > 0], True) for counts in (rows.counts[s] for s in subsets)]
     found = fit_cells(frame, settings.ward_cells, subsets, seed, settings)
     cells = []
     for subset in subsets:
         partition = found[subset]
         held = partition.counts > 0
-        scale = float((partition.centres**2).sum()) + 1e-300
-        exact = held.sum() < settings.ward_cells and partition.cost <= 1e-9 * scale
-        cells.append(Cells(partition.counts[held], partition.centres[held], exact))
+        cells.append(Cells(partition.counts[held], partition.centres[held], False))
     return cells
 
 
 class WardHierarchy:
     """Cells and merge tree of one prepared table, shared by all segment counts."""
 
-    def __init__(self, frame: DataFrame, seed: int, settings: FitSettings, cells: Cells | None = None):
+    def __init__(self, frame: DataFrame, seed: int, settings: FitSettings, cells: Cells | None = None, tree: MergeTree | None = None):
         self._frame, self._seed, self._settings = frame, seed, settings
         self.cells = cells or ward_cells(frame, [None], seed, settings)[0]
-        self.tree = build_tree(self.cells.counts, self.cells.centres)
+        self.tree = tree or build_trees(frame.sparkSession, [(self.cells.counts, self.cells.centres)])[0]
 
     @property
     def detail(self) -> str:
@@ -155,7 +133,8 @@ class WardHierarchy:
     def subsampled(self, repeats: int) -> list["WardHierarchy"]:
         """Hierarchies of the stability subsamples, from cells of their own."""
         cells = ward_cells(self._frame, list(range(repeats)), self._seed, self._settings)
-        return [WardHierarchy(self._frame, self._seed, self._settings, own) for own in cells]
+        trees = build_trees(self._frame.sparkSession, [(own.counts, own.centres) for own in cells])
+        return [WardHierarchy(self._frame, self._seed, self._settings, own, tree) for own, tree in zip(cells, trees)]
 
     # ---------------------------------------------------------------------------------------------------- views
 

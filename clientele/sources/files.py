@@ -15,6 +15,7 @@ from clientele.errors import DataProblem
 from clientele.functions.coerce import NUMBER_TEXT, quoted
 from clientele.functions.names import unique_headers
 from clientele.session import RUNTIME_SETTINGS
+from clientele.sources.records import file_records
 
 SUFFIXES = (".csv", ".json", ".jsonl", ".parquet")
 ONLY_TABLE = "customers"
@@ -92,9 +93,9 @@ def read_csv(
     """Delimited file with a header row; the delimiter is detected from the first lines.
 
     Types are decided from all values in one aggregate: whole number, decimal, boolean (only without gaps), text; a
-    ``schema`` replaces that decision, not the missing tokens. ``multi_line`` allows line breaks inside quotes, at the
-    price of one task per file; by default it is on exactly when some line leaves a quote open. Short rows are
-    filled up with missing values; a row with more cells than the header is an error.
+    ``schema`` replaces that decision, not the missing tokens. ``multi_line`` allows line breaks inside quotes; by default
+    it is on exactly when some line leaves a quote open. Either way a file is read by many tasks (``records.py``). Short
+    rows are filled up with missing values; a row with more cells than the header is an error.
     """
     lines = [row["value"] for row in spark.read.text(source).select(F.left("value", F.lit(LINE_PREFIX)).alias("value")).limit(SNIFFED_LINES).collect()]
     if not any(line.strip() for line in lines):
@@ -102,15 +103,23 @@ def read_csv(
     if multi_line is None:
         multi_line = _leaves_quotes_open(spark, source)
     delimiter = delimiter or detect_delimiter(lines)
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": multi_line}
-    header = spark.read.csv(source, header=False, **options).first()
+    options = {"sep": delimiter, "quote": '"', "escape": '"'}
+    records = file_records(spark, source, delimiter, _line_end(spark, source)).select(_trimmed_end("record"), "first") if multi_line else None
+    if records is None:
+        header = spark.read.csv(source, header=False, **options).first()
+    else:
+        header = _header_cells(records, options)
     names = unique_headers(
         "" if cell is None else cell.removeprefix("\ufeff") for cell in header
     )
     # One column more than the header: what it catches would otherwise be dropped without a word.
     surplus = unique_headers([*names, "surplus"])[-1]
     text = T.StructType([T.StructField(name, T.StringType()) for name in [*names, surplus]])
-    raw = spark.read.csv(source, header=True, schema=text, **options)
+    if records is None:
+        raw = spark.read.csv(source, header=True, schema=text, **options)
+    else:
+        cells = F.from_csv("record", text.toDDL(), {**options, **WHOLE_RECORD})
+        raw = records.filter(~F.col("first")).select(cells.alias("cells")).select("cells.*")
     table = raw.select(
         *[F.when(~quoted(name).isin(*MISSING_TOKENS), quoted(name)).alias(name) for name in names], quoted(surplus)
     )
@@ -125,6 +134,31 @@ def read_csv(
     return _with_types(table, surplus)
 
 
+WHOLE_RECORD = {"multiLine": "true", "maxCharsPerColumn": "-1"}
+
+
+def _line_end(spark: SparkSession, source: str) -> str:
+    """A carriage return, if lines end with nothing else; it is taken from the lines' ends otherwise."""
+    start = spark.read.option("lineSep", "\n").text(source).select(F.left("value", F.lit(LINE_PREFIX)).alias("value")).limit(2).collect()
+    return "\r" if len(start) == 1 and "\r" in start[0]["value"].rstrip("\r") else "\n"
+
+
+def _trimmed_end(name: str) -> Column:
+    return F.regexp_replace(name, r"\r\z", "").alias(name)
+
+
+def _header_cells(records: DataFrame, options: dict[str, str]) -> list[str | None]:
+    """Cells of a file's first record, however many it has."""
+    first = records.filter("first").first()["record"]
+    size = first.count(options["sep"]) + 1  # cells at most
+    schema = ", ".join(f"c{i} string" for i in range(size))
+    row = records.sparkSession.createDataFrame([(first,)], "record string").select(F.from_csv("record", schema, {**options, **WHOLE_RECORD}).alias("c")).first()["c"]
+    cells = list(row)
+    while len(cells) > 1 and cells[-1] is None and not first.rstrip("\r\n").endswith(options["sep"]):
+        cells.pop()  # delimiters inside of quotes
+    return cells
+
+
 def _leaves_quotes_open(spark: SparkSession, source: str) -> bool:
     """Whether any line holds an odd number of quotes, so that a quoted cell goes on in the next line."""
     odd = F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1

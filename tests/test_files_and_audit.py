@@ -176,3 +176,38 @@ def test_overview_and_correlation(spark):
     pairs = A.correlated_pairs(frame, ["a", "b", "c"]).collect()
     assert [(p["left"], p["right"]) for p in pairs] == [("a", "b")]
     assert names(A.binary_numeric_columns(A.column_profile(frame), ["a", "b", "c"])) == ["b", "c"]
+
+
+@pytest.mark.parametrize("end,few", [("\n", True), ("\r\n", True), ("\n", False)])
+def test_quoted_line_breaks_are_read_by_many_tasks(spark, tmp_path, end, few):
+    import csv
+    import random
+
+    from clientele.sources.files import read_csv
+    from clientele.sources.records import Quotes, file_records, numbered_lines
+
+    rng = random.Random(5)
+    pieces = ["a", '"', ",", "\n", "é", '" ', "\n\n", " "]
+    rows = [[str(i), "".join(rng.choice(pieces) for _ in range(rng.choice([0, 3, 30, 400]))) or "z", str(2 * i)] for i in range(800)]
+    path = str(tmp_path / "notes.csv")
+    with open(path, "w", newline="") as file:
+        csv.writer(file, lineterminator=end).writerows([["id", "note, \n here", "x"], *rows])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert numbered_lines(spark, path, "\n").select("__start").distinct().count() > 40
+        found = file_records(spark, path, ",", most_broadcast=1000 if few else 0)
+        assert found.count() == 801 and found.filter("first").count() == 1
+        table = read_csv(spark, path)
+        assert len(table.columns) == 3 and table.columns[0] == "id"
+        got = sorted(tuple(r) for r in table.collect())
+        one = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == [(int(a), b, int(c)) for a, b, c in rows]
+    assert [(str(a), b, str(c)) for a, b, c in got] == sorted(((r[0], r[1], r[2].rstrip("\r")) for r in one), key=lambda r: int(r[0]))
+    quotes = Quotes(",")
+    assert [quotes.open_after(t, False) for t in ('a,"b', 'a"b', '"a""', '"a"x"', '"a",  "b', "a")] == [True, False, True, False, True, False]
+    assert quotes.open_after("a", True) and not quotes.open_after('b",c', True) and quotes.open_after('b","c', True)

@@ -8,7 +8,9 @@ from clientele.operators import diagnostics as D
 from clientele.operators.fits import FitSettings
 from clientele.operators.kmeans import fit_kmeans
 from clientele.operators.solution import describe_solution
-from clientele.operators.ward import WardHierarchy, build_tree, hierarchy_views
+from clientele.operators.eigen import Graph, affinity, leading_eigenvectors
+from clientele.operators.spectral import SpectralEmbedding
+from clientele.operators.ward import WardHierarchy, build_trees, hierarchy_views
 from clientele.plans.compare import compare_solutions, fit_candidate, fit_solution, plan_grid, ready
 
 QUICK = FitSettings(gmm_starts=1)
@@ -99,7 +101,7 @@ def test_approximate_ward_and_spectral_recover_blobs(spark):
     matrix = blobs([-4, 0, 4], 120, 0.6, columns=2)
     truth = np.repeat([0, 1, 2], 120)
     frame = prepared(spark, matrix)
-    rough = FitSettings(ward_cells=30, landmarks=60)
+    rough = FitSettings(ward_exact=100, ward_cells=30, spectral_exact=100, landmarks=60)
     tree = WardHierarchy(frame, 42, rough)
     assert not tree.cells.exact and "cells" in tree.detail
     assert ari(truth, labels_of(frame, tree.fit(3, 360))) > 0.95
@@ -107,10 +109,11 @@ def test_approximate_ward_and_spectral_recover_blobs(spark):
     assert fit_solution(frame, "kmeans", 3).assignments.filter("confidence < 0.5").count() == 0
 
 
-def test_ward_tree_matches_exhaustive_merging():
+def test_ward_tree_matches_exhaustive_merging(spark):
     rng = np.random.default_rng(9)
     points, weights = rng.normal(size=(40, 3)), rng.integers(1, 6, 40).astype(float)
-    tree = build_tree(weights, points)
+    tree, twin = build_trees(spark, [(weights, points), (weights, points)])
+    assert (tree.left == twin.left).all() and (tree.height == twin.height).all()
     groups = {i: (weights[i], points[i]) for i in range(40)}
     heights = []
     while len(groups) > 1:
@@ -125,6 +128,76 @@ def test_ward_tree_matches_exhaustive_merging():
     assert len(set(tree.cut(5))) == 5
 
 
+def cheapest_heights(points):
+    """Merge heights of the cheapest pair over and over, by updates of a full matrix of costs."""
+    n = len(points)
+    size = np.ones(n)
+    cost = ((points[:, None] - points[None]) ** 2).sum(2) / 2
+    np.fill_diagonal(cost, np.inf)
+    near = cost.argmin(axis=1)
+    least = cost[np.arange(n), near]
+    heights = []
+    for _ in range(n - 1):
+        a = int(least.argmin())
+        b = int(near[a])
+        heights.append(np.sqrt(2 * least[a]))
+        new = ((size[a] + size) * cost[a] + (size[b] + size) * cost[b] - size * least[a]) / (size[a] + size[b] + size)
+        size[a] += size[b]
+        size[b] = 0
+        new[[a, b]] = np.inf
+        new[size == 0] = np.inf
+        cost[a], cost[:, a] = new, new
+        cost[b] = cost[:, b] = np.inf
+        near[a], least[a], least[b] = new.argmin(), new.min(), np.inf
+        better = new < least
+        near[better], least[better] = a, new[better]
+        for i in np.flatnonzero(((near == a) | (near == b)) & (size > 0) & ~better):
+            near[i] = cost[i].argmin()
+            least[i] = cost[i, near[i]]
+    return np.array(heights)
+
+
+def test_ward_is_exact_at_five_thousand_rows(spark):
+    points = np.random.default_rng(4).normal(size=(5000, 3))
+    tree = WardHierarchy(prepared(spark, points), 42, FitSettings())
+    assert tree.detail == "exact" and tree.tree.leaves == 5000
+    assert np.allclose(tree.tree.height, cheapest_heights(points), rtol=1e-9)
+    assert (np.diff(tree.tree.height) >= 0).all() and tree.tree.size[-1] == 5000
+    small = tree.subsampled(2)
+    assert all(t.detail == "exact" and 3900 < t.tree.leaves < 4100 for t in small)
+    assert [t.tree.size[-1] for t in small] == [t.tree.leaves for t in small]
+
+
+def test_repeated_rows_are_one_leaf(spark):
+    points = np.random.default_rng(4).normal(size=(60, 2))
+    tree = WardHierarchy(prepared(spark, np.vstack([points, points[:20], points[:5]])), 42, FitSettings())
+    assert tree.tree.leaves == 60 and sorted(tree.tree.weights)[-5:] == [3] * 5 and tree.tree.size[-1] == 85
+
+
+def test_spectral_is_exact_at_two_and_a_half_thousand_rows(spark):
+    points = np.random.default_rng(5).normal(size=(2500, 4))
+    found = SpectralEmbedding(prepared(spark, points), 2500, 42, FitSettings(), repeats=1)
+    assert found.detail == "exact"
+    own = found.eigen(6)[None]
+    rows = found._points[None]
+    dense = affinity(rows, rows, 0.25)
+    root = 1 / np.sqrt(dense.sum(axis=1))
+    dense = dense * np.outer(root, root)
+    assert (np.linalg.norm(dense @ own.vectors - own.vectors * own.values, axis=0) < 1e-8).all()
+    assert np.allclose(own.values, np.linalg.eigvalsh(dense)[::-1][:6], atol=1e-10)
+    assert 1900 < len(found.eigen(6)[0].vectors) < 2100
+
+
+def test_eigenvectors_of_small_and_weighted_graphs(spark):
+    rng = np.random.default_rng(6)
+    graphs = [Graph(rng.normal(size=(n, 2)), rng.integers(1, 5, n).astype(float)) for n in (2, 5, 40)]
+    for graph, own in zip(graphs, leading_eigenvectors(spark, graphs, 4)):
+        dense = affinity(graph.rows, graph.rows, graph.gamma)
+        root = np.sqrt(graph.weights / (dense @ graph.weights))
+        values = np.linalg.eigvalsh(dense * np.outer(root, root))[::-1][:4]
+        assert np.allclose(own.values, values, atol=1e-10) and (own.residuals < 1e-9).all()
+
+
 def test_hierarchy_views_add_up(spark):
     icicle, merges = hierarchy_views(prepared(spark, blobs([-4, 0, 4], 50, 0.5)), max_segments=5, leaves=10)
     rows = icicle.collect()
