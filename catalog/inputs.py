@@ -105,6 +105,20 @@ def rfm_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("source")
 
 
+NATION_BASES = ("balance", "customers", "order_value")
+
+
+def nation_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, features)``: nations by what their customers hold and order."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("price"))
+    nations = (
+        table(spark, sf_dir, "customer").join(orders, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("customer_id"))
+        .agg(F.avg("c_acctbal").alias("balance"), F.count(F.lit(1)).alias("customers"), F.avg("price").alias("order_value"))
+    )
+    model = prepare_features(nations, PreprocessConfig(NATION_BASES))
+    return model.attach(nations.select(F.col("customer_id").alias("id"), F.struct(*NATION_BASES).alias("source")), "source").drop("source")
+
+
 def matrix_config() -> PreprocessConfig:
     return PreprocessConfig(MATRIX_NUMERIC, MATRIX_CATEGORICAL, categorical_weight=0.5)
 
@@ -195,3 +209,13 @@ prepared AS (SELECT customer_id AS id, s.recency_days AS f0, s.frequency AS f1,
                     b.market, b.band, b.nation, CAST(b.active AS VARCHAR) AS active
              FROM scaled s JOIN base b USING (customer_id))"""
 )
+
+NATION_CTE = (
+    """paid AS (SELECT o_custkey AS c_custkey, avg(o_totalprice) AS price FROM orders GROUP BY 1),
+nations AS (SELECT c_nationkey AS customer_id, avg(c_acctbal) AS balance, count(*) AS customers, avg(price) AS order_value
+            FROM customer LEFT JOIN paid USING (c_custkey) GROUP BY 1),
+"""
+    + numeric_steps({name: f"CAST({name} AS DOUBLE)" for name in NATION_BASES}, "nations")
+    + """,
+places AS (SELECT customer_id AS id, balance AS f0, customers AS f1, order_value AS f2 FROM scaled)"""
+)

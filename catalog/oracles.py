@@ -8,6 +8,7 @@ from catalog.inputs import (
     BASE_CTE,
     DAY,
     MATRIX_VALUES,
+    NATION_CTE,
     NUMBER,
     PREPARED_CTE,
     RFM_BASES,
@@ -582,3 +583,59 @@ UNION ALL SELECT 'customer', count(*), CAST((SELECT count(*) FROM (DESCRIBE cust
 ORACLES["date_formats"] = orders_rollup(
     "SELECT o_custkey AS customer_id, o_orderkey AS order_id, epoch_us(date_trunc('day', o_orderdate)) AS micros, o_totalprice AS amount FROM orders"
 )
+
+
+# -------------------------------------------------------------------------------------------------- exact small fits
+
+
+def ward_steps(points: str, leaves: int) -> str:
+    """CTEs ``p0`` ... (merges) and ``s0`` ... (groups after each): the cheapest pair over and over."""
+    parts = [
+        f"""s0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY f0, f1, f2) - 1 AS BIGINT) AS node, 1 AS n, f0, f1, f2, [id] AS ids,
+            row_number() OVER (ORDER BY f0, f1, f2) AS first FROM {points})"""
+    ]
+    mean = ", ".join(f"(a.n * a.f{d} + b.n * b.f{d}) / (a.n + b.n) AS f{d}" for d in range(3))
+    gap = " + ".join(f"(a.f{d} - b.f{d}) ^ 2" for d in range(3))
+    for i in range(leaves - 1):
+        parts.append(
+            f"""p{i} AS MATERIALIZED (SELECT a.node AS a, b.node AS b, a.n AS na, b.n AS nb, {mean}, list_concat(a.ids, b.ids) AS ids, least(a.first, b.first) AS first,
+            a.n * b.n / (a.n + b.n) * ({gap}) AS cost FROM s{i} a JOIN s{i} b ON a.node < b.node ORDER BY cost LIMIT 1)"""
+        )
+        parts.append(
+            f"""s{i + 1} AS MATERIALIZED (SELECT s.* FROM s{i} s, p{i} p WHERE s.node NOT IN (p.a, p.b)
+            UNION ALL SELECT {leaves + i}, na + nb, f0, f1, f2, ids, first FROM p{i})"""
+        )
+    return ",\n".join(parts)
+
+
+NATIONS = 25
+WARD_CTE = f"WITH {NATION_CTE},\n{ward_steps('places', NATIONS)}"
+MERGES = union(
+    f"SELECT {i} AS step, a, b, na, nb, cost FROM p{i}" for i in range(NATIONS - 1)
+)
+ORACLES["nation_merges"] = f"""{WARD_CTE}, merges AS ({MERGES})
+SELECT CAST(step AS INTEGER) AS step, CAST(a AS VARCHAR) AS "left", CAST(b AS VARCHAR) AS "right", CAST(na AS BIGINT) AS left_customers,
+       CAST(nb AS BIGINT) AS right_customers, {r6("sqrt(2 * cost)", "height")}, CAST(na + nb AS BIGINT) AS customers FROM merges"""
+ORACLES["nation_icicle"] = f"""{WARD_CTE}, merges AS (SELECT * FROM ({MERGES}) WHERE step >= {NATIONS - 1 - 7}),
+nodes AS (SELECT {2 * NATIONS - 2} AS id, '' AS parent, na + nb AS n FROM merges WHERE step = {NATIONS - 2}
+          UNION ALL SELECT a, CAST({NATIONS} + step AS VARCHAR), na FROM merges UNION ALL SELECT b, CAST({NATIONS} + step AS VARCHAR), nb FROM merges)
+SELECT CAST(id AS VARCHAR) AS id, parent, CAST(n AS BIGINT) AS customers, {r6(f"100.0 * n / {NATIONS}", "share_%")},
+       CAST(n AS VARCHAR) || ' customers · ' || CAST(CAST(round(100.0 * n / {NATIONS}) AS BIGINT) AS VARCHAR) || '%' AS label FROM nodes"""
+ORACLES["nation_segments"] = f"""{WARD_CTE},
+named AS (SELECT 'Segment ' || CAST(row_number() OVER (ORDER BY n DESC, first) AS VARCHAR) AS segment, unnest(ids) AS id FROM s{NATIONS - 4}),
+held AS (SELECT segment, p.* FROM named JOIN places p USING (id)),
+centres AS (SELECT segment, avg(f0) AS c0, avg(f1) AS c1, avg(f2) AS c2 FROM held GROUP BY 1),
+away AS (SELECT h.id, h.segment, c.segment = h.segment AS own, sqrt((f0 - c0) ^ 2 + (f1 - c1) ^ 2 + (f2 - c2) ^ 2) AS d FROM held h, centres c)
+SELECT CAST(id AS BIGINT) AS id, segment,
+       {r6("min(d) FILTER (NOT own) / (min(d) FILTER (own) + min(d) FILTER (NOT own) + 1e-12)", "confidence")} FROM away GROUP BY 1, 2"""
+# The best partition of a line is one into intervals: all pairs of cuts are tried, with costs from running sums.
+ORACLES["kmeans_line"] = f"""WITH {BASE_CTE},
+{numeric_steps({"average_order_value": "CAST(average_order_value AS DOUBLE)"})},
+line AS MATERIALIZED (SELECT average_order_value AS x, row_number() OVER w AS i, sum(average_order_value) OVER w AS s, sum(average_order_value ^ 2) OVER w AS q
+         FROM scaled WINDOW w AS (ORDER BY average_order_value, customer_id)),
+ends AS (SELECT * FROM line WHERE i = (SELECT max(i) FROM line)),
+best AS (SELECT a.i AS i, b.i AS j FROM line a, line b, ends e WHERE a.i < b.i AND b.i < e.i
+         ORDER BY a.q - a.s ^ 2 / a.i + (b.q - a.q) - (b.s - a.s) ^ 2 / (b.i - a.i) + (e.q - b.q) - (e.s - b.s) ^ 2 / (e.i - b.i) LIMIT 1),
+parts AS (SELECT x, CASE WHEN line.i <= best.i THEN 0 WHEN line.i <= best.j THEN 1 ELSE 2 END AS part FROM line, best),
+sums AS (SELECT count(*) AS customers, min(x) AS low, max(x) AS high, var_pop(x) * count(*) AS cost FROM parts GROUP BY part)
+SELECT 'Segment ' || CAST(row_number() OVER (ORDER BY customers DESC) AS VARCHAR) AS segment, customers, {r6("low", "low")}, {r6("high", "high")}, {r6("cost", "cost")} FROM sums"""

@@ -15,6 +15,7 @@ from catalog.inputs import (
     audit_table,
     customer_base,
     matrix_config,
+    nation_prepared,
     order_rfm,
     r6,
     rfm_prepared,
@@ -991,6 +992,37 @@ def top_merges(spark, sf_dir):
     return WardHierarchy(prepared_rfm(spark, sf_dir), 42, SETTINGS).top_merges()
 
 
+@query
+def nation_merges(spark, sf_dir):
+    """All merges of the nations' hierarchy."""
+    found = WardHierarchy(nation_prepared(spark, sf_dir), 42, SETTINGS).top_merges()
+    return found.withColumn("height", r6("height"))
+
+
+@query
+def nation_icicle(spark, sf_dir):
+    found = WardHierarchy(nation_prepared(spark, sf_dir), 42, SETTINGS).icicle()
+    return found.withColumn("share_%", r6("share_%"))
+
+
+@query
+def nation_segments(spark, sf_dir):
+    """Four segments of nations by the hierarchy, named by size, with each nation's confidence."""
+    found = fit_solution(nation_prepared(spark, sf_dir), "hierarchical", 4, settings=SETTINGS).assignments
+    return found.select(F.col("id").cast("long").alias("id"), "segment", r6("confidence").alias("confidence"))
+
+
+@query
+def kmeans_line(spark, sf_dir):
+    """Three K-means segments of customers along one basis: the partition of least cost, and what it costs."""
+    base = customer_base(spark, sf_dir)
+    model = P.prepare_features(base, P.PreprocessConfig(("average_order_value",)))
+    frame = model.attach(base.select(F.col("customer_id").alias("id"), F.struct("average_order_value").alias("source")), "source").drop("source")
+    rows = written(fit_solution(frame, "kmeans", 3, settings=FitSettings(shift_tolerance=0.0)).assignments.select("id", "segment").join(frame.select("id", vector_to_array("features")[0].alias("x")), "id"))
+    spread = rows.groupBy("segment").agg(F.count(F.lit(1)).alias("customers"), r6(F.min("x")).alias("low"), r6(F.max("x")).alias("high"), r6(F.var_pop("x") * F.count(F.lit(1))).alias("cost"))
+    return spread
+
+
 @query
 def icicle_violations(spark, sf_dir):
     """Children add up to their parent and the root holds every customer."""

@@ -31,6 +31,7 @@ class FitSettings:
     kmeans_starts: int = 20
     gmm_starts: int = 5
     max_iterations: int = 500
+    shift_tolerance: float = 1e-4  # squared shift of all centres, in mean column variances, at which K-means ends
     ward_exact: int = 5000  # distinct rows up to which a hierarchy is exact
     ward_cells: int = 2000  # cells of a larger table
     spectral_exact: int = 2500  # distinct rows up to which the whole similarity graph counts

@@ -29,7 +29,6 @@ from clientele.operators.fits import Fit, FitSettings, check_k, check_realized,
 from clientele.operators.seeds import candidates, settle, spread_seeds
 
 POINT = "point"
-SHIFT_TOLERANCE = 1e-4  # times the mean column variance
 NUMBERS_PER_PASS = 200_000  # centre coordinates advanced together
 CELLS_PER_BLOCK = 4_000_000  # distances a task holds at a time
 CANDIDATES_PER_GROUP = 20
@@ -242,7 +241,7 @@ def fit_partitions(
             if not len(rows):
                 raise DataProblem(f"Fewer than {k} customers are left for {k} segments.")
             mean = np.average(rows, axis=0, weights=own)
-            tolerance = SHIFT_TOLERANCE * float(np.average((rows - mean) ** 2, axis=0, weights=own).mean())
+            tolerance = settings.shift_tolerance * float(np.average((rows - mean) ** 2, axis=0, weights=own).mean())
             tolerances.append(tolerance)
             for centres in distinct_starts(rows, own, k, settings.kmeans_starts, shifted, tolerance):
                 starts.append(_Start((k, subsample), subsample, centres))
@@ -270,7 +269,7 @@ def fit_cells(
     drawn = candidates(points, subsets, cells, seed)
     starts = [_Start((cells, s), s, drawn[s], slack=max(1.0, len(drawn[s]) / 4)) for s in subsets]
     spread = float(drawn[subsets[0]].var(axis=0).mean())
-    polish(points, starts, SHIFT_TOLERANCE * spread, settings.max_iterations)
+    polish(points, starts, settings.shift_tolerance * spread, settings.max_iterations)
     return {start.subsample: start.result for start in starts}
 
 
