@@ -24,7 +24,8 @@ from clientele.llm.words import U64, mixed, prefix_hash, slices, span_hash
 
 LENGTH, GRAM = 50, 20
 BYTES_PER_PARTITION = 12_000_000
-BUCKETS_PER_PARTITION = 8
+# Buckets follow the bytes alone, so that blobs do not multiply with tasks times partitions.
+BYTES_PER_BUCKET, BUCKETS = 1_500_000, 64
 HELD_ANCHORS, HELD_BYTES = 1_000_000, 12_000_000  # what a task gathers before it sends blobs
 POSITION_BITS = 22
 SLICE_BYTES = 2_000_000
@@ -308,8 +309,7 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int,
             texts[:] = [b.tobytes() for b in np.split(gather(part, start, past), np.cumsum(past - start)[:-1])]
         held.append((bucket_of(hashes), doc, where, past - start, texts))
 
-    wanted = (b.filter(pc.is_valid(b.column(2))) for b in batches)
-    for batch, part, prefix, row, start, past, hashes, where, spot in _pieces(wanted, length, gram):
+    for batch, part, prefix, row, start, past, hashes, where, spot in _pieces(batches, length, gram):
         lists = batch.column(2)
         owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
         codes = lists.flatten().to_numpy(zero_copy_only=False)
@@ -346,6 +346,11 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], buckets: int, length: int,
         yield flush()
 
 
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with places of shared anchors."""
+    return _opened(b.filter(pc.is_valid(b.column(3))) for b in batches)
+
+
 def _long_document(data: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """A document beyond the slice size as overlapping pieces: every string lies whole in one of them."""
     return [
@@ -354,12 +359,20 @@ def _long_document(data: np.ndarray, length: int) -> list[tuple[np.ndarray, np.n
     ]
 
 
-def repeated_strings(doc: np.ndarray, size: np.ndarray, body: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _same_strings(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes at a and b agree, eight at a time; the last eight may overlap those before."""
+    if length < 8:
+        return _equal_bytes(data, a, b, np.full(len(a), length))
+    eights = np.ndarray((max(len(data) - 7, 0),), dtype="<u8", buffer=data, strides=(1,))
+    same = np.ones(len(a), dtype=bool)
+    for at in [*range(0, length - 7, 8), length - 8]:
+        same &= eights[a + at] == eights[b + at]
+    return same
+
+
+def repeated_strings(doc: np.ndarray, begin: np.ndarray, size: np.ndarray, body: np.ndarray, prefix: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(segment, offset) of every string of the segments that also starts in a smaller document."""
     none = np.empty(0, np.int64)
-    ends = np.cumsum(size)
-    begin = ends - size
-    prefix = prefix_hash(body)
     # Strings that occur once cannot repeat: their hashes are grouped first, and only the others are sorted.
     counts = size - length + 1
     segment = np.repeat(np.arange(len(size)), counts)
@@ -367,27 +380,31 @@ def repeated_strings(doc: np.ndarray, size: np.ndarray, body: np.ndarray, length
     if not len(strings):
         return none, none
     hashes = span_hash(prefix, strings, strings + length)
-    order = np.argsort(hashes)
-    ranked = hashes[order]
-    twin = np.zeros(len(order), dtype=bool)
-    twin[1:] = ranked[1:] == ranked[:-1]
-    twin[:-1] |= twin[1:]
-    chosen = np.sort(order[twin])
-    if not len(chosen):
+    order = np.argsort(hashes, kind="stable")
+    first = np.flatnonzero(np.append(True, hashes[order][1:] != hashes[order][:-1]))
+    many = np.diff(np.append(first, len(order)))
+    order, many = order[np.repeat(many > 1, many)], many[many > 1]
+    if not len(order):
         return none, none
-    strings, segment = strings[chosen], segment[chosen]
-    sorted_at = suffix_order(body, prefix, strings, length)
-    back = np.searchsorted(strings, sorted_at)
-    owner = doc[segment[back]]
-    a, b = sorted_at[:-1], sorted_at[1:]
-    alike = extension(prefix, a, b, np.full(len(a), length)) >= length
+    lead = np.cumsum(many) - many  # the first string of each hash, in order of position
+    if _same_strings(body, strings[order], strings[np.repeat(order[lead], many)], length).all():
+        # One suffix per hash is sorted, and stands for the equal ones, which follow it by position.
+        heads = strings[order[lead]]
+        back = np.argsort(heads)
+        turn = back[np.searchsorted(heads[back], suffix_order(body, prefix, heads, length))]
+        step = many[turn]
+        order = order[np.arange(len(order)) + np.repeat(lead[turn] - (np.cumsum(step) - step), step)]
+    else:  # different strings of one hash: every suffix is sorted
+        chosen = np.sort(order)
+        order = chosen[np.searchsorted(strings[chosen], suffix_order(body, prefix, strings[chosen], length))]
+    owner = doc[segment[order]]
+    alike = hashes[order[1:]] == hashes[order[:-1]]
     near = np.flatnonzero(alike)
-    alike[near] = _equal_bytes(body, a[near], b[near], np.full(len(near), length))
-    opens = np.append(True, ~alike)
-    first = np.flatnonzero(opens)
+    alike[near] = _same_strings(body, strings[order[near]], strings[order[near + 1]], length)
+    first = np.flatnonzero(np.append(True, ~alike))
     least = np.minimum.reduceat(owner, first)
     later = owner > np.repeat(least, np.diff(np.append(first, len(owner))))
-    found = np.sort(back[later])
+    found = np.sort(order[later])
     return segment[found], strings[found] - begin[segment[found]]
 
 
@@ -400,7 +417,12 @@ def _run_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         known = size < 0
         out = [(doc[known], at[known], at[known] - size[known])]
         doc, at, size = doc[~known], at[~known], size[~known]
-        segment, offset = repeated_strings(doc, size, body, length)
+        begin, prefix = np.cumsum(size) - size, prefix_hash(body)
+        # A segment that equals one of a smaller document repeats as a whole.
+        alone = _to_send(body, prefix, doc, at, begin, begin + size)
+        out.append((doc[~alone], at[~alone], at[~alone] + size[~alone]))
+        doc, at, size, begin = doc[alone], at[alone], size[alone], begin[alone]
+        segment, offset = repeated_strings(doc, begin, size, body, prefix, length)
         if len(segment):
             opens = np.ones(len(segment), dtype=bool)
             opens[1:] = (segment[1:] != segment[:-1]) | (offset[1:] != offset[:-1] + 1)
@@ -413,6 +435,32 @@ def _run_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["doc", "start", "past"])
 
 
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, size, body): texts compressed, for their exchange."""
+    for batch in batches:
+        texts = [t.encode() for t in batch.column(1).to_pylist()]
+        bodies = [pa.compress(t, codec="zstd", asbytes=True) if t else b"" for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(bodies, pa.binary())], ["key", "size", "body"])
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with ``text`` instead of (size, body), a few megabytes at a time; without a body there is no text."""
+    for batch in batches:
+        names = batch.schema.names
+        size, body = (batch.column(names.index(n)).to_pylist() for n in ("size", "body"))
+        others = [n for n in names if n not in ("key", "size", "body")]
+        begin, held = 0, 0
+        for end in range(1, batch.num_rows + 1):
+            held += size[end - 1]
+            if held < SLICE_BYTES and end < batch.num_rows:
+                continue
+            texts = [None if b is None else pa.decompress(b, decompressed_size=n, codec="zstd", asbytes=True) if n else b"" for n, b in zip(size[begin:end], body[begin:end])]
+            part = batch.slice(begin, end - begin)
+            text = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([part.column(names.index("key")), text, *[part.column(names.index(n)) for n in others]], ["key", "text", *others])
+            begin, held = end, 0
+
+
 def exact_copies(rows: DataFrame) -> DataFrame:
     """Stored (copy): keys of the rows (key, text) whose whole text stands in a row with a smaller key."""
     marked = stored(rows.select("key", F.sha2(F.col("text").cast("binary"), 256).alias("digest")))
@@ -420,21 +468,22 @@ def exact_copies(rows: DataFrame) -> DataFrame:
     return stored(marked.join(firsts, "digest").filter("key > first").select(F.col("key").alias("copy")).distinct())
 
 
-def repeated_spans(texts: DataFrame, copies: DataFrame, parts: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(
+    texts: DataFrame, copies: DataFrame, parts: int, buckets: int = BUCKETS, length: int = LENGTH, gram: int = GRAM
+) -> DataFrame:
     """(doc, start, past): byte runs whose ``length``-byte strings also start in a document with a smaller id.
 
-    ``texts`` holds (key long, not null; text) and is partitioned by key: it is read twice. Whole copies are left out:
+    ``texts`` holds (key long, not null; size, body) and is partitioned by key: it is read twice. Whole copies are left out:
     what they hold stands in their first document. Runs may overlap and touch; together they cover exactly what repeats.
     """
-    buckets = parts * BUCKETS_PER_PARTITION
     blobs = "bucket int, blob binary"
-    own = texts.join(copies, F.col("key") == F.col("copy"), "left").select("key", F.when(F.col("copy").isNull(), F.col("text")).alias("text"))
-    known = own.mapInArrow(lambda b: _anchor_rows(b, buckets, length, gram), blobs)
+    own = texts.join(copies, F.col("key") == F.col("copy"), "left").select("key", "size", F.when(F.col("copy").isNull(), F.col("body")).alias("body"))
+    known = own.mapInArrow(lambda b: _anchor_rows(_opened(b), buckets, length, gram), blobs)
     shared = known.repartition(parts, "bucket").mapInArrow(_shared_rows, "doc long, code long")
     spots = shared.groupBy("doc").agg(F.collect_list("code").alias("spots"))
     # An outer join, so that no filter is pushed below the exchange of the texts, which is used again.
-    around = texts.join(spots, F.col("key") == F.col("doc"), "left").select("key", "text", "spots")
-    segments = around.mapInArrow(lambda b: _segment_rows(b, buckets, length, gram), blobs)
+    around = texts.join(spots, F.col("key") == F.col("doc"), "left").select("key", "size", "body", "spots")
+    segments = around.mapInArrow(lambda b: _segment_rows(_wanted(b), buckets, length, gram), blobs)
     return segments.repartition(parts, "bucket").mapInArrow(lambda b: _run_rows(b, length), "doc long, start long, past long")
 
 
@@ -479,15 +528,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = partitions_for(docs.sparkSession, volume, BYTES_PER_PARTITION)
     # The one exchange of the texts; all three uses below have it in common.
-    texts = rows.filter("key is not null").repartition(parts, "key")
+    closed = [rows.filter(f"key is {which}").mapInArrow(_closed, "key long, size long, body binary") for which in ("not null", "null")]
+    texts = closed[0].repartition(parts, "key")
     copies = exact_copies(rows.filter("key is not null"))
-    runs = repeated_spans(texts, copies, parts, length, gram).groupBy("doc").agg(F.collect_set(F.struct("start", "past")).alias("runs"))
+    buckets = max(BUCKETS, -(-volume // BYTES_PER_BUCKET))
+    runs = repeated_spans(texts, copies, parts, buckets, length, gram).groupBy("doc").agg(F.collect_set(F.struct("start", "past")).alias("runs"))
     none = F.array().cast("array<struct<start:long,past:long>>")
-    size = F.octet_length("text").cast("long")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("past")))
-    removed = F.when(F.col("copy").isNotNull() & (size >= length), whole).otherwise(F.coalesce("runs", none))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("past")))
+    removed = F.when(F.col("copy").isNotNull() & (F.col("size") >= length), whole).otherwise(F.coalesce("runs", none))
     joined = texts.join(runs, F.col("key") == F.col("doc"), "left").join(copies, F.col("key") == F.col("copy"), "left")
-    joined = joined.select("key", "text", removed.alias("runs"))
-    full = joined.unionByName(rows.filter("key is null").withColumn("runs", none))
+    joined = joined.select("key", "size", "body", removed.alias("runs"))
+    full = joined.unionByName(closed[1].withColumn("runs", none))
     schema = "key long, n_bytes long, n_removed long, removed array<struct<start:long,past:long>>, kept binary"
-    return full.mapInArrow(_cut_rows, schema).select(F.col("key").cast(kind).alias(doc_id), "n_bytes", "n_removed", "removed", "kept")
+    return full.mapInArrow(lambda b: _cut_rows(_opened(b)), schema).select(F.col("key").cast(kind).alias(doc_id), "n_bytes", "n_removed", "removed", "kept")
