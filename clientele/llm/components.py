@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientele.llm.shared import stored
+from clientele.llm.shared import Scratch, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,13 +34,17 @@ def connected(edges: DataFrame) -> DataFrame:
     Each round is written to the shared folder, so a lost executor costs a part of one round. Hubs are aggregated
     before the shuffle and their joins are ordinary skew-splittable ones.
     """
-    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
-    state = _state(edges)
-    while state[0]:
-        edges = stored(_small_star(stored(_large_star(edges))))
-        after = _state(edges)
-        if after == state:
-            break
-        state = after
+    spark = edges.sparkSession
+    with Scratch(spark) as scratch:
+        edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+        state = _state(edges)
+        while state[0]:
+            with Scratch(spark) as step:
+                moved = step.keep(stored(_small_star(stored(_large_star(edges)))))
+            scratch.drop(edges)
+            edges, before, state = moved, state, _state(moved)
+            if state == before:
+                break
+        scratch.keep(edges)
     roots = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from clientele.llm.components import connected
 from clientele.llm.decontaminate import _passes, token_filter
-from clientele.llm.shared import stored
+from clientele.llm.shared import Scratch, stored
 from clientele.llm.words import U64, WordTable, mixed, slices
 
 # Frequencies that order the shingles are counted per slot. They decide how much is compared, never what comes out.
@@ -137,18 +137,20 @@ PREFIX_NAMES = ["tokens", "name", "n", "rest", "rank", "last", "chunk", "blob"]
 def shared_prefixes(texts: DataFrame, labels: DataFrame, counts, shingle: int, similarity: float) -> DataFrame:
     """Stored prefix rows with the label of their set, of shingles that stand in the prefixes of two labels or more."""
     own = "name long, n long, rest long, rank long, last long"
-    made = texts.select("node", "text").mapInArrow(lambda b: _prefix_rows(b, counts, shingle, similarity), f"tokens array<long>, {own}, chunk int, blob binary")
-    made = stored(made)
-    # Copies of one set count as several here, and different shingles can share a slot: the labels decide below.
-    twice = texts.sparkSession.sparkContext.broadcast(np.packbits(slot_counts(made, PREFIX_SLOTS, np.uint8) > 1))
-    rows = made.filter("chunk is null").select(*PREFIX_NAMES[:6]).mapInArrow(lambda b: _passing_rows(b, twice), f"token long, {own}")
-    return of_two_labels(stored(rows.distinct().join(labels, "name")))
+    with Scratch(texts.sparkSession) as scratch:
+        made = texts.select("node", "text").mapInArrow(lambda b: _prefix_rows(b, counts, shingle, similarity), f"tokens array<long>, {own}, chunk int, blob binary")
+        made = stored(made)
+        # Copies of one set count as several here, and different shingles can share a slot: the labels decide below.
+        twice = texts.sparkSession.sparkContext.broadcast(np.packbits(slot_counts(made, PREFIX_SLOTS, np.uint8) > 1))
+        rows = made.filter("chunk is null").select(*PREFIX_NAMES[:6]).mapInArrow(lambda b: _passing_rows(b, twice), f"token long, {own}")
+        return scratch.keep(of_two_labels(stored(rows.distinct().join(labels, "name"))))
 
 
 def of_two_labels(rows: DataFrame) -> DataFrame:
     """Stored rows of tokens with two labels or more, and the number of the token's rows."""
     tokens = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows"))
-    return stored(rows.join(stored(tokens.filter("low <> high").select("token", "rows")), "token"))
+    with Scratch(rows.sparkSession) as scratch:
+        return scratch.keep(stored(rows.join(stored(tokens.filter("low <> high").select("token", "rows")), "token")))
 
 
 def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
@@ -203,27 +205,43 @@ def similar_links(texts: DataFrame, known: DataFrame | None = None, shingle: int
     belong together and are not compared with each other. Texts without words are alike.
     """
     spark = texts.sparkSession
-    scan = stored(texts.select("node", "text").mapInArrow(lambda b: _scan_rows(b, shingle), "node long, name long, chunk int, blob binary"))
-    named = scan.filter("chunk is null").select("node", "name").distinct()
-    named = named.withColumn("label", F.col("node")) if known is None else named.join(known, "node")
-    named = stored(named.select("name", "label").distinct())
-    labels = stored(named.groupBy("name").agg(F.min("label").alias("label")))
-    equal = named.withColumnRenamed("label", "b").join(labels.withColumnRenamed("label", "a"), "name").filter("a <> b")
-    links = stored(equal.select("a", "b").distinct())
-    counts = spark.sparkContext.broadcast(slot_counts(scan))
-    rows = shared_prefixes(texts, labels, counts, shingle, similarity)
-    ends = rows.select(F.col("name").alias("token")).distinct()
-    wanted = spark.sparkContext.broadcast(token_filter(ends))
-    sets = texts.select("node", "text").mapInArrow(lambda b: _set_rows(b, wanted, shingle), "name long, shingles array<long>")
-    sets = stored(sets.join(ends.withColumnRenamed("token", "name"), "name", "left_semi").groupBy("name").agg(F.min("shingles").alias("shingles")))
-    links = stored(links.unionByName(_label_links(similar_pairs(sets, stored(star_pairs(rows, similarity)), similarity), labels)))
-    # Sets that are connected by now need no more links among each other.
-    groups = stored(connected(links))
-    merged = labels.join(groups, labels["label"] == groups["node"], "left").select("name", F.coalesce("root", "label").alias("label"))
-    labels = stored(merged)
-    rows = of_two_labels(rows.drop("label", "rows").join(labels, "name"))
-    pairs = stored(candidate_pairs(rows, similarity))
-    return stored(links.unionByName(_label_links(similar_pairs(sets, pairs, similarity), labels)))
+    with Scratch(spark) as scratch:
+        scan = stored(texts.select("node", "text").mapInArrow(lambda b: _scan_rows(b, shingle), "node long, name long, chunk int, blob binary"))
+        named = scan.filter("chunk is null").select("node", "name").distinct()
+        named = named.withColumn("label", F.col("node")) if known is None else named.join(known, "node")
+        named = stored(named.select("name", "label").distinct())
+        labels = stored(named.groupBy("name").agg(F.min("label").alias("label")))
+        equal = named.withColumnRenamed("label", "b").join(labels.withColumnRenamed("label", "a"), "name").filter("a <> b")
+        links = stored(equal.select("a", "b").distinct())
+        counts = spark.sparkContext.broadcast(slot_counts(scan))
+        scratch.drop(scan, named)
+        rows = shared_prefixes(texts, labels, counts, shingle, similarity)
+        counts.unpersist()
+        heads = stored(star_pairs(rows, similarity))
+        links = stored(links.unionByName(stored(_label_links(_verified(texts, heads, shingle, similarity), labels))))
+        # Sets that are connected by now need no more links among each other.
+        with Scratch(spark) as inner:
+            groups = inner.keep(stored(connected(links)))
+        merged = labels.join(groups, labels["label"] == groups["node"], "left").select("name", F.coalesce("root", "label").alias("label"))
+        labels = stored(merged)
+        after = of_two_labels(rows.drop("label", "rows").join(labels, "name"))
+        scratch.drop(rows)
+        pairs = stored(candidate_pairs(after, similarity))
+        scratch.drop(after)
+        found = stored(_label_links(_verified(texts, pairs, shingle, similarity), labels))
+        return scratch.keep(stored(links.unionByName(found)))
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Stored pairs (a, b) whose sets overlap enough; the shingles of those sets alone are written, for that long."""
+    with Scratch(texts.sparkSession) as scratch:
+        ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("token")).distinct())
+        wanted = texts.sparkSession.sparkContext.broadcast(token_filter(ends))
+        sets = texts.select("node", "text").mapInArrow(lambda b: _set_rows(b, wanted, shingle), "name long, shingles array<long>")
+        sets = sets.join(ends.withColumnRenamed("token", "name"), "name", "left_semi").groupBy("name").agg(F.min("shingles").alias("shingles"))
+        found = stored(similar_pairs(stored(sets), pairs, similarity))
+        wanted.unpersist()
+        return scratch.keep(found)
 
 
 def similar_groups(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

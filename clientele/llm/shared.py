@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,12 +15,60 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(frame: DataFrame) -> DataFrame:
+class Scratch:
+    """A scope of stored tables: when it ends they are deleted, but for those kept, which pass to the scope around it.
+
+    What has been computed from a table must be stored, or returned with the table kept, before its scope ends. Outside
+    of any scope tables stay. Shuffle files of finished steps go when the driver collects its garbage; the end of a scope
+    makes it do so, as they would otherwise stay for as long as the driver has memory to spare.
+    """
+
+    _open: list["Scratch"] = []
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark, self._folders, self._kept = spark, [], set()
+
+    def __enter__(self) -> "Scratch":
+        Scratch._open.append(self)
+        return self
+
+    def keep(self, frame: DataFrame) -> DataFrame:
+        self._kept.add(frame.scratch)
+        return frame
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete tables of this scope that nothing needs any more."""
+        for frame in frames:
+            self._folders.remove(frame.scratch)
+            _delete(self._spark, frame.scratch)
+
+    def __exit__(self, *problem) -> None:
+        Scratch._open.remove(self)
+        around = Scratch._open[-1] if Scratch._open else None
+        for folder in self._folders:
+            if folder not in self._kept:
+                _delete(self._spark, folder)
+            elif around is not None:
+                around._folders.append(folder)
+        gc.collect()
+        self._spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(frame: DataFrame, codec: str | None = None) -> DataFrame:
     """Write a frame once below the shared checkpoint folder and read it back: lineage ends here, and a lost executor
-    costs a re-read instead of a re-run."""
+    costs a re-read instead of a re-run. In a ``Scratch`` scope the table goes with the scope."""
     folder = scratch_folder(frame.sparkSession)
-    frame.write.parquet(folder)
-    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+    (frame.write.option("compression", codec) if codec else frame.write).parquet(folder)
+    table = frame.sparkSession.read.schema(frame.schema).parquet(folder)
+    table.scratch = folder
+    if Scratch._open:
+        Scratch._open[-1]._folders.append(folder)
+    return table
 
 
 def fresh_name(frame: DataFrame, base: str) -> str:
