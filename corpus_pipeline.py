@@ -9,14 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm.components import connected
 from clientele.llm.decontaminate import find_contamination, is_contaminated
-from clientele.llm.near_text import similar_links
+from clientele.llm.near_copies import without_near_copies
 from clientele.llm.packing import pack_documents
 from clientele.llm.quality import statistics_table, train_quality, with_quality
 from clientele.llm.secret_scan import without_secrets
-from clientele.llm.shared import fresh_name, read_table, stored
-from clientele.llm.simhash import mark_components, with_fingerprint
+from clientele.llm.shared import Scratch, fresh_name, read_table, stored
 
 # Rows below this score go.
 QUALITY_BAR = 0.5
@@ -42,31 +40,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     five-word shingles have a similarity of 0.8 or more; groups are what such links of all rows connect. Equal texts are
     one row before texts are compared. Texts without words are one group.
     """
-    mark, node, root = fresh_name(docs, "mark"), fresh_name(docs, "node"), fresh_name(docs, "root")
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    row = F.struct(F.col("doc_id"), *[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
-    least = docs.groupBy(digest.alias("digest")).agg(F.min(row).alias("row"))
-    distinct = with_fingerprint(least.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]), "text", mark)
-    distinct = stored(distinct.withColumn(node, F.monotonically_increasing_id()))
-
-    # Texts of one SimHash component are one label; similar texts link labels.
-    roots = stored(mark_components(stored(distinct.select(F.col(mark).alias("mark")).distinct())))
-    texts = distinct.select(F.col(mark).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    groups = stored(connected(similar_links(texts, roots.select(F.col("mark").alias("node"), F.col("root").alias("label")))))
-    joined = roots.withColumnRenamed("root", "label").join(groups.withColumnRenamed("node", "label"), "label", "left")
-    final = stored(joined.select(F.col("mark").alias(mark), F.coalesce("root", "label").alias(root)))
-
-    # The smallest id decides; the other columns only where rows of one group have the same id.
-    known = stored(distinct.select(F.col(node).alias("node"), F.col(mark), F.col("doc_id").alias("id")).join(final, mark).drop(mark))
-    first = stored(known.groupBy(root).agg(F.min(F.struct("id")).alias("first")))
-    tied = stored(known.join(first, root).filter(F.col("id").eqNullSafe(F.col("first.id"))).select("node", root))
-    several = stored(tied.groupBy(root).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(root))
-    drawn = stored(tied.join(several, root, "left_semi").select(F.col("node").alias(node), F.col(root)))
-    least = distinct.join(drawn, node).groupBy(root).agg(F.min(F.struct(row.alias("row"), F.col(node).alias("node"))).alias("first"))
-    stays = stored(tied.join(several, root, "left_anti").select("node").unionByName(least.select("first.node")))
-    goes = stored(known.join(stays, "node", "left_anti").select(F.col("node").alias(node)))
-    return distinct.join(goes, node, "left_anti").select(*columns)
+    return without_near_copies(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -105,6 +79,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    with Scratch(spark) as scratch:
+        for i, (_, stage) in enumerate(STAGES[:-1]):
+            with Scratch(spark) as own:
+                kept = own.keep(stored(stage(spark, docs, sf_dir)))
+            if i:
+                scratch.drop(docs)
+            docs = kept
+        scratch.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
