@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from clientele.errors import DataProblem
 from clientele.functions.coerce import NUMBER_TEXT, quoted
 from clientele.functions.names import unique_headers
-from clientele.session import RUNTIME_SETTINGS
+from clientele.session import RUNTIME_SETTINGS, scratch_folder
 from clientele.sources.records import file_records
+from clientele.sources.structure import list_records, object_keys
 
 SUFFIXES = (".csv", ".json", ".jsonl", ".parquet")
 ONLY_TABLE = "customers"
@@ -215,7 +216,8 @@ def _with_types(table: DataFrame, surplus: str) -> DataFrame:
 def read_json(spark: SparkSession, source: str, schema: T.StructType | str | None = None) -> dict[str, DataFrame]:
     """JSON in one of these shapes: list of records, object of named record lists, column-oriented object, JSON lines.
 
-    A single JSON document is parsed by one task; large data should come as JSON lines or Parquet.
+    A list is cut into its records by many tasks (``structure.py``), which are written once as JSON lines below the
+    shared checkpoint folder and read from there. An object is parsed by one task.
     """
     text = spark.read.text(source).filter(F.trim("value") != "")
     lines = _prefix(text, SNIFFED_LINES)
@@ -223,12 +225,11 @@ def read_json(spark: SparkSession, source: str, schema: T.StructType | str | Non
         raise DataProblem("The file is empty.")
     start = "\n".join(lines).lstrip("\ufeff \t\r\n")
     if start.startswith("["):
-        records = _parse(spark, source, True, schema)
-        return {ONLY_TABLE: _ordered(records, _first_keys(text, "["))}
+        return {ONLY_TABLE: _read_list(spark, source, schema)}
     if len(lines) > 1 and all(_is_object(line.lstrip("\ufeff")) for line in lines[:2]):
         return {ONLY_TABLE: _ordered(_parse(spark, source, False, schema), _first_keys(text))}
     document = _parse(spark, source, True, None)
-    keys = _first_keys(text) or document.columns
+    keys = object_keys(spark, source) or document.columns
     document = _ordered(document, keys, rename=False)
     if not any(isinstance(f.dataType, (T.ArrayType, T.StructType)) for f in document.schema.fields):
         return {ONLY_TABLE: _ordered(_parse(spark, source, True, schema), keys)}  # a single record
@@ -244,6 +245,21 @@ def read_json(spark: SparkSession, source: str, schema: T.StructType | str | Non
     return {ONLY_TABLE: _columns_to_rows(spark, source, document)}
 
 
+def _read_list(spark: SparkSession, source: str, schema) -> DataFrame:
+    folder = scratch_folder(spark)
+    list_records(spark, source).write.parquet(f"{folder}-records")
+    records = spark.read.parquet(f"{folder}-records")
+    first = records.orderBy("path", "start", "ordinal").select("record").first()
+    if first is None:
+        return _parse(spark, source, True, schema)
+    records.select(F.col("record").alias("value")).write.text(folder)
+    try:
+        keys = list(json.loads(first["record"]))
+    except ValueError as problem:
+        raise DataProblem("The file is not valid JSON.") from problem
+    return _ordered(_parse(spark, folder, False, schema), keys)
+
+
 def _parse(spark: SparkSession, source: str, whole: bool, schema) -> DataFrame:
     reader = spark.read.option("multiLine", whole).option("mode", "FAILFAST").option("dropFieldIfAllNull", "false")
     if schema is not None:
@@ -265,24 +281,13 @@ def _prefix(text: DataFrame, count: int) -> list[str]:
     return [row["value"] for row in text.select(F.left("value", F.lit(LINE_PREFIX)).alias("value")).limit(count).collect()]
 
 
-def _first_keys(text: DataFrame, opening: str = "") -> list[str]:
-    """Key order of the first object; Spark itself sorts keys by name.
-
-    The prefix doubles until that object closes, so the order does not depend on how many lines it takes. Only an object
-    that goes on beyond ``LINE_PREFIX`` characters of a line, or over more than a million lines, keeps Spark's order.
-    """
-    count = SNIFFED_LINES
-    while count <= 1 << 20:
-        lines = _prefix(text, count)
-        start = "\n".join(lines).lstrip("\ufeff \t\r\n").removeprefix(opening).lstrip()
-        try:
-            value, _ = json.JSONDecoder().raw_decode(start)
-            return list(value) if isinstance(value, dict) else []
-        except ValueError:
-            if len(lines) < count:
-                return []
-            count *= 4
-    return []
+def _first_keys(text: DataFrame) -> list[str]:
+    """Key order of the first of JSON lines; Spark itself sorts keys by name."""
+    first = text.select("value").first()
+    try:
+        return list(json.loads(first["value"].lstrip("\ufeff")))
+    except ValueError:
+        return []
 
 
 def _ordered(table: DataFrame, keys: list[str], rename: bool = True) -> DataFrame:

@@ -108,6 +108,16 @@ def opening_states(lines: DataFrame, quotes: Quotes) -> DataFrame:
     return counted.select(F.col("path").alias(PATH), F.col("start").alias(START), (state != odd).alias("open"))
 
 
+def with_facts(lines: DataFrame, facts: DataFrame, most: int = BROADCAST_STRETCHES) -> DataFrame:
+    """Lines (or pieces) in file order, with what is known of their stretch. Facts of up to ``most`` stretches are
+    worked out once and broadcast; more of them are joined by a shuffle, after which the lines are put in order again."""
+    known = facts.limit(most + 1).collect()
+    if len(known) > most:
+        return lines.join(facts.hint("shuffle_hash"), [PATH, START]).sortWithinPartitions(PATH, START, LINE)
+    small = lines.sparkSession.createDataFrame([tuple(r) for r in known], facts.schema)
+    return lines.join(F.broadcast(small), [PATH, START])
+
+
 RECORDS = "kind int, path string, start long, place int, ordinal long, record string"
 WHOLE, FRAGMENT = 0, 1
 
@@ -162,17 +172,7 @@ def file_records(spark: SparkSession, source: str, delimiter: str, line_end: str
     """
     quotes = Quotes(delimiter)
     lines = numbered_lines(spark, source, line_end)
-    states = opening_states(lines, quotes).cache()
-    try:
-        few = states.count() <= most_broadcast
-        known = [tuple(r) for r in states.collect()] if few else None
-    finally:
-        states.unpersist()
-    if few:
-        small = spark.createDataFrame(known, f"{PATH} string, {START} long, open boolean")
-        cut = lines.join(F.broadcast(small), [PATH, START])
-    else:
-        cut = lines.join(opening_states(lines, quotes), [PATH, START]).sortWithinPartitions(PATH, START, LINE)
+    cut = with_facts(lines, opening_states(lines, quotes), most_broadcast)
     rows = cut.select(PATH, START, LINE, "value", "open").mapInArrow(lambda b: _record_rows(b, quotes, line_end), RECORDS)
     first = (F.col("start") == 0) & (F.col("ordinal") == 0)
     whole = rows.filter(F.col("kind") == WHOLE).select("record", first.alias("first"))

@@ -211,3 +211,39 @@ def test_quoted_line_breaks_are_read_by_many_tasks(spark, tmp_path, end, few):
     quotes = Quotes(",")
     assert [quotes.open_after(t, False) for t in ('a,"b', 'a"b', '"a""', '"a"x"', '"a",  "b', "a")] == [True, False, True, False, True, False]
     assert quotes.open_after("a", True) and not quotes.open_after('b",c', True) and quotes.open_after('b","c', True)
+
+
+def test_a_document_of_one_line_is_read_by_many_tasks(spark, tmp_path):
+    import json
+    import random
+
+    from clientele.sources.files import read_json
+    from clientele.sources.structure import RECORD_END, list_records, object_keys, structured_pieces
+
+    rng = random.Random(7)
+    text = lambda: "".join(rng.choice(["a", "}", "{", "[", "]", ",", '"', "\\", "é", "\n", ":"]) for _ in range(rng.choice([0, 2, 60])))
+    rows = [{"zeta": i, "alpha": text(), "mid": {"x": [1, 2], "y": text()}} for i in range(1500)]
+    (tmp_path / "list.json").write_text(json.dumps(rows, ensure_ascii=False))
+    (tmp_path / "pretty.json").write_text("﻿" + json.dumps(rows[:300], indent=2))
+    (tmp_path / "columns.json").write_text(json.dumps({"zeta": [r["zeta"] for r in rows], 'a "quoted", key': [r["alpha"] for r in rows], "mid": [1] * len(rows)}))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert structured_pieces(spark, str(tmp_path / "list.json"), RECORD_END).select("__start").distinct().count() > 20
+        found = list_records(spark, str(tmp_path / "list.json")).orderBy("path", "start", "ordinal").collect()
+        assert [json.loads(r["record"]) for r in found] == rows
+        for name, n in (("list", 1500), ("pretty", 300)):
+            table = read_json(spark, str(tmp_path / f"{name}.json"))["customers"]
+            assert table.columns == ["zeta", "alpha", "mid"] and table.count() == n
+            assert {(r["zeta"], r["alpha"], r["mid"]["y"]) for r in table.collect()} == {(r["zeta"], r["alpha"], r["mid"]["y"]) for r in rows[:n]}
+        assert object_keys(spark, str(tmp_path / "columns.json")) == ["zeta", 'a "quoted", key', "mid"]
+        columns = read_json(spark, str(tmp_path / "columns.json"))["customers"]
+        assert columns.columns[0] == "zeta" and columns.columns[2] == "mid" and columns.count() == 1500
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    for k, broken in enumerate(['[{"a": 1}, {"a": ', '[{"a": 1} x]', '[{"a": 1}, 5]', "[1, 2"]):
+        (tmp_path / f"broken{k}.json").write_text(broken)
+        with pytest.raises(DataProblem):
+            read_json(spark, str(tmp_path / f"broken{k}.json"))["customers"].collect()
