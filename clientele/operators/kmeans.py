@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from clientele.errors import DataProblem
 from clientele.functions.geometry import INLINE_TERMS, with_distances
-from clientele.operators.fits import Fit, FitSettings, check_k, check_realized, subsample_mask
+from clientele.operators.fits import Fit, FitSettings, check_k, check_realized, with_subsamples
 from clientele.operators.seeds import candidates, settle, spread_seeds
 
 POINT = "point"
 NUMBERS_PER_PASS = 200_000  # centre coordinates advanced together
 CELLS_PER_BLOCK = 4_000_000  # distances a task holds at a time
+FEW_TASKS = 64  # whose arrays the driver adds itself
+MEETING = 1e-2  # share of the convergence tolerance within which two starts are one
 CANDIDATES_PER_GROUP = 20
 LEAST_CANDIDATES = 200
 
@@ -56,12 +58,13 @@ class _Start:
     centres: np.ndarray
     result: Partition | None = None
     slack: float = 1.0  # allowed shift, in tolerances
+    ahead: "_Start | None" = None  # the start that this one has met
 
 
 def points_table(frame: DataFrame, subsamples: int = 0, seed: int = 42) -> DataFrame:
     """Rows as arrays, with one membership column per stability subsample."""
-    masks = [subsample_mask(r, seed).alias(f"in_{r}") for r in range(subsamples)]
-    return frame.select("id", vector_to_array("features").alias(POINT), *masks)
+    frame = with_subsamples(frame, subsamples, seed)
+    return frame.select("id", vector_to_array("features").alias(POINT), *[f"in_{r}" for r in range(subsamples)])
 
 
 def distinct_starts(
@@ -161,8 +164,9 @@ def _merged(one: np.ndarray | None, other: np.ndarray, tail: int) -> np.ndarray:
 
 def added(partials: DataFrame, owners: int, tail: int = 0) -> list[np.ndarray]:
     """Sums of the tasks' arrays per owner: first within about the square root of the tasks' number of groups, then on
-    the driver, which sees one array per group and owner."""
+    the driver, which sees one array per group and owner. The arrays of a few tasks go to the driver at once."""
     merge = _merged
+    tasks = partials._jdf.queryExecution().toRdd().getNumPartitions()
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
@@ -175,10 +179,12 @@ def added(partials: DataFrame, owners: int, tail: int = 0) -> list[np.ndarray]:
                 [pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.list_(pa.float64()))], ["owner", "numbers"]
             )
 
-    tasks = partials.sparkSession.sparkContext.defaultParallelism
-    groups = max(1, math.isqrt(tasks))
-    grouped = partials.withColumn("bunch", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition(F.col("owner"), F.col("bunch"))
-    table = grouped.select("owner", "numbers").mapInArrow(add, OWNER_SCHEMA).toArrow()
+    if tasks <= FEW_TASKS:
+        table = partials.toArrow()
+    else:
+        groups = math.isqrt(tasks)
+        grouped = partials.withColumn("bunch", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition(F.col("owner"), F.col("bunch"))
+        table = grouped.select("owner", "numbers").mapInArrow(add, OWNER_SCHEMA).toArrow()
     found: list[np.ndarray | None] = [None] * owners
     order = np.argsort(table.column("owner").to_numpy(), kind="stable")
     lists = table.column("numbers").combine_chunks()
@@ -188,6 +194,20 @@ def added(partials: DataFrame, owners: int, tail: int = 0) -> list[np.ndarray]:
     return found
 
 
+def met(starts: Sequence[_Start], tolerance: float) -> list[_Start]:
+    """Starts of one fit whose centres have come together, but for what convergence allows, go on as one."""
+    left: dict[tuple, list[tuple[_Start, np.ndarray]]] = {}
+    for start in starts:
+        own = start.centres[np.lexsort(start.centres.T[::-1])]
+        for other, centres in left.setdefault(start.key, []):
+            if ((own - centres) ** 2).sum() <= MEETING * tolerance * start.slack:
+                start.ahead = other
+                break
+        else:
+            left[start.key].append((start, own))
+    return [start for held in left.values() for start, _ in held]
+
+
 def polish(points: DataFrame, starts: Sequence[_Start], tolerance: float, max_iterations: int) -> None:
     """Advance all starts to convergence; each pass over the table serves every unfinished start."""
     waves: list[list[_Start]] = [[]]
@@ -211,7 +231,12 @@ def polish(points: DataFrame, starts: Sequence[_Start], tolerance: float, max_it
                 if not done:
                     start.centres = moved
                     unfinished.append(start)
-            active = unfinished
+            active = met(unfinished, tolerance)
+        for start in wave:
+            last = start
+            while last.ahead is not None:
+                last = last.ahead
+            start.result = last.result
 
 
 def fit_partitions(

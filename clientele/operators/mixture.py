@@ -211,7 +211,7 @@ def fit_mixtures(
         if isinstance(found, DataProblem):
             results[key] = found
             continue
-        whole = [p for p in found if p.realized == key[0]][: settings.gmm_starts]
+        whole = different([p for p in found if p.realized == key[0]])[: settings.gmm_starts]
         if not whole:
             results[key] = DataProblem(f"The fit produced {found[0].realized} distinct groups instead of the requested {key[0]}.")
         climbs += [_Climb(key, key[1], p.centres, sizes[key[1]]) for p in whole]
@@ -223,6 +223,15 @@ def fit_mixtures(
     return results
 
 
+def different(partitions: Sequence[Partition]) -> list[Partition]:
+    """Partitions, cheapest first, without those that ended where another did: the starts of a mixture are distinct."""
+    kept: list[Partition] = []
+    for own in partitions:
+        if all(abs(own.cost - other.cost) > 1e-6 * max(other.cost, 1e-12) for other in kept):
+            kept.append(own)
+    return kept
+
+
 def _outcome(k: int, climbs: Sequence[_Climb], settings: FitSettings) -> Fit | DataProblem:
     usable = [c for c in climbs if not c.failed]
     if not usable:
@@ -250,7 +259,7 @@ def _outcome(k: int, climbs: Sequence[_Climb], settings: FitSettings) -> Fit | D
     def posterior(table: DataFrame, name: str) -> DataFrame:
         return table.withColumn(name, most_likely(vector_to_array("features")).getField("share"))
 
-    return Fit("gmm", k, label, posterior, float(best.likelihood), f"{settings.gmm_starts} starts")
+    return Fit("gmm", k, label, posterior, float(best.likelihood), f"{len(climbs)} start{'s'[: len(climbs) != 1]}")
 
 
 def fit_gmm(frame: DataFrame, rows: int, k: int, seed: int, settings: FitSettings, columns: int) -> Fit:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from clientele.errors import DataProblem
 from clientele.operators.eigen import Eigen, Graph, affinity, leading_eigenvectors
-from clientele.operators.fits import Fit, FitSettings, check_k, check_realized, subsample_mask
+from clientele.operators.fits import Fit, FitSettings, check_k, check_realized, with_subsamples
 from clientele.operators.kmeans import distinct_rows, fit_partitions, landmark_weights, nearest_centre, points_table
 from clientele.operators.seeds import candidates
 
@@ -71,6 +71,7 @@ class SpectralEmbedding:
     """Graph or landmarks of one prepared table, with fits on the full table and on its stability subsamples."""
 
     def __init__(self, frame: DataFrame, rows: int, seed: int, settings: FitSettings, repeats: int = 0):
+        frame = with_subsamples(frame, repeats, seed)
         self._frame, self._rows, self._seed, self._settings = frame, rows, seed, settings
         self._sets: list[int | None] = [None, *range(repeats)]
         self._eigen: dict[int | None, Eigen] = {}
@@ -107,7 +108,7 @@ class SpectralEmbedding:
     def fits(self, counts: Sequence[int], repeat: int | None = None) -> dict[int, Fit | DataProblem]:
         """One fit per segment count. The embedding is computed once for all of them and dropped afterwards."""
         points = self._points[repeat]
-        table = self._frame if repeat is None else self._frame.filter(subsample_mask(repeat, self._seed))
+        table = self._frame if repeat is None else self._frame.filter(f"in_{repeat}")
         most = min(max(counts), len(points))
         embed = _embedding(self._basis(repeat, most))
         embedded = table.select("id", embed(vector_to_array("features")).alias(EMBEDDED))

@@ -22,7 +22,7 @@ from clientele.operators.fits import (
     Fit,
     FitSettings,
     check_k,
-    subsample_mask,
+    with_subsamples,
 )
 from clientele.operators.kmeans import fit_partitions, partition_fit
 from clientele.operators.mixture import fit_mixtures, information_criteria
@@ -156,6 +156,7 @@ def fit_grid(
     mixtures. Methods run from separate driver threads so that their jobs overlap.
     """
     found = CandidateFits({}, {})
+    frame = with_subsamples(frame, repeats, seed)
     everywhere = [None, *range(repeats)]
     wanted = [(k, subsample) for subsample in everywhere for k in counts]
 
@@ -170,7 +171,7 @@ def fit_grid(
             return make()
         except DataProblem as problem:
             return problem
-        except (ValueError, np.linalg.LinAlgError):
+        except np.linalg.LinAlgError:
             return DataProblem("Its covariances or distances could not be computed.")
 
     def centre_methods() -> None:
@@ -182,7 +183,7 @@ def fit_grid(
                     fit = guarded(lambda: partition_fit(outcome[0], k, f"{settings.kmeans_starts} starts"))
                 store("kmeans", k, subsample, fit)
         if "gmm" in algorithms:
-            counted = frame.agg(*[F.count_if(subsample_mask(r, seed)).alias(f"n{r}") for r in range(repeats)]).first() if repeats else {}
+            counted = frame.agg(*[F.count_if(f"in_{r}").alias(f"n{r}") for r in range(repeats)]).first() if repeats else {}
             sizes = {None: rows, **{r: counted[f"n{r}"] for r in range(repeats)}}
             for (k, subsample), fit in fit_mixtures(
                 frame, wanted, sizes, columns, seed, settings, repeats, partitions
@@ -245,7 +246,6 @@ def grid_stability(
     label_columns: dict[tuple[str, int], str],
     refits: dict[tuple[str, int, int], Fit | DataProblem],
     repeats: int,
-    seed: int,
 ) -> dict[tuple[str, int], tuple[float, float, int]]:
     """Per candidate the mean and spread of its agreement with refits on 80 % subsamples, and how many refits worked.
 
@@ -262,7 +262,7 @@ def grid_stability(
                     continue
                 again = f"r{k}_{repeat}"
                 table = refit.label(table, again)
-                table = table.withColumn(again, F.when(subsample_mask(repeat, seed), F.col(again)))
+                table = table.withColumn(again, F.when(F.col(f"in_{repeat}"), F.col(again)))
                 pairs[f"{k}|{repeat}"] = (name, again)
         for row in D.pair_agreement(table, pairs).collect() if pairs else []:
             scores[(algorithm, int(row["pair"].split("|")[0]))].append(row["ari"])
@@ -301,6 +301,7 @@ def compare_solutions(
     if columns > rules.MAX_MODEL_COLUMNS:
         raise DataProblem(f"A comparison takes {rules.MAX_MODEL_COLUMNS} model columns at most.")
     repeats = max(2, stability_repeats)
+    frame = with_subsamples(frame, repeats, seed)
     counts = [k for k in sorted(set(k_values)) if k < rows]
     grid = [(algorithm, k) for algorithm in algorithms for k in counts]
     found = fit_grid(frame, rows, columns, algorithms, counts, repeats, seed, settings, threads)
@@ -319,7 +320,7 @@ def compare_solutions(
     labels = frame
     for candidate, name in label_columns.items():
         labels = fits[candidate].label(labels, name)
-    labels = durable(labels.select("id", "features", *label_columns.values()))
+    labels = durable(labels.select("id", "features", *[f"in_{r}" for r in range(repeats)], *label_columns.values()))
 
     separation = D.silhouettes(labels, list(label_columns.values()), seed=seed)
     peers = {
@@ -339,7 +340,8 @@ def compare_solutions(
     columns_of = [label_columns[candidate] for candidate in scored]
     statistics_of = D.grouped_statistics(labels, columns_of) if scored else {}
     spread_of = D.grouped_spread(labels, statistics_of) if scored else {}
-    stability_of = grid_stability(labels, {c: label_columns[c] for c in scored}, found.refits, repeats, seed)
+    stability_of = grid_stability(labels, {c: label_columns[c] for c in scored}, found.refits, repeats)
+    labels = labels.drop(*[f"in_{r}" for r in range(repeats)])
 
     evaluated = []
     for candidate in scored:

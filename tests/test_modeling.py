@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clientele.errors import DataProblem
 from clientele.operators import diagnostics as D
-from clientele.operators.fits import FitSettings
+from clientele.operators.fits import FitSettings, smallest_draws, subsample_size, with_subsamples
 from clientele.operators.kmeans import fit_kmeans
 from clientele.operators.solution import describe_solution
 from clientele.operators.eigen import Graph, affinity, leading_eigenvectors
@@ -264,3 +264,26 @@ def test_default_grid():
     assert plan_grid(600, k_values=[9]).warnings
     with pytest.raises(DataProblem):
         plan_grid(600, k_values=[51])
+
+
+def test_subsamples_hold_exactly_their_share(spark):
+    frame = prepared(spark, np.random.default_rng(2).normal(size=(997, 2)))
+    drawn = with_subsamples(frame, 3, 42)
+    assert [drawn.filter(f"in_{r}").count() for r in range(3)] == [798] * 3
+    again = with_subsamples(frame.repartition(5), 3, 42)
+    for r in range(3):
+        own = {x["id"] for x in drawn.filter(f"in_{r}").select("id").collect()}
+        assert own == {x["id"] for x in again.filter(f"in_{r}").select("id").collect()}
+    ids = frame.select("id")
+    draws = sorted(x[0] for x in ids.select(F.xxhash64(F.col("id").cast("string"), F.lit(42), F.lit(1))).collect())
+    assert smallest_draws(frame, 2, 42, 500, few=4)[1] == draws[499]
+    assert [r for r in (subsample_size(2), subsample_size(30), subsample_size(1))] == [1, 24, 0]
+
+
+def test_starts_that_meet_go_on_as_one(spark):
+    from clientele.operators.kmeans import _Start, met
+
+    one, other = np.array([[0.0, 0], [5, 5]]), np.array([[5.0, 5], [0, 1e-9]])
+    starts = [_Start(("a",), None, c) for c in (one, other, one + 1)] + [_Start(("b",), None, one)]
+    left = met(starts, 1e-4)
+    assert left == [starts[0], starts[2], starts[3]] and starts[1].ahead is starts[0]
