@@ -143,7 +143,13 @@ def shared_prefixes(texts: DataFrame, labels: DataFrame, counts, shingle: int, s
         # Copies of one set count as several here, and different shingles can share a slot: the labels decide below.
         twice = texts.sparkSession.sparkContext.broadcast(np.packbits(slot_counts(made, PREFIX_SLOTS, np.uint8) > 1))
         rows = made.filter("chunk is null").select(*PREFIX_NAMES[:6]).mapInArrow(lambda b: _passing_rows(b, twice), f"token long, {own}")
-        return scratch.keep(of_two_labels(stored(rows.distinct().join(labels, "name"))))
+        # Two numbers a row until it is known which shingles two sets share; what a set adds to its rows comes after that.
+        rows = stored(rows.select("token", "name").distinct())
+        several = rows.groupBy("token").agg(F.min("name").alias("low"), F.max("name").alias("high")).filter("low <> high")
+        shared = stored(rows.join(several.select("token"), "token", "left_semi"))
+        scratch.drop(rows)
+        facts = made.filter("chunk is null").select(*PREFIX_NAMES[1:6]).distinct()
+        return scratch.keep(of_two_labels(stored(shared.join(labels, "name").join(facts, "name"))))
 
 
 def of_two_labels(rows: DataFrame) -> DataFrame:
