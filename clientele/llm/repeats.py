@@ -527,9 +527,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).cast("long").alias("key"), text_or_empty(F.col(text)).alias("text"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = partitions_for(docs.sparkSession, volume, BYTES_PER_PARTITION)
-    # The one exchange of the texts; all three uses below have it in common.
-    closed = [rows.filter(f"key is {which}").mapInArrow(_closed, "key long, size long, body binary") for which in ("not null", "null")]
-    texts = closed[0].repartition(parts, "key")
+    # The exchange of the texts is one: all three uses below have it in common.
+    # Written once: an exchange can only serve several uses if no Python stands below it.
+    closed = stored(rows.mapInArrow(_closed, "key long, size long, body binary"), "none")
+    texts = closed.filter("key is not null").repartition(parts, "key")
     copies = exact_copies(rows.filter("key is not null"))
     buckets = max(BUCKETS, -(-volume // BYTES_PER_BUCKET))
     runs = repeated_spans(texts, copies, parts, buckets, length, gram).groupBy("doc").agg(F.collect_set(F.struct("start", "past")).alias("runs"))
@@ -538,6 +539,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     removed = F.when(F.col("copy").isNotNull() & (F.col("size") >= length), whole).otherwise(F.coalesce("runs", none))
     joined = texts.join(runs, F.col("key") == F.col("doc"), "left").join(copies, F.col("key") == F.col("copy"), "left")
     joined = joined.select("key", "size", "body", removed.alias("runs"))
-    full = joined.unionByName(closed[1].withColumn("runs", none))
+    full = joined.unionByName(closed.filter("key is null").withColumn("runs", none))
     schema = "key long, n_bytes long, n_removed long, removed array<struct<start:long,past:long>>, kept binary"
     return full.mapInArrow(lambda b: _cut_rows(_opened(b)), schema).select(F.col("key").cast(kind).alias(doc_id), "n_bytes", "n_removed", "removed", "kept")
