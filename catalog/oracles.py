@@ -573,7 +573,7 @@ ORACLES["json_named_lists"] = """
 SELECT t AS "table", CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region, (VALUES ('again'), ('suppliers')) v(t)"""
 ORACLES["json_one_record"] = """
 SELECT count(*) AS orders, max(o_orderpriority) AS "last", min(o_orderkey) AS "first" FROM orders"""
-ORACLES["json_columns"] = "SELECT CAST(s_suppkey AS BIGINT) AS key, s_name AS name FROM supplier"
+ORACLES["json_columns"] = "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name FROM nation"
 ORACLES["csv_semicolon_multiline"] = f"""
 SELECT c_custkey, 'said; "' || c_mktsegment || '"' || chr(10) || 'and left ' || c_name AS note, {r6("c_acctbal", "balance")} FROM customer"""
 ORACLES["folder_of_tables"] = """
@@ -639,3 +639,6 @@ best AS (SELECT a.i AS i, b.i AS j FROM line a, line b, ends e WHERE a.i < b.i A
 parts AS (SELECT x, CASE WHEN line.i <= best.i THEN 0 WHEN line.i <= best.j THEN 1 ELSE 2 END AS part FROM line, best),
 sums AS (SELECT count(*) AS customers, min(x) AS low, max(x) AS high, var_pop(x) * count(*) AS cost FROM parts GROUP BY part)
 SELECT 'Segment ' || CAST(row_number() OVER (ORDER BY customers DESC) AS VARCHAR) AS segment, customers, {r6("low", "low")}, {r6("high", "high")}, {r6("cost", "cost")} FROM sums"""
+ORACLES["subsample_sizes"] = """
+WITH drawn AS (SELECT count(*) AS n, least(count(*) - 1, CAST(round_even(0.8 * count(*), 0) AS BIGINT)) AS m FROM customer)
+SELECT n AS customers, m AS drawn_0, m AS drawn_1, m AS drawn_2, true AS differ FROM drawn"""

@@ -27,7 +27,7 @@ from clientele.operators import diagnostics as D
 from clientele.operators import prepare as P
 from clientele.operators import profile as T
 from clientele.operators import solution as S
-from clientele.operators.fits import FitSettings
+from clientele.operators.fits import FitSettings, with_subsamples
 from clientele.operators.rfm import build_rfm
 from clientele.operators.ward import WardHierarchy
 from clientele.plans.compare import compare_solutions, fit_candidate, fit_solution, ready
@@ -759,9 +759,11 @@ def _document(spark, frame: DataFrame, order: str, text) -> str:
 
 @query
 def json_list(spark, sf_dir):
-    """Parts as one JSON list of records, loaded again: key order and values survive."""
+    """Parts as JSON lists of records, a file per thousand keys, loaded again: key order and values survive."""
     parts = table(spark, sf_dir, "part").select("p_type", "p_partkey", F.col("p_retailprice").alias("a_price"))
-    folder = _document(spark, parts, "p_partkey", lambda t: F.concat(F.lit("[\n"), t, F.lit("]")))
+    folder = f"{scratch_folder(spark)}.json"
+    lists = parts.groupBy(F.floor(F.col("p_partkey") / 1000).alias("range")).agg(F.collect_list(F.struct(*parts.columns)).alias("rows"))
+    lists.select(F.to_json("rows").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
     back = load_data(spark, folder).tables["customers"]
     place = F.lit(",".join(back.columns))
     return back.select("p_partkey", "p_type", r6("a_price").alias("a_price"), place.alias("key_order"))
@@ -792,9 +794,9 @@ def json_one_record(spark, sf_dir):
 def json_columns(spark, sf_dir):
     """A column-oriented JSON object becomes rows."""
     folder = f"{scratch_folder(spark)}.json"
-    rows = F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name")))
-    packed = table(spark, sf_dir, "supplier").agg(rows.alias("r")).select(
-        F.to_json(F.struct(F.col("r.s_suppkey").alias("key"), F.col("r.s_name").alias("name"))).alias("value")
+    rows = F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")))
+    packed = table(spark, sf_dir, "nation").agg(rows.alias("r")).select(
+        F.to_json(F.struct(F.col("r.n_nationkey").alias("key"), F.col("r.n_name").alias("name"))).alias("value")
     )
     packed.coalesce(1).write.text(folder)
     return load_data(spark, folder).tables["customers"]
@@ -945,6 +947,17 @@ def compared(spark, sf_dir, algorithms=("kmeans", "hierarchical"), counts=(3, 4)
     return compare_solutions(prepared_rfm(spark, sf_dir), algorithms, counts, 4, settings=SETTINGS)
 
 
+@query
+def subsample_sizes(spark, sf_dir):
+    """Customers in each of three stability subsamples, and those that any two have in common or not."""
+    frame = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    drawn = with_subsamples(frame, 3, 42)
+    return drawn.agg(
+        F.count(F.lit(1)).alias("customers"), *[F.count_if(f"in_{r}").alias(f"drawn_{r}") for r in range(3)],
+        (F.count_if(F.col("in_0") != F.col("in_1")) > 0).alias("differ"),
+    )
+
+
 @query
 def compare_grid(spark, sf_dir):
     return compared(spark, sf_dir, ("kmeans", "gmm", "hierarchical"), (3, 4, 5)).diagnostics
