@@ -642,3 +642,4 @@ SELECT 'Segment ' || CAST(row_number() OVER (ORDER BY customers DESC) AS VARCHAR
 ORACLES["subsample_sizes"] = """
 WITH drawn AS (SELECT count(*) AS n, least(count(*) - 1, CAST(round_even(0.8 * count(*), 0) AS BIGINT)) AS m FROM customer)
 SELECT n AS customers, m AS drawn_0, m AS drawn_1, m AS drawn_2, true AS differ FROM drawn"""
+ORACLES["rfm_merged_slices"] = ORACLES["rfm_order_rollup"]

@@ -29,6 +29,7 @@ from clientele.operators import profile as T
 from clientele.operators import solution as S
 from clientele.operators.fits import FitSettings, with_subsamples
 from clientele.operators.rfm import build_rfm
+from clientele.operators.rollup_state import RollupState
 from clientele.operators.ward import WardHierarchy
 from clientele.plans.compare import compare_solutions, fit_candidate, fit_solution, ready
 from clientele.functions.names import unique_headers
@@ -84,6 +85,18 @@ def rfm_order_rollup(spark, sf_dir):
     return rounded_rfm(build_rfm(log, "o_custkey", "l_shipdate", "l_extendedprice", "l_orderkey", check=False))
 
 
+@query
+def rfm_merged_slices(spark, sf_dir):
+    """Order lines that arrive in three slices, by month of shipping: the state after the last equals one roll-up."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_extendedprice")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    log = lines.join(orders, "l_orderkey")
+    state = RollupState(spark, scratch_folder(spark))
+    for i in range(3):
+        state.add(log.filter(F.pmod(F.month("l_shipdate"), F.lit(3)) == i), "o_custkey", "l_shipdate", "l_extendedprice", "l_orderkey")
+    return rounded_rfm(state.rfm())
+
+
 @query
 def rfm_event_purchases(spark, sf_dir):
     log = table(spark, sf_dir, "events").filter("event_type = 'purchase'")

@@ -159,3 +159,28 @@ def test_preparation_guards(spark):
         prepare_features(frame, PreprocessConfig(("y",)))
     with pytest.raises(DataProblem, match="No basis"):
         prepare_features(frame, PreprocessConfig(()))
+
+
+def test_slices_of_a_log_add_up_to_one_roll_up(spark, tmp_path):
+    from clientele.operators.rollup_state import RollupState
+
+    rows = [("a", "2026-01-01", 10.0, "1"), ("a", "2026-01-02", 5.0, "1"), ("b", "2026-01-03", 7.0, "1"), ("a", "2026-02-01", -2.0, "2"),
+            ("c", "2026-02-02", 1.0, "9"), ("b", None, 3.0, "4"), (None, "2026-02-02", 3.0, "4"), ("a", "2026-02-03", 4.0, "1")]
+    log = spark.createDataFrame(rows, "who string, day string, paid double, bill string")
+    columns = ("who", "day", "paid", "bill")
+    state = RollupState(spark, str(tmp_path / "state"), buckets=4)
+    with pytest.raises(DataProblem):
+        state.rfm()
+    assert state.add(log.filter("day < '2026-02-01'"), *columns) == 1
+    (tmp_path / "state" / "rows-2").mkdir()  # what a failed run leaves behind
+    assert state.rows().count() == 2
+    assert state.add(log.filter("day >= '2026-02-01' or day is null"), *columns) == 2
+    whole = sorted(map(tuple, build_rfm(log, *columns).collect()))
+    assert sorted(map(tuple, state.rfm().collect())) == whole
+    assert sorted(map(tuple, state.rfm("2026-03-01").collect())) == sorted(map(tuple, build_rfm(log, *columns, "2026-03-01").collect()))
+    assert state.rows().agg({"lines": "sum"}).first()[0] == 6
+    with pytest.raises(DataProblem):
+        state.add(log.limit(0), *columns)
+    with pytest.raises(Exception, match="blank"):
+        state.add(spark.createDataFrame([("a", "2026-01-01", 1.0, " ")], "who string, day string, paid double, bill string"), *columns)
+    assert sorted(map(tuple, state.rfm().collect())) == whole
