@@ -469,15 +469,15 @@ def exact_copies(rows: DataFrame) -> DataFrame:
 
 
 def repeated_spans(
-    texts: DataFrame, copies: DataFrame, parts: int, buckets: int = BUCKETS, length: int = LENGTH, gram: int = GRAM
+    closed: DataFrame, texts: DataFrame, copies: DataFrame, parts: int, buckets: int = BUCKETS, length: int = LENGTH, gram: int = GRAM
 ) -> DataFrame:
     """(doc, start, past): byte runs whose ``length``-byte strings also start in a document with a smaller id.
 
-    ``texts`` holds (key long, not null; size, body) and is partitioned by key: it is read twice. Whole copies are left out:
+    ``closed`` holds (key long, not null; size, body); ``texts`` is the same, partitioned by key. Whole copies are left out:
     what they hold stands in their first document. Runs may overlap and touch; together they cover exactly what repeats.
     """
     blobs = "bucket int, blob binary"
-    own = texts.join(copies, F.col("key") == F.col("copy"), "left").select("key", "size", F.when(F.col("copy").isNull(), F.col("body")).alias("body"))
+    own = closed.join(copies, F.col("key") == F.col("copy"), "left").select("key", "size", F.when(F.col("copy").isNull(), F.col("body")).alias("body"))
     known = own.mapInArrow(lambda b: _anchor_rows(_opened(b), buckets, length, gram), blobs)
     shared = known.repartition(parts, "bucket").mapInArrow(_shared_rows, "doc long, code long")
     spots = shared.groupBy("doc").agg(F.collect_list("code").alias("spots"))
@@ -527,13 +527,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).cast("long").alias("key"), text_or_empty(F.col(text)).alias("text"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = partitions_for(docs.sparkSession, volume, BYTES_PER_PARTITION)
-    # The exchange of the texts is one: all three uses below have it in common.
-    # Written once: an exchange can only serve several uses if no Python stands below it.
+    # Written once: anchors are read from there, and the exchange of the texts can only serve its two uses if no Python
+    # stands below it.
     closed = stored(rows.mapInArrow(_closed, "key long, size long, body binary"), "none")
-    texts = closed.filter("key is not null").repartition(parts, "key")
+    keyed = closed.filter("key is not null")
+    texts = keyed.repartition(parts, "key")
     copies = exact_copies(rows.filter("key is not null"))
     buckets = max(BUCKETS, -(-volume // BYTES_PER_BUCKET))
-    runs = repeated_spans(texts, copies, parts, buckets, length, gram).groupBy("doc").agg(F.collect_set(F.struct("start", "past")).alias("runs"))
+    runs = repeated_spans(keyed, texts, copies, parts, buckets, length, gram).groupBy("doc").agg(F.collect_set(F.struct("start", "past")).alias("runs"))
     none = F.array().cast("array<struct<start:long,past:long>>")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("past")))
     removed = F.when(F.col("copy").isNotNull() & (F.col("size") >= length), whole).otherwise(F.coalesce("runs", none))
