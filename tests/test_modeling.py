@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from clientele.errors import DataProblem
 from clientele.operators import diagnostics as D
 from clientele.operators.fits import FitSettings, smallest_draws, subsample_size, with_subsamples
-from clientele.operators.kmeans import fit_kmeans
+from clientele.operators import line
+from clientele.operators.kmeans import fit_kmeans, fit_partitions, points_table
 from clientele.operators.solution import describe_solution
 from clientele.operators.eigen import Graph, affinity, leading_eigenvectors
 from clientele.operators.spectral import SpectralEmbedding
@@ -287,3 +288,30 @@ def test_starts_that_meet_go_on_as_one(spark):
     starts = [_Start(("a",), None, c) for c in (one, other, one + 1)] + [_Start(("b",), None, one)]
     left = met(starts, 1e-4)
     assert left == [starts[0], starts[2], starts[3]] and starts[1].ahead is starts[0]
+
+
+def test_one_column_gets_the_partition_of_least_cost(spark):
+    def cheapest(x, k):
+        x = np.sort(x)
+        s, q = np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(x * x)))
+        cost = lambda i, j: q[j] - q[i] - (s[j] - s[i]) ** 2 / (j - i)
+        known = [0.0] + [cost(0, j) for j in range(1, len(x) + 1)]
+        for _ in range(k - 1):
+            known = [np.inf] + [min([known[i] + cost(i, j) for i in range(1, j)], default=np.inf) for j in range(1, len(x) + 1)]
+        return known[-1]
+
+    values = np.repeat(np.round(np.random.default_rng(8).normal(size=40), 2), 6)
+    frame = prepared(spark, values[:, None])
+    found = fit_partitions(frame, [(k, None) for k in (2, 3, 5)], 42, FitSettings(kmeans_starts=1))
+    for (k, _), partitions in found.items():
+        assert abs(partitions[0].cost - cheapest(values, k)) < 1e-9 and partitions[0].counts.sum() == 240
+    few = fit_partitions(prepared(spark, [[1.0], [2.0], [2.0], [1.0]]), [(3, None), (2, None)], 42, FitSettings(), every=False)
+    assert isinstance(few[(3, None)], DataProblem) and few[(2, None)][0].cost == 0
+
+
+def test_many_buckets_are_narrowed_to_the_same_cuts(spark, monkeypatch):
+    frame = prepared(spark, np.random.default_rng(4).exponential(size=(900, 1)) ** 3)
+    whole = line.least_cost(points_table(frame), None, [2, 4])
+    monkeypatch.setattr(line, "BUCKETS", 16)
+    for k, (centres, cost, sizes) in line.least_cost(points_table(frame), None, [2, 4]).items():
+        assert np.allclose(centres, whole[k][0]) and abs(cost - whole[k][1]) < 1e-6 and (sizes == whole[k][2]).all()
