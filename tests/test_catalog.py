@@ -59,3 +59,11 @@ def test_hot_customer_is_rolled_up_like_any_other(spark):
     assert plan.count("partial_sum") == 2
     # Whatever else is asked for, the written roll-up is read, not the log.
     assert "Range" not in rolled._jdf.queryExecution().executedPlan().toString()
+
+
+def test_column_oriented_object_holds_every_supplier(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.range(700).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("Supplier "), F.col("id")).alias("s_name")).write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = queries()["json_columns"](spark, str(tmp_path)).collect()
+    assert sorted((r["key"], r["name"]) for r in rows) == [(i, f"Supplier {i}") for i in range(700)]
