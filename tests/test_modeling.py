@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from clientele.errors import DataProblem
 from clientele.operators import diagnostics as D
 from clientele.operators.fits import FitSettings, smallest_draws, subsample_size, with_subsamples
-from clientele.operators import line
+from clientele.operators import kmeans, line, spectral
 from clientele.operators.kmeans import fit_kmeans, fit_partitions, points_table
 from clientele.operators.solution import describe_solution
 from clientele.operators.eigen import Graph, affinity, leading_eigenvectors
@@ -326,3 +328,23 @@ def test_sample_by_hash_sorts_little_more_than_it_keeps(spark):
     text = D.first_by_hash(frame, "id", 42, 40)._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in text  # rows beyond the counted range do not reach the sort
     assert D.first_by_hash(frame.limit(0), "id", 42, 5).count() == 0
+
+
+def test_batch_functions_hold_a_block_at_a_time(spark):
+    rng = np.random.default_rng(0)
+    points = pd.Series(list(rng.normal(size=(10_000, 3))))
+    basis = spectral._Basis(rng.normal(size=(1000, 3)), np.ones(1000), rng.normal(size=(1000, 4)), 1 / 3)
+    for function in (spectral._embedding(basis).func, kmeans._nearest_in_batches(rng.normal(size=(2000, 3))).func):
+        tracemalloc.start()
+        whole = function(points)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 30_000_000 and len(whole) == 10_000 and not len(function(points[:0]))
+        assert np.allclose(np.vstack(whole[:40]), np.vstack(function(points[:40])))
+
+
+def test_ties_between_centres_count_once(spark):
+    points = points_table(prepared(spark, [[0.0], [1.0], [2.0], [1.0]]))
+    starts = [kmeans._Start((2, None), None, np.array([[0.0], [2.0]])), kmeans._Start((3, None), None, np.array([[1.0], [1.0], [5.0]]))]
+    (cost, counts, sums, _), (_, same, _, _) = kmeans._step(points, starts)
+    assert cost == 2 and counts.tolist() == [3, 1] and sums.tolist() == [[2], [2]] and same.tolist() == [4, 0, 0]
