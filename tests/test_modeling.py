@@ -1,6 +1,7 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
