@@ -189,7 +189,7 @@ def _with_types(table: DataFrame, surplus: str) -> DataFrame:
             F.struct(
                 F.count(F.lit(1)).alias("rows"),
                 F.count(value).alias("present"),
-                F.count_if(value.rlike(r"^\s*[+-]?\d{1,18}\s*$")).alias("whole"),
+                F.count_if(value.rlike(r"^\s*[+-]?\d+\s*$") & F.trim(value).try_cast("bigint").isNotNull()).alias("whole"),
                 F.count_if(value.rlike(NUMBER_TEXT) | value.rlike(infinite)).alias("number"),
                 F.count_if(value.isin("True", "TRUE", "true", "False", "FALSE", "false")).alias("truth"),
             ).alias(f"t{i}")

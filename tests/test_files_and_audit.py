@@ -46,6 +46,16 @@ def test_csv_line_breaks_surplus_cells_and_schema(spark, tmp_path):
     assert sorted(tuple(r) for r in load_data(spark, str(tmp_path / "own.csv")).tables["customers"].collect()) == [(1, "a\nb"), (2, "c")]
 
 
+def test_whole_numbers_of_nineteen_digits_keep_every_digit(spark, tmp_path):
+    ids = [9223372036854775807, -9223372036854775808, 1000000000000000001, 7]
+    frame = spark.createDataFrame([(i,) for i in ids], "id long")
+    E.write_csv(frame, str(tmp_path / "ids.csv"))
+    back = load_data(spark, str(tmp_path / "ids.csv")).tables["customers"]
+    assert dict(back.dtypes)["id"] == "bigint" and sorted(r["id"] for r in back.collect()) == sorted(ids)
+    beyond = load_data(spark, put(tmp_path, "beyond.csv", "id\n9223372036854775808\n1\n")).tables["customers"]
+    assert dict(beyond.dtypes)["id"] == "double" and beyond.count() == 2
+
+
 def test_json_key_order_and_single_records(spark, tmp_path):
     keys = [f"k{i}" for i in reversed(range(40))]
     long = json.dumps([{k: 1 for k in keys}] * 2, indent=1)
