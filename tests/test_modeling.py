@@ -349,3 +349,24 @@ def test_ties_between_centres_count_once(spark):
     starts = [kmeans._Start((2, None), None, np.array([[0.0], [2.0]])), kmeans._Start((3, None), None, np.array([[1.0], [1.0], [5.0]]))]
     (cost, counts, sums, _), (_, same, _, _) = kmeans._step(points, starts)
     assert cost == 2 and counts.tolist() == [3, 1] and sums.tolist() == [[2], [2]] and same.tolist() == [4, 0, 0]
+
+
+def test_ready_table_has_no_more_partitions_than_cores_or_its_size_ask_for(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    from clientele.plans import compare
+
+    rows = spark.range(500).select("id", array_to_vector(F.array(F.col("id").cast("double"), F.lit(1.0))).alias("features"))
+    cores = spark.sparkContext.defaultParallelism
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        small = compare.ready(rows)
+        assert small.rdd.getNumPartitions() == cores and compare.ready(small) is small
+        monkeypatch.setattr(compare, "PART_NUMBERS", 50)
+        large = compare.ready(rows)
+        assert large.rdd.getNumPartitions() == 20
+        for table in (small, large):
+            assert sorted(r["id"] for r in table.select("id").collect()) == list(range(500))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
