@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,9 +68,9 @@ def token_filter(tokens: DataFrame) -> np.ndarray:
     """Bitmap of the ``token`` column: no token is missed, and its size does not depend on their number."""
     slot = F.pmod("token", F.lit(FILTER_WORDS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("token", 32), F.lit(64)).cast("int"))
-    rows = tokens.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).collect()  # at most FILTER_WORDS rows
+    rows = tokens.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most FILTER_WORDS rows
     found = np.zeros(FILTER_WORDS, dtype=np.int64)
-    found[[r["slot"] for r in rows]] = [r["bits"] for r in rows]
+    found[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy()
     return found.view(U64)
 
 
@@ -79,6 +80,17 @@ def _passes(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return ((bits[signed % FILTER_WORDS] >> shift) & U64(1)).astype(bool)
 
 
+def suspected(spark: SparkSession, tokens: DataFrame):
+    """A function of a long column: false only where the value is not among ``tokens``."""
+    bits = spark.sparkContext.broadcast(token_filter(tokens))
+
+    @F.pandas_udf("boolean")
+    def suspect(values: pd.Series) -> pd.Series:
+        return pd.Series(_passes(values.to_numpy(dtype=np.int64), bits.value), dtype=bool)
+
+    return suspect
+
+
 def _frequency_rows(batches: Iterator[pa.RecordBatch], bits, lengths: list[int]) -> Iterator[pa.RecordBatch]:
     for _, data, offsets in slices(batches):
         table = WordTable(data, offsets)

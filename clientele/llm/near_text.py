@@ -23,8 +23,6 @@ from clientele.llm.words import U64, WordTable, mixed, slices
 
 # Frequencies that order the shingles are counted per slot. They decide how much is compared, never what comes out.
 SLOTS, CHUNK = 1 << 22, 1 << 14
-# Slots of prefix shingles: one whose slot counts one set only is in no pair and is not moved.
-PREFIX_SLOTS = 1 << 25
 SLACK = 1e-9  # of products with the similarity
 # Rows of a shingle above this are first tied to drawn heads, and are spread over several join keys after that.
 CROWD, SALTED = 32, 1024
@@ -66,30 +64,29 @@ def _count_blobs(counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
             yield chunk, pa.compress(own.tobytes(), codec="zstd", asbytes=True)
 
 
-def _sum_rows(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[pa.RecordBatch]:
+def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = np.frombuffer(pa.decompress(blob, decompressed_size=np.dtype(kind).itemsize * CHUNK, codec="zstd", asbytes=True), kind)
+            own = np.frombuffer(pa.decompress(blob, decompressed_size=4 * CHUNK, codec="zstd", asbytes=True), np.int32)
             sums[chunk] = sums.get(chunk, 0) + own.astype(np.int64)
     for chunk, own in sums.items():
-        total = np.minimum(own, np.iinfo(kind).max).astype(kind).tobytes()
+        total = np.minimum(own, np.iinfo(np.int32).max).astype(np.int32).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total], pa.binary())], ["chunk", "blob"])
 
 
-def slot_counts(rows: DataFrame, slots: int = SLOTS, kind: type = np.int32) -> np.ndarray:
-    """Counts per slot; ``slots`` numbers reach the driver, whatever the size of the texts."""
-    found = np.zeros(slots, dtype=kind).reshape(-1, CHUNK)
+def slot_counts(rows: DataFrame) -> np.ndarray:
+    """Counts per slot; ``SLOTS`` numbers reach the driver, whatever the size of the texts."""
+    found = np.zeros(SLOTS, dtype=np.int32).reshape(-1, CHUNK)
     blobs = rows.filter("chunk is not null").select("chunk", "blob").repartition("chunk")
-    for r in blobs.mapInArrow(lambda b: _sum_rows(b, kind), "chunk int, blob binary").collect():
-        found[r["chunk"]] = np.frombuffer(r["blob"], kind)
+    for r in blobs.mapInArrow(_sum_rows, "chunk int, blob binary").collect():
+        found[r["chunk"]] = np.frombuffer(r["blob"], np.int32)
     return found.ravel()
 
 
 def _prefix_rows(batches: Iterator[pa.RecordBatch], counts, size: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """(tokens, name, n, rest, rank, last) of every set: its prefix, its size, how much of it stands behind the prefix,
-    and where the prefix ends in the order. At the end of a task (chunk, blob) rows count its sets per prefix slot."""
-    seen = np.zeros(PREFIX_SLOTS, dtype=np.uint8)
+    and where the prefix ends in the order."""
     for _, sets, names in _sets(batches, size):
         heads, rows, done = [], [], set()
         for name, own in zip(names, sets):
@@ -102,25 +99,17 @@ def _prefix_rows(batches: Iterator[pa.RecordBatch], counts, size: int, similarit
             heads.append(own[head])
             rows.append((name, len(own), len(own) - len(head), int(often[head[-1]]), int(own[head[-1]])))
         if rows:
-            slot, n = np.unique(np.concatenate(heads) % PREFIX_SLOTS, return_counts=True)
-            seen[slot] = np.minimum(seen[slot] + np.minimum(n, 2), 2)
             columns = [pa.array(heads, pa.list_(pa.int64())), *[pa.array(c, pa.int64()) for c in zip(*rows)]]
-            nothing = [pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns + nothing, PREFIX_NAMES)
-    for chunk, blob in _count_blobs(seen):
-        none = [pa.nulls(1, pa.list_(pa.int64())), *[pa.nulls(1, pa.int64())] * 5]
-        yield pa.RecordBatch.from_arrays([*none, pa.array([chunk], pa.int32()), pa.array([blob], pa.binary())], PREFIX_NAMES)
+            yield pa.RecordBatch.from_arrays(columns, PREFIX_NAMES)
 
 
-def _passing_rows(batches: Iterator[pa.RecordBatch], twice) -> Iterator[pa.RecordBatch]:
-    """(token, name, ...) rows of prefix shingles whose slot counts two sets or more."""
+def _passing_rows(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+    """(token, name) rows of prefix shingles that the filter lets through."""
     for batch in batches:
         owner = np.repeat(np.arange(batch.num_rows), batch.column(0).value_lengths().to_numpy(zero_copy_only=False))
         tokens = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-        slot = tokens % PREFIX_SLOTS
-        at = np.flatnonzero((twice.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1)
-        rows = pa.array(owner[at])
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), *[batch.column(i).take(rows) for i in range(1, 6)]], ["token", *PREFIX_NAMES[1:6]])
+        at = np.flatnonzero(_passes(tokens, bits.value))
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[at]), batch.column(1).take(pa.array(owner[at]))], ["token", "name"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch], wanted, size: int) -> Iterator[pa.RecordBatch]:
@@ -131,24 +120,24 @@ def _set_rows(batches: Iterator[pa.RecordBatch], wanted, size: int) -> Iterator[
         )
 
 
-PREFIX_NAMES = ["tokens", "name", "n", "rest", "rank", "last", "chunk", "blob"]
+PREFIX_NAMES = ["tokens", "name", "n", "rest", "rank", "last"]
 
 
 def shared_prefixes(texts: DataFrame, labels: DataFrame, counts, shingle: int, similarity: float) -> DataFrame:
     """Stored prefix rows with the label of their set, of shingles that stand in the prefixes of two labels or more."""
-    own = "name long, n long, rest long, rank long, last long"
-    with Scratch(texts.sparkSession) as scratch:
-        made = texts.select("node", "text").mapInArrow(lambda b: _prefix_rows(b, counts, shingle, similarity), f"tokens array<long>, {own}, chunk int, blob binary")
-        made = stored(made)
-        # Copies of one set count as several here, and different shingles can share a slot: the labels decide below.
-        twice = texts.sparkSession.sparkContext.broadcast(np.packbits(slot_counts(made, PREFIX_SLOTS, np.uint8) > 1))
-        rows = made.filter("chunk is null").select(*PREFIX_NAMES[:6]).mapInArrow(lambda b: _passing_rows(b, twice), f"token long, {own}")
-        # Two numbers a row until it is known which shingles two sets share; what a set adds to its rows comes after that.
-        rows = stored(rows.select("token", "name").distinct())
-        several = rows.groupBy("token").agg(F.min("name").alias("low"), F.max("name").alias("high")).filter("low <> high")
-        shared = stored(rows.join(several.select("token"), "token", "left_semi"))
-        scratch.drop(rows)
-        facts = made.filter("chunk is null").select(*PREFIX_NAMES[1:6]).distinct()
+    spark, own = texts.sparkSession, "name long, n long, rest long, rank long, last long"
+    with Scratch(spark) as scratch:
+        made = stored(texts.select("node", "text").mapInArrow(lambda b: _prefix_rows(b, counts, shingle, similarity), f"tokens array<long>, {own}"))
+        # All prefix shingles move once, as two numbers, to find those that two sets share; only rows of these move after that.
+        with Scratch(spark) as inner:
+            rows = made.select(F.explode("tokens").alias("token"), "name")
+            several = rows.groupBy("token").agg(F.min("name").alias("low"), F.max("name").alias("high")).filter("low <> high")
+            several = inner.keep(stored(several.select("token")))
+        bits = spark.sparkContext.broadcast(token_filter(several))
+        rows = made.select("tokens", "name").mapInArrow(lambda b: _passing_rows(b, bits), "token long, name long")
+        shared = stored(rows.distinct().join(several, "token", "left_semi"))
+        bits.unpersist()
+        facts = made.select(*PREFIX_NAMES[1:]).distinct()
         return scratch.keep(of_two_labels(stored(shared.join(labels, "name").join(facts, "name"))))
 
 

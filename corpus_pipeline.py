@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientele.llm.decontaminate import find_contamination, is_contaminated
+from clientele.llm.decontaminate import find_contamination, is_contaminated, suspected
 from clientele.llm.near_copies import without_near_copies
 from clientele.llm.packing import pack_documents
 from clientele.llm.quality import statistics_table, train_quality, with_quality
@@ -49,7 +49,12 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     probe = docs.select(digest.alias("digest"), "text")
     found = find_contamination(probe, read_table(spark, sf_dir, "benchmark"), doc_id="digest")
     dirty = stored(found.filter(is_contaminated()).select("digest").distinct())
-    return docs.join(dirty, digest == dirty["digest"], "left_anti")
+    # Texts that a filter of fixed size turns away are clean and stay where they are; the join decides on the others.
+    suspect = suspected(spark, dirty.select(F.xxhash64("digest").alias("token")))
+    held = fresh_name(docs, "held")
+    marked = docs.withColumn(held, suspect(F.xxhash64(digest)))
+    rest = marked.filter(F.col(held)).join(dirty, digest == dirty["digest"], "left_anti")
+    return marked.filter(~F.col(held)).unionByName(rest).drop(held)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

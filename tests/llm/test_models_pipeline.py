@@ -138,3 +138,38 @@ def test_run_over_whole_and_empty_documents(spark, tmp_path):
         frame = spark.read.parquet(f"{FOLDER}/{name}.parquet")
         (frame.limit(0) if name == "documents" else frame).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_that_are_surely_clean_are_not_exchanged(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    prose = lambda n: [f"w{i}" for i in rng.integers(0, 10**9, n)]
+    passage = prose(20)
+    spark.createDataFrame([("b1", " ".join(passage))], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(i, " ".join(prose(40)), "x") for i in range(60)] + [(60, " ".join(passage), "x"), (61, " ".join(passage), "y"), (62, None, "x"), (62, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as when the contaminated texts are many
+    try:
+        clean = corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path))
+        assert clean.columns == docs.columns
+        assert sorted(r["doc_id"] for r in clean.collect()) == [*range(60), 62, 62]
+        plan = clean._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" in plan and plan.count("Join LeftAnti") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_prefix_rows_move_only_for_shingles_of_two_sets(spark):
+    import pyarrow as pa
+
+    from clientele.llm import near_text as N
+    from clientele.llm.decontaminate import token_filter
+
+    class Bits:
+        value = token_filter(spark.createDataFrame([(7,), (7 + (5 << 33),)], "token long"))
+
+    # All of these agree in their last 25 bits.
+    heads = [[7, 7 + (1 << 33)], [7, 7 + (3 << 33)], [7 + (5 << 33)], [], [7 + (5 << 33), 7 + (7 << 33)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(heads, pa.list_(pa.int64())), pa.array(range(5), pa.int64())], ["tokens", "name"])
+    moved = next(N._passing_rows(iter([batch]), Bits)).to_pylist()
+    assert [(r["token"], r["name"]) for r in moved] == [(7, 0), (7, 1), (7 + (5 << 33), 2), (7 + (5 << 33), 4)]
