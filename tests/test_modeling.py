@@ -370,3 +370,27 @@ def test_ready_table_has_no_more_partitions_than_cores_or_its_size_ask_for(spark
             assert sorted(r["id"] for r in table.select("id").collect()) == list(range(500))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_rows_are_compared_with_centres_near_their_leaf_only(spark):
+    from clientele.functions.nearest import Leaves
+
+    rng = np.random.default_rng(3)
+    rows = np.vstack([rng.normal(size=(6000, 3)), np.round(rng.normal(size=(2000, 3)), 1), np.ones((500, 3))])
+    centres = np.vstack([rows[rng.choice(8000, 600, replace=False)], np.ones((2, 3))])  # two that tie
+    gaps = (centres**2).sum(axis=1) - 2 * rows @ centres.T
+    leaves = Leaves(rows)
+    label, near = leaves.nearest(centres)
+    assert label.tolist() == gaps.argmin(axis=1)[leaves.order].tolist() and np.allclose(near, gaps.min(axis=1)[leaves.order])
+    assert leaves._kept(0, len(leaves.cuts), centres, (centres**2).sum(axis=1)).mean() < 0.35
+    assert sorted(leaves.order.tolist()) == list(range(len(rows))) and len(Leaves(rows[:0]).nearest(centres)[0]) == 0
+
+    points = points_table(prepared(spark, rows), 2)
+    inside = [np.array([r[c] for r in points.orderBy("id").select("in_0", "in_1").collect()]) for c in ("in_0", "in_1")]
+    found = kmeans._step(points, [kmeans._Start((602, s), s, centres) for s in (None, 0, 1)])
+    for (cost, counts, sums, far), held in zip(found, [np.ones(len(rows), bool), *inside]):
+        own = gaps[held].argmin(axis=1)
+        away = gaps[held].min(axis=1) + (rows[held] ** 2).sum(axis=1)
+        assert counts.tolist() == np.bincount(own, minlength=602).tolist() and np.isclose(cost, away.sum())
+        assert np.allclose(sums[:, 1], np.bincount(own, weights=rows[held][:, 1], minlength=602))
+        assert np.isclose(far[0], away.max()) and np.allclose(far[1:], rows[held][away.argmax()])
