@@ -5,6 +5,9 @@ first n - ceil(t n) + 1 of each (their prefixes), so sets are joined on the shin
 at or above t is missed, whatever the order. The common shingles of two prefixes are counted: those, and all that stands
 behind the prefix that ends first, bound what the sets can have in common. Pairs that the bound lets through are compared
 by their whole sets. Equal sets are one node.
+
+Sets that share a crowded shingle mostly share all but their edits: prefixes say nothing about them. They are joined on
+how they differ from one of them instead (``crowd_pairs``), which misses no pair either.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ from clientele.llm.words import U64, WordTable, mixed, slices
 # Frequencies that order the shingles are counted per slot. They decide how much is compared, never what comes out.
 SLOTS, CHUNK = 1 << 22, 1 << 14
 SLACK = 1e-9  # of products with the similarity
-# Rows of a shingle above this are first tied to drawn heads, and are spread over several join keys after that.
-CROWD, SALTED = 32, 1024
+# Rows of a shingle above the first are tied to drawn heads, above the second joined on what tells them from a head, and
+# rows of one head or difference above the third are spread over several join keys.
+CROWD, CROWDED, SALTED = 32, 256, 1024
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int]]]:
@@ -164,20 +168,74 @@ def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
 def candidate_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of sets with different labels that can reach the similarity, by what their prefixes have in common.
 
-    The rows of a crowded shingle are dealt over several keys on one side and repeated for each of them on the other.
+    Pairs that also share a shingle which ``rows`` leaves out may be missing.
     """
-    sides = [rows.select("token", "rows", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "rest", "rank", "last", "label")]) for s in "ab"]
-    salts = F.ceil(F.col("rows") / SALTED)
-    left = sides[0].withColumn("salt", F.pmod(F.xxhash64("name_a"), salts)).drop("rows")
-    right = sides[1].withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("rows")
+    left, right = [rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "rest", "rank", "last", "label")]) for s in "ab"]
     sized = F.least("n_a", "n_b") + SLACK >= similarity * F.greatest("n_a", "n_b")
-    met = left.join(right, ["token", "salt"]).filter((F.col("name_a") < F.col("name_b")) & (F.col("label_a") != F.col("label_b")) & sized)
+    met = left.join(right, "token").filter((F.col("name_a") < F.col("name_b")) & (F.col("label_a") != F.col("label_b")) & sized)
     first = F.struct("rank_a", "last_a") <= F.struct(F.col("rank_b").alias("rank_a"), F.col("last_b").alias("last_a"))
     met = met.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("both"), F.when(first, F.col("rest_a")).otherwise(F.col("rest_b")).alias("rest"))
     counted = met.groupBy("a", "b", "both", "rest").agg(F.count(F.lit(1)).alias("common"))
     return counted.filter((F.col("common") + F.col("rest")) * (1 + similarity) + SLACK >= similarity * F.col("both")).select("a", "b")
 
 
+def _dealt(rows: DataFrame, repeated: DataFrame, keys: list[str], sizes: DataFrame) -> DataFrame:
+    """The two sides joined on the keys; ``sizes`` has the number of rows of each. Those of a crowded key are dealt over
+    several salts on one side (by ``name_a``) and repeated for each of them on the other."""
+    salts = sizes.select(*keys, F.ceil(F.col("rows") / SALTED).alias("salts"))
+    left = rows.join(salts, keys).withColumn("salt", F.pmod(F.xxhash64("name_a"), "salts")).drop("salts")
+    right = repeated.join(salts, keys).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    return left.join(right, [*keys, "salt"]).drop("salt")
+
+
+def crowd_differences(texts: DataFrame, crowd: DataFrame, shingle: int) -> DataFrame:
+    """Stored (head, name, label, n, head_n, tokens): by which shingles sets differ from the heads of their shingles.
+
+    Shingles that mostly the same sets share have the same head, so a set has few of them.
+    """
+    with Scratch(texts.sparkSession) as scratch:
+        heads = crowd.groupBy("token").agg(F.min(F.struct(F.xxhash64("name").alias("draw"), "name")).getField("name").alias("head"))
+        members = stored(crowd.join(stored(heads), "token").select("head", "name", "label").distinct())
+        sizes = stored(members.groupBy("head").agg(F.count(F.lit(1)).alias("rows")))
+        sets = _sets_of(texts, members.select("name").distinct(), shingle)
+        own = members.join(sets, "name").select("head", F.col("name").alias("name_a"), "label", F.col("shingles").alias("own"))
+        met = _dealt(own, sets.select(F.col("name").alias("head"), F.col("shingles").alias("base")), ["head"], sizes)
+        tokens = F.concat(F.array_except("own", "base"), F.array_except("base", "own"))
+        found = met.select("head", F.col("name_a").alias("name"), "label", F.size("own").alias("n"), F.size("base").alias("head_n"), tokens.alias("tokens"))
+        return scratch.keep(stored(found))
+
+
+def crowd_pairs(differences: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of sets with different labels and one head that can reach the similarity, and of sets similar to their head.
+
+    Two sets differ by the shingles that only one of them has in its difference from the head, and may differ by
+    (1 - t) / (1 + t) of their sizes. Differences are in one order per head, rare shingles first. If two of them have to
+    overlap, the first shingle they share is followed by enough others in both. If they need not overlap, both sets are
+    similar to the head.
+    """
+    spread = (1 - similarity) / (1 + similarity)
+    with Scratch(differences.sparkSession) as scratch:
+        rows = differences.select("head", "name", "label", "n", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+        often = rows.groupBy("head", "token").agg(F.count(F.lit(1)).alias("often"))
+        placed = rows.join(stored(often), ["head", "token"]).groupBy("head", "name", "label", "n", "size")
+        placed = placed.agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("order"))
+        # No partner asks for more of the order than this.
+        reach = F.floor(F.col("n") * ((1 - similarity) / similarity) + SLACK).cast("int") + 1
+        placed = placed.select("head", "name", "label", "n", "size", F.posexplode(F.slice("order", F.lit(1), reach)).alias("at", "shared"))
+        placed = placed.select("head", "name", "label", "n", "size", "at", F.col("shared.token").alias("token"))
+        placed = stored(placed.filter("shared.often > 1"))
+        kinds = placed.groupBy("head", "token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("rows"))
+        sides = [placed.select("head", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "size", "at", "label")]) for s in "ab"]
+        met = _dealt(*sides, ["head", "token"], stored(kinds.filter("low <> high").select("head", "token", "rows")))
+        need = (F.col("size_a") + F.col("size_b") - spread * (F.col("n_a") + F.col("n_b"))) / 2 - SLACK
+        enough = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= need
+        sized = F.least("n_a", "n_b") + SLACK >= similarity * F.greatest("n_a", "n_b")
+        met = met.filter((F.col("name_a") < F.col("name_b")) & (F.col("label_a") != F.col("label_b")) & sized & enough)
+        near = differences.filter((F.col("name") != F.col("head")) & (F.size("tokens") <= spread * (F.col("n") + F.col("head_n")) + SLACK))
+        near = near.select(F.least("name", "head").alias("a"), F.greatest("name", "head").alias("b"))
+        return scratch.keep(stored(met.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")).unionByName(near).distinct()))
+
+
 def similar_pairs(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets (name, shingles) overlap enough."""
     left = sets.select(F.col("name").alias("a"), F.col("shingles").alias("sa"))
@@ -221,22 +279,34 @@ def similar_links(texts: DataFrame, known: DataFrame | None = None, shingle: int
         labels = stored(merged)
         after = of_two_labels(rows.drop("label", "rows").join(labels, "name"))
         scratch.drop(rows)
-        pairs = stored(candidate_pairs(after, similarity))
+        pairs = stored(candidate_pairs(after.filter(F.col("rows") <= CROWDED), similarity))
+        crowd = after.filter(F.col("rows") > CROWDED)
+        if not crowd.isEmpty():
+            with Scratch(spark) as inner:
+                more = inner.keep(crowd_pairs(crowd_differences(texts, crowd, shingle), similarity))
+            pairs = stored(pairs.unionByName(more).distinct())
         scratch.drop(after)
         found = stored(_label_links(_verified(texts, pairs, shingle, similarity), labels))
         return scratch.keep(stored(links.unionByName(found)))
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Stored pairs (a, b) whose sets overlap enough; the shingles of those sets alone are written, for that long."""
+def _sets_of(texts: DataFrame, names: DataFrame, shingle: int) -> DataFrame:
+    """Stored (name, shingles) of the sets with these distinct names."""
     with Scratch(texts.sparkSession) as scratch:
-        ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("token")).distinct())
+        ends = stored(names.select(F.col("name").alias("token")))
         wanted = texts.sparkSession.sparkContext.broadcast(token_filter(ends))
         sets = texts.select("node", "text").mapInArrow(lambda b: _set_rows(b, wanted, shingle), "name long, shingles array<long>")
         sets = sets.join(ends.withColumnRenamed("token", "name"), "name", "left_semi").groupBy("name").agg(F.min("shingles").alias("shingles"))
-        found = stored(similar_pairs(stored(sets), pairs, similarity))
+        sets = scratch.keep(stored(sets))
         wanted.unpersist()
-        return scratch.keep(found)
+        return sets
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Stored pairs (a, b) whose sets overlap enough; the shingles of those sets alone are written, for that long."""
+    with Scratch(texts.sparkSession) as scratch:
+        sets = _sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), shingle)
+        return scratch.keep(stored(similar_pairs(sets, pairs, similarity)))
 
 
 def similar_groups(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

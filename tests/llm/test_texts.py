@@ -228,6 +228,54 @@ def test_crowded_shingles_hide_no_links(spark, monkeypatch):
     assert 6 <= len(set(expected.values())) < 20 and {i: root.get(i, i) for i, _ in texts} == expected
 
 
+def test_sets_of_a_crowded_shingle_meet_on_their_differences(spark, monkeypatch):
+    monkeypatch.setattr(N, "CROWD", 4)
+    monkeypatch.setattr(N, "CROWDED", 8)
+    monkeypatch.setattr(N, "SALTED", 8)
+    rng, texts = random.Random(24), []
+    base, line = prose(rng, 150, 5000).split(), prose(rng, 12, 5000).split()
+    for i in range(90):  # edits of one text: many of them are similar to few others or to none
+        edited = list(base)
+        for _ in range(i % 7):
+            edited[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        texts.append((i, " ".join(edited[: 150 - i % 5 * 6])))
+    for i in range(40):  # texts that have little more than a line in common
+        own = prose(rng, 6, 40).split()
+        texts.append((200 + i, " ".join(own[: i % 4] + line + own[i % 4 : 4])))
+    seen = {}
+    plain, joined = N.candidate_pairs, N.crowd_pairs
+
+    def rows_of(rows, similarity):
+        seen["most"] = rows.groupBy("token").count().agg(F.max("count")).first()[0] or 0
+        return plain(rows, similarity)
+
+    def pairs_of(rows, similarity):
+        found = joined(rows, similarity)
+        seen["pairs"] = found.count()
+        return found
+
+    monkeypatch.setattr(N, "candidate_pairs", rows_of)
+    monkeypatch.setattr(N, "crowd_pairs", pairs_of)
+    expected, links = plain_groups(texts)
+    root = {r["node"]: r["root"] for r in similar_groups(stored(spark.createDataFrame(texts, "node long, text string"))).collect()}
+    assert {i: root.get(i, i) for i, _ in texts} == expected and len(set(expected.values())) > 20
+    assert seen["most"] <= 8 and 0 < seen["pairs"] < 90 * 89 / 2 / 4
+
+    # With no labels known, the pairs hold every link of sets of one head.
+    named = stored(spark.createDataFrame([(1, i, i) for i, _ in texts], "token long, name long, label long"))
+    sets = [(i, [hash(x) for x in shingles(t)]) for i, t in texts]
+    monkeypatch.setattr(N, "_sets_of", lambda *_: stored(spark.createDataFrame(sets, "name long, shingles array<long>")))
+    near = {(r["a"], r["b"]) for r in joined(N.crowd_differences(named, named, 5), 0.8).collect()}
+    head = N.crowd_differences(named, named, 5).first()["head"]
+    own = {i: set(x) for i, x in sets}
+    for a in own:
+        for b in own:
+            common = len(own[a] & own[b])
+            if a < b and 5 * common >= 4 * (len(own[a]) + len(own[b]) - common):
+                around = [tuple(sorted((x, head))) for x in (a, b) if x != head]
+                assert (a, b) in near or all(pair in near for pair in around)
+
+
 def test_chains_of_edits_stay_connected(spark):
     rng, texts = random.Random(23), []
     for g in range(12):  # every text is similar to the one before it only
